@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from growthlab.llm import packing, quality
+from growthlab.llm import licenses, mixing, packing, quality, shards
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -24,5 +24,21 @@ def op2_robust_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_two_fit_packing, op2_robust_quality_rules)}
+def op6_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard among 16, and among 17."""
+    return shards.assign(_table(spark, sf_dir, "documents"), [1.0] * 16, [1.0] * 17)
+
+
+def op9_splitting_tree_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
+    return mixing.deal(_table(spark, sf_dir, "documents"))
+
+
+def op10_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The license labels of every document."""
+    return licenses.label(_table(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_best_two_fit_packing, op2_robust_quality_rules, op6_hash_tree_shards, op9_splitting_tree_mix, op10_license_diagonals)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL: dict[str, str] = {}
