@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from growthlab.llm import licenses, mixing, packing, quality, shards
+from growthlab.llm import licenses, linkgraph, mixing, packing, quality, search, shards
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -24,11 +24,22 @@ def op2_robust_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"))
 
 
+def op3_exact_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best rows for every vector whose id is divisible by 20."""
+    vectors = search.quantised(_table(spark, sf_dir, "embeddings"))
+    return search.top_k(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op6_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard among 16, and among 17."""
     return shards.assign(_table(spark, sf_dir, "documents"), [1.0] * 16, [1.0] * 17)
 
 
+def op8_link_graph_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page."""
+    return linkgraph.judge(_table(spark, sf_dir, "pages"))
+
+
 def op9_splitting_tree_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     return mixing.deal(_table(spark, sf_dir, "documents"))
@@ -39,6 +50,6 @@ def op10_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.label(_table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_best_two_fit_packing, op2_robust_quality_rules, op6_hash_tree_shards, op9_splitting_tree_mix, op10_license_diagonals)
+_ALL = (op1_best_two_fit_packing, op2_robust_quality_rules, op3_exact_top_k_search, op6_hash_tree_shards, op8_link_graph_filter, op9_splitting_tree_mix, op10_license_diagonals)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL: dict[str, str] = {}
