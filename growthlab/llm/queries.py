@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from growthlab.llm import licenses, linkgraph, mixing, packing, quality, search, shards
+from growthlab.llm import licenses, linkgraph, mixing, neardup, packing, quality, search, shards
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -35,6 +35,11 @@ def op6_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign(_table(spark, sf_dir, "documents"), [1.0] * 16, [1.0] * 17)
 
 
+def op7_hyperminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of near-duplicates of every document."""
+    return neardup.groups(_table(spark, sf_dir, "documents"))
+
+
 def op8_link_graph_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every page."""
     return linkgraph.judge(_table(spark, sf_dir, "pages"))
@@ -50,6 +55,6 @@ def op10_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.label(_table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_best_two_fit_packing, op2_robust_quality_rules, op3_exact_top_k_search, op6_hash_tree_shards, op8_link_graph_filter, op9_splitting_tree_mix, op10_license_diagonals)
+_ALL = (op1_best_two_fit_packing, op2_robust_quality_rules, op3_exact_top_k_search, op6_hash_tree_shards, op7_hyperminhash_near_dedup, op8_link_graph_filter, op9_splitting_tree_mix, op10_license_diagonals)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL: dict[str, str] = {}
