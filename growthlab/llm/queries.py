@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from growthlab.llm import ctw, licenses, linkgraph, mixing, neardup, packing, quality, search, shards
+from growthlab.llm import ctw, licenses, linkgraph, mixing, neardup, packing, quality, quotes, search, shards
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -30,6 +30,11 @@ def op3_exact_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(vectors, vectors.where("vec_id % 20 = 0"))
 
 
+def op4_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message without its quotes, in its thread."""
+    return quotes.link(_table(spark, sf_dir, "conversations"))
+
+
 def op5_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scores of every document."""
     return ctw.score(_table(spark, sf_dir, "documents"))
@@ -60,6 +65,6 @@ def op10_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.label(_table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_best_two_fit_packing, op2_robust_quality_rules, op3_exact_top_k_search, op5_context_tree_scores, op6_hash_tree_shards, op7_hyperminhash_near_dedup, op8_link_graph_filter, op9_splitting_tree_mix, op10_license_diagonals)
+_ALL = (op1_best_two_fit_packing, op2_robust_quality_rules, op3_exact_top_k_search, op4_quotation_linking, op5_context_tree_scores, op6_hash_tree_shards, op7_hyperminhash_near_dedup, op8_link_graph_filter, op9_splitting_tree_mix, op10_license_diagonals)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL: dict[str, str] = {}
