@@ -1,0 +1 @@
+"""growthlab: longitudinal tumour-volume analysis in PySpark."""
