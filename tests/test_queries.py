@@ -1,0 +1,46 @@
+"""Each query against its DuckDB SQL over the smallest tables."""
+
+from __future__ import annotations
+
+import math
+import os
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+from growthlab.plans import queries as own
+
+DATA = os.environ.get("TESTDATA", "/root/testdata/sf0.001")
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def rows(columns, found):
+    def value(v):
+        return None if v is None or (isinstance(v, float) and math.isnan(v)) else round(v, 5) if isinstance(v, float) else v
+
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return sorted(columns), sorted((tuple(value(r[i]) for i in order) for r in found), key=lambda r: tuple((v is None, str(v)) for v in r))
+
+
+def compare(spark, name, query, sql):
+    con = duckdb.connect()
+    for table in TABLES:
+        con.execute(f"create view {table} as select * from '{DATA}/{table}.parquet'")
+    df = query(spark, DATA)
+    expected = con.execute(sql)
+    assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows([d[0] for d in expected.description], expected.fetchall())
+
+
+@pytest.mark.parametrize("name", sorted(own.ORACLE_SQL))
+def test_against_sql(spark, name):
+    compare(spark, name, own.QUERIES[name], own.ORACLE_SQL[name])
+
+
+def test_every_own_query_has_sql():
+    assert own.QUERIES.keys() == own.ORACLE_SQL.keys()
+
+
+def test_entry(spark):
+    assert entry.entry(spark).count() > 0
+    assert entry.oracle_sql().keys() <= entry.queries().keys()

@@ -1,0 +1,12 @@
+from __future__ import annotations
+
+from growthlab.streaming import annotate_stream
+
+
+def test_annotate_stream(spark, tmp_path):
+    rows = spark.createDataFrame([(10.0, 5.0), (5.0, 10.0), (None, 1.0)], "L double, W double")
+    rows.write.parquet(f"file://{tmp_path}/in")
+    query = annotate_stream(spark.readStream.schema(rows.schema).parquet(f"file://{tmp_path}/in"), f"file://{tmp_path}/out", f"file://{tmp_path}/state", "day02")
+    query.awaitTermination(60)
+    got = spark.read.parquet(f"file://{tmp_path}/out")
+    assert sorted((r["T.V"] or 0, r["Error"]) for r in got.collect()) == [(0, "Missing value"), (0, "W > L"), (125.0, "")]
