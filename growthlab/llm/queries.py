@@ -67,4 +67,102 @@ def op10_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (op1_best_two_fit_packing, op2_robust_quality_rules, op3_exact_top_k_search, op4_quotation_linking, op5_context_tree_scores, op6_hash_tree_shards, op7_hyperminhash_near_dedup, op8_link_graph_filter, op9_splitting_tree_mix, op10_license_diagonals)
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLE_SQL: dict[str, str] = {}
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP3 = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)
+SELECT q.vec_id AS query_id, CAST(row_number() OVER w AS INTEGER) AS rank, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0
+WINDOW w AS (PARTITION BY q.vec_id ORDER BY list_inner_product(q.v, c.v) DESC, c.vec_id)
+QUALIFY row_number() OVER w <= 20
+"""
+
+_OP4 = r"""
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS r, conv_id, turn, role, string_split(coalesce(text, ''), chr(10)) AS lines FROM conversations),
+l AS (SELECT r, conv_id, turn, unnest(range(len(lines))) AS place, unnest(lines) AS line FROM m),
+v AS (SELECT *, len(regexp_replace(regexp_extract(line, '^(?:\s*>)+'), '[^>]', '', 'g')) AS level FROM l),
+o AS (SELECT *, coalesce(lead(level) OVER (PARTITION BY r ORDER BY place), 0) AS below FROM v),
+own AS (
+  SELECT r, regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (level = 0 AND NOT (regexp_matches(line, '(?i)\bwrote:\s*$') AND below > 0)), ''), '^\s+|\s+$', '', 'g') AS own_text,
+    count(*) FILTER (level > 0) AS quoted_lines, max(level) AS max_level
+  FROM o GROUP BY r
+),
+units AS (
+  SELECT conv_id, turn, unnest(list_distinct(list_concat([replace(own_text, chr(10), ' ')], string_split(own_text, chr(10))))) AS text FROM m JOIN own USING (r) WHERE conv_id IS NOT NULL AND turn IS NOT NULL
+),
+first AS (SELECT conv_id, n AS text, min(turn) AS turn FROM (SELECT conv_id, turn, trim(regexp_replace(lower(regexp_replace(text, '^(?:\s*>)+', '')), '\s+', ' ', 'g')) AS n FROM units) WHERE n <> '' GROUP BY 1, 2),
+ever AS (SELECT text, min({'conv_id': conv_id, 'turn': turn}) AS ever FROM first GROUP BY 1),
+q AS (SELECT r, conv_id, turn, level, place, place - row_number() OVER (PARTITION BY r, level ORDER BY place) AS run, trim(regexp_replace(lower(regexp_replace(line, '^(?:\s*>)+', '')), '\s+', ' ', 'g')) AS text FROM v WHERE level > 0),
+asked AS (
+  SELECT conv_id, turn, level, false AS whole, text FROM q
+  UNION ALL SELECT conv_id, turn, level, true, trim(regexp_replace(string_agg(text, ' ' ORDER BY place), '\s+', ' ', 'g')) FROM q GROUP BY r, conv_id, turn, level, run
+),
+found AS (
+  SELECT a.conv_id, a.turn, level, coalesce(f.turn < a.turn, false) AS same, whole, len(string_split(a.text, ' ')) AS words,
+    CASE WHEN f.turn < a.turn THEN {'conv_id': a.conv_id, 'turn': f.turn} WHEN ever < {'conv_id': a.conv_id, 'turn': a.turn} THEN ever END AS answered
+  FROM asked a LEFT JOIN first f ON f.conv_id = a.conv_id AND f.text = a.text LEFT JOIN ever e ON e.text = a.text WHERE a.text <> ''
+),
+best AS (
+  SELECT conv_id, turn, answered FROM (SELECT conv_id, turn, level, same, whole, answered, sum(words) AS words FROM found WHERE answered IS NOT NULL GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, same DESC, whole DESC, words DESC, answered.conv_id, answered.turn) = 1
+),
+nodes AS (SELECT DISTINCT conv_id, turn, min(turn) OVER (PARTITION BY conv_id) AS opens FROM m WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+replies AS (
+  SELECT n.conv_id, n.turn, answered IS NOT NULL AS linked, CASE WHEN answered IS NOT NULL THEN answered.conv_id WHEN n.turn <> opens THEN n.conv_id END AS reply_conv,
+    CASE WHEN answered IS NOT NULL THEN answered.turn WHEN n.turn <> opens THEN opens END AS reply_turn
+  FROM nodes n LEFT JOIN best b ON b.conv_id = n.conv_id AND b.turn = n.turn
+),
+tree AS (
+  SELECT conv_id, turn, conv_id AS thread_conv, turn AS thread_turn, CAST(0 AS BIGINT) AS reply_level FROM replies WHERE reply_conv IS NULL
+  UNION ALL SELECT c.conv_id, c.turn, thread_conv, thread_turn, reply_level + 1 FROM replies c JOIN tree t ON c.reply_conv = t.conv_id AND c.reply_turn = t.turn
+)
+SELECT m.conv_id, m.turn, role, own_text, CAST(quoted_lines AS INTEGER) AS quoted_lines, CAST(max_level AS INTEGER) AS max_level, linked, reply_conv, reply_turn, thread_conv, thread_turn, reply_level,
+  CASE WHEN thread_conv IS NOT NULL THEN row_number() OVER (PARTITION BY thread_conv, thread_turn ORDER BY m.conv_id, m.turn, r) - 1 END AS position
+FROM m JOIN own USING (r) LEFT JOIN replies p ON p.conv_id = m.conv_id AND p.turn = m.turn LEFT JOIN tree t ON t.conv_id = m.conv_id AND t.turn = m.turn
+"""
+
+_OP7 = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM w WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, c AS component_id, w.doc_id = c AS kept
+FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS c FROM reach GROUP BY 1) ON a = w.doc_id
+"""
+
+
+def _op10() -> str:
+    k = licenses.K
+    templates = ", ".join(f"({n}, '{name}', {str(n < len(licenses.PHRASES)).lower()}, string_split('{text}', ' '))" for n, (name, text) in enumerate((*licenses.PHRASES, *licenses.NOTICES)))
+    window = lambda words, i: f"array_to_string({words}[{i} + 1:{i} + {k}], ' ')"
+    return rf"""
+WITH templates(template, label, base, words) AS (VALUES {templates}),
+tw AS (SELECT template, label, base, len(words) - {k - 1} AS grams, t, {window("words", "t")} AS g FROM (SELECT *, unnest(range(len(words) - {k - 1})) AS t FROM templates)),
+d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+h AS (SELECT doc_id, template, label, base, grams, t, p, p - t AS diagonal FROM (SELECT doc_id, p, {window("w", "p")} AS g FROM (SELECT doc_id, w, unnest(range(len(w) - {k - 1})) AS p FROM d)) JOIN tw USING (g)),
+diagonals AS (SELECT DISTINCT doc_id, template, base, diagonal FROM h),
+starts AS (SELECT *, CASE WHEN base OR coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > {licenses.MAX_SHIFT}, true) THEN 1 ELSE 0 END AS starts FROM diagonals),
+spans AS (SELECT doc_id, template, diagonal, sum(starts) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM starts),
+judged AS (SELECT doc_id, label, base, min(p) AS first, max(p) + {k} - min(p) AS length, count(DISTINCT t) / grams AS share, grams FROM h JOIN spans USING (doc_id, template, diagonal) GROUP BY doc_id, template, label, base, grams, span),
+good AS (SELECT * FROM judged WHERE CASE WHEN base THEN share = 1 ELSE share >= {licenses.LEAST_SHARE} AND length <= {licenses.MAX_STRETCH} * (grams + {k - 1}) END),
+own AS (
+  SELECT doc_id, count(*) FILTER (base) AS n_base, min(first) FILTER (base) AS first_word, max(first) FILTER (base) AS last_word, max(share) AS score,
+    array_to_string(list_sort(list_distinct(coalesce(list(label) FILTER (base), []))), ',') AS base_labels, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels
+  FROM good GROUP BY 1
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score FROM d LEFT JOIN own USING (doc_id)
+"""
+
+
+ORACLE_SQL = {
+    "op3_exact_top_k_search": _OP3,
+    "op4_quotation_linking": _OP4,
+    "op7_hyperminhash_near_dedup": _OP7,
+    "op10_license_diagonals": _op10(),
+}

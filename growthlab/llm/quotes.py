@@ -40,7 +40,7 @@ def _parsed(messages: DataFrame) -> DataFrame:
     own = F.filter("lines", lambda line, i: (F.get("levels", i) == 0) & ~(line.rlike(_INTRODUCES) & quoted_below(i)))
     return levels.select(
         "row", "conv_id", "turn", "role", "lines",
-        F.trim(F.array_join(own, "\n")).alias("own_text"),
+        F.regexp_replace(F.array_join(own, "\n"), r"^\s+|\s+$", "").alias("own_text"),
         F.size(F.filter("levels", lambda n: n > 0)).alias("quoted_lines"),
         F.array_max("levels").alias("max_level"),
     )
