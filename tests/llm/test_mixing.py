@@ -1,0 +1,82 @@
+from __future__ import annotations
+
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from growthlab.llm import mixing
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 1000), min_size=1, max_size=12))
+def test_targets(sizes):
+    weights = [mixing.WEIGHTS[i % 3] for i in range(len(sizes))]
+    got = mixing.targets(sizes, weights)
+    assert sum(got) == pytest.approx(sum(sizes))
+    assert all(t <= 3 * s + 1e-9 for t, s in zip(got, sizes, strict=True))
+    free = [t / w for t, w, s in zip(got, weights, sizes, strict=True) if t < 3 * s * (1 - 1e-12)]
+    assert not free or max(free) == pytest.approx(min(free))
+    for t, w, s in zip(got, weights, sizes, strict=True):  # who stops at the bound would get no more by weight
+        assert not free or t < 3 * s * (1 - 1e-12) or t <= max(free) * w * (1 + 1e-9)
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.integers(0, 500), max_size=8), st.integers(1, 20))
+def test_split(quotas, shards):
+    got = mixing.split(quotas, shards)
+    assert got.sum(axis=0).tolist() == quotas and (got >= 0).all()
+    assert np.ptp(got.sum(axis=1)) <= 5
+    assert (got == mixing.split(quotas, shards)).all()
+
+
+def test_deal(docs):
+    got = mixing.deal(docs).collect()
+    again = mixing.deal(docs).collect()
+    key = lambda r: (str(r["doc_id"]), r["size"], r["taken"], r["shards"])
+    assert sorted(map(key, got)) == sorted(map(key, again)) and len(got) == docs.count()
+    rows = docs.select("doc_id", "text", "source").collect()
+    size = Counter()
+    for r in rows:
+        size[r["source"]] += len((r["text"] or "").encode().split())
+    names = sorted(s for s in size if s is not None) + [None]
+    goal = dict(zip(names, mixing.targets([size[n] for n in names], [1, 2, 3, 1, 2][: len(names)]), strict=True))
+    sources = {(r["doc_id"], len((r["text"] or "").encode().split())): r["source"] for r in rows}
+    taken = Counter()
+    for r in got:
+        source = sources[r["doc_id"], r["size"]]
+        assert r["source_size"] == size[source] and r["target"] == pytest.approx(goal[source])
+        assert r["taken"] == r["size"] * len(r["shards"]) <= 3 * r["size"] and all(0 <= s < mixing.SHARDS for s in r["shards"])
+        taken[source] += r["taken"]
+    for source, t in goal.items():
+        most = max(s for (_, s), n in sources.items() if n == source)
+        assert abs(taken[source] - t) <= max(most / 2, 0.02 * t)
+
+
+def test_large_source_is_cut_within_a_block(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(60_000).select(F.col("id").alias("doc_id"), F.expr("repeat('a ', int(1 + id % 7))").alias("text"), F.expr("if(id % 3 = 0, 'x', concat('y', id % 5))").alias("source"))
+    got = mixing.deal(rows).join(rows, "doc_id").groupBy("source").agg(F.first("target").alias("t"), F.sum("taken").alias("n"), F.array_distinct(F.flatten(F.collect_list("shards"))).alias("s")).collect()
+    assert len(got) == 6
+    for r in got:
+        assert abs(r["n"] - r["t"]) <= 0.002 * r["t"] and len(r["s"]) == mixing.SHARDS
+
+
+def test_mix(docs):
+    mixed = mixing.mix(docs, shard_as="to")
+    assert mixed.columns == [*docs.columns, "to"]
+    dealt = Counter()
+    for r in mixing.deal(docs).collect():
+        for s in r["shards"]:
+            dealt[r["doc_id"], s] += 1
+    assert Counter((r["doc_id"], r["to"]) for r in mixed.collect()) == dealt
+    assert mixing.mix(docs).schema == docs.schema
+
+
+def test_nothing(nothing, docs):
+    assert mixing.deal(nothing).collect() == [] and mixing.mix(nothing).collect() == []
+    empty = mixing.deal(docs.where("text is null"))
+    assert [(r["size"], r["target"], r["taken"]) for r in empty.collect()] == [(0, 0.0, 0)]

@@ -1,0 +1,62 @@
+"""The registered queries over the smallest tables, against SQL where there is some; and the pipeline."""
+
+from __future__ import annotations
+
+import os
+import subprocess
+import sys
+from pathlib import Path
+
+import pytest
+
+import __spark_entry__ as entry
+import corpus_pipeline
+from growthlab.llm import queries
+from sqlcheck import compare_rows
+
+DATA = os.environ.get("TESTDATA", "/root/testdata/sf0.001")
+ROOT = Path(__file__).resolve().parents[2]
+
+
+def test_one_query_for_each_operator():
+    names = [n for n in entry.queries() if n.startswith("op")]
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_against_sql(spark, name):
+    tables = {t: spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "embeddings", "conversations")}
+    compare_rows(spark, queries.QUERIES[name](spark, DATA), queries.ORACLE_SQL[name], **tables)
+
+
+def test_pipeline_stages(spark, docs):
+    assert len(corpus_pipeline.STAGES) == 4
+    now, rows = docs, []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before, now = now, stage(spark, now, DATA)
+        assert now.schema == before.schema
+        now = spark.createDataFrame(now.collect(), docs.schema)
+        rows.append([r["doc_id"] for r in now.collect()])
+    judged, single, mixed = rows
+    assert not {200, 203, 208, 209} & set(judged) and {0, 1, 2, 100, 101, 102} <= set(judged)
+    assert set(single) <= set(judged) and 100 in single and not {101, 102, 210} & set(single)
+    assert set(mixed) <= set(single)
+    packed = corpus_pipeline.STAGES[-1][1](spark, now, DATA).collect()
+    assert sum(r["piece"] == 0 for r in packed) == len(mixed)
+
+
+def test_pipeline_runs(spark):
+    packed = corpus_pipeline.run(spark, DATA)
+    assert packed.count() > 0
+
+
+def test_entry_without_these_folders(tmp_path):
+    """The other queries work where this subpackage and the pipeline are missing."""
+    (tmp_path / "growthlab").mkdir()
+    for p in (ROOT / "growthlab").iterdir():
+        if p.name not in ("llm", "__pycache__"):
+            (tmp_path / "growthlab" / p.name).symlink_to(p)
+    (tmp_path / "__spark_entry__.py").write_text((ROOT / "__spark_entry__.py").read_text())
+    code = "import sys; sys.path.insert(0, sys.argv[1]); import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op') or n == 'pipeline' for n in e.queries()))"
+    said = subprocess.run([sys.executable, "-c", code, str(tmp_path)], capture_output=True, text=True, cwd=tmp_path, check=True).stdout.split()
+    assert said == ["25", "False"]

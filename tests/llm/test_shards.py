@@ -1,0 +1,66 @@
+from __future__ import annotations
+
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+
+from growthlab.llm import shards
+
+
+def test_contract(docs):
+    got = shards.assign(docs, [1.0] * 16, [1.0] * 17).collect()
+    expected = Counter((r["doc_id"], len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode())) for r in docs.collect())
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == expected
+    slots = defaultdict(list)
+    for r in got:
+        assert r["law"] == "key" and r["rack"] == r["shard"] // shards.SHARDS_PER_RACK and r["region"] == r["rack"] // shards.RACKS_PER_REGION
+        assert r["grown_shard"] in (r["shard"], 16)
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def placed(spark, weights, n=20_000):
+    from pyspark.sql import functions as F
+
+    return [tuple(r) for r in spark.range(n).select("id", shards.place(F.col("id"), weights).alias("at")).orderBy("id").select("at.*").collect()]
+
+
+def test_shares_follow_weights(spark):
+    weights = [1.0, 2.0, 3.0, 0.0, 4.0, 1.0, 1.0, 1.0, 5.0, 2.0]
+    count = Counter(s for _, _, s in placed(spark, weights))
+    assert 3 not in count
+    for shard, w in enumerate(weights):
+        assert count[shard] == pytest.approx(20_000 * w / sum(weights), rel=0.12, abs=1)
+
+
+def test_only_changed_subtrees_move(spark):
+    before = [1.0] * 17
+    at = placed(spark, before)
+    for n in (18, 20, 25):  # into the new shards only
+        assert all(a == b or b[2] >= 17 for a, b in zip(at, placed(spark, [1.0] * n), strict=True))
+    heavier = [*before[:5], 3.0, *before[6:]]
+    assert all(a == b or b[2] == 5 for a, b in zip(at, placed(spark, heavier), strict=True))
+    lost = [*before[:5], 0.0, *before[6:]]
+    assert all((a == b) == (a[2] != 5) for a, b in zip(at, placed(spark, lost), strict=True))
+
+
+def test_chunks(docs, monkeypatch):
+    monkeypatch.setattr(shards, "CHUNK_ROWS", 10)
+    got = shards.assign(docs, [1.0, 1.0]).collect()
+    for shard in (0, 1):
+        own = sorted(r["slot"] for r in got if r["shard"] == shard)
+        assert own == list(range(len(own))) and own
+    assert {r["grown_shard"] for r in got} == {None}
+
+
+def test_files(docs, spark, tmp_path):
+    shards.write(docs.drop("shard"), [1.0] * 4, f"file://{tmp_path}/s")
+    back = spark.read.parquet(f"file://{tmp_path}/s")
+    assert back.count() == docs.count() and set(back.columns) >= {"region", "rack", "shard", "text"}
+
+
+def test_nothing(nothing):
+    assert shards.assign(nothing, [1.0] * 16, [1.0] * 17).collect() == []
+    with pytest.raises(ValueError, match="weight"):
+        shards.assign(nothing, [0.0])
