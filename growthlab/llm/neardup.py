@@ -8,10 +8,12 @@ all documents, so that each register of two documents agrees with the probabilit
 Documents with equal sets form a class; only the least id of a class goes on. The registers of a class
 are cut into bands, and classes that agree in a band share a bucket. A pair at the least similarity of 0.8
 misses all ``BANDS`` bands with a probability of 2e-9. Links within a bucket are found without all its
-pairs: every member is held against a centre of the bucket, and after components are built from those
-links, members still in different components of a bucket are held against each other. Pairs pass
-an estimate of the similarity, corrected for registers that agree by chance, with a margin of 8 standard
-errors, and are then verified on their full sets, in the JVM. So every link counts or is implied.
+pairs. Every member is held against a centre of the bucket, and those links give components. Members still in
+different components of a bucket are then looked up by their rarest shingles (prefix filtering), which
+loses no link and does not pair those that differ too much. Pairs from buckets pass an estimate of the
+similarity, corrected for registers that agree by chance, with a margin of 8 standard errors; of each class
+the best is verified first, on full sets in the JVM, and then the best between components that are left.
+So every link counts or is implied.
 """
 
 from __future__ import annotations
@@ -119,7 +121,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a and b <> m").select(F.col("m").alias("a"), "b").distinct()
+        large = both.join(least, "a").where("b > a and b <> m").select(F.col("m").alias("a"), "b")
         centre = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(centre, "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
         edges = written(small.unionByName(centre.select(F.col("m").alias("a"), "b")).distinct(), "edges")
@@ -129,32 +131,27 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def _plausible(least_percent: int) -> object:
-    """UDF: may two sketches belong to sets of the least similarity? (registers, registers, sizes)"""
+@F.arrow_udf(T.DoubleType())
+def _estimate(a: pa.Array, b: pa.Array) -> pa.Array:
+    """The similarity of two sets by their registers, less the share that agrees by chance."""
+    left, right = (np.frombuffer(b"".join(x.to_pylist()), "<u2").reshape(-1, BUCKETS) for x in (a, b))
+    chance = CHANCE * 2.0**-MANTISSA
+    return pa.array(((left == right).mean(axis=1) - chance) / (1 - chance))
 
-    def each(a: pa.Array, b: pa.Array, n: pa.Array, m: pa.Array) -> pa.Array:
-        left = np.frombuffer(b"".join(a.to_pylist()), "<u2").reshape(-1, BUCKETS)
-        right = np.frombuffer(b"".join(b.to_pylist()), "<u2").reshape(-1, BUCKETS)
-        chance = CHANCE * 2.0**-MANTISSA
-        estimate = ((left == right).mean(axis=1) - chance) / (1 - chance)
-        fewest = np.minimum(n.to_numpy(zero_copy_only=False), m.to_numpy(zero_copy_only=False))
-        filled = np.maximum(BUCKETS * -np.expm1(-fewest / BUCKETS), 1)  # registers with hashes of their own
-        j = least_percent / 100
-        return pa.array(estimate >= j - MARGIN * np.sqrt(j * (1 - j) / filled))
 
-    return F.arrow_udf(each, "boolean")
+def _least_estimate(n: Column, m: Column, least_percent: int) -> Column:
+    """MARGIN standard errors below the least similarity: fewer registers have hashes of their own in small sets."""
+    filled = F.greatest(BUCKETS * -F.expm1(-F.least(n, m) / BUCKETS), F.lit(1.0))
+    j = least_percent / 100
+    return j - MARGIN * F.sqrt(j * (1 - j) / filled)
 
 
 def _similar_size(n: Column, m: Column, least_percent: int) -> Column:
     return 100 * F.least(n, m) >= least_percent * F.greatest(n, m)
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, least_percent: int) -> DataFrame:
-    """Of the pairs (a, b) of class ids, those that are links. classes: rep, n, registers."""
-    side = lambda c: classes.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("registers").alias(f"r_{c}"))
-    judged = pairs.join(side("a"), "a").join(side("b"), "b").where(_plausible(least_percent)("r_a", "r_b", "n_a", "n_b"))
-    likely = written(judged.select("a", "b").distinct(), "likely-pairs")
-    needed = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
+def _sets(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
+    """id, set: the full sets of the rows of docs whose ids (doc_id) are needed."""
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,12 +160,68 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.empty(0, np.int64)])))], ["id", "set"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    sets = docs.select("doc_id", "text").join(needed, "doc_id", "left_semi").mapInArrow(each, f"id {id_type}, set array<long>")
-    sets = written(sets, "sets")
+    return docs.select("doc_id", "text").join(needed, "doc_id", "left_semi").mapInArrow(each, f"id {id_type}, set array<long>")
+
+
+def _likely(pairs: DataFrame, classes: DataFrame, least_percent: int) -> DataFrame:
+    """a, b, estimate, most: those of the pairs (a, b, most) of class ids whose sketches may belong to a link."""
+    side = lambda c: classes.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("registers").alias(f"r_{c}"))
+    judged = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("estimate", _estimate("r_a", "r_b"))
+    judged = judged.where(F.col("estimate") >= _least_estimate(F.col("n_a"), F.col("n_b"), least_percent))
+    return judged.groupBy("a", "b").agg(F.max("estimate").alias("estimate"), F.max("most").alias("most"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least_percent: int) -> DataFrame:
+    """Of the pairs (a, b) of class ids, those that are links. sets: id, set."""
     own = lambda c: sets.select(F.col("id").alias(c), F.col("set").alias(f"s_{c}"))
     shared = F.size(F.array_intersect("s_a", "s_b"))
     link = 100 * shared >= least_percent * (F.size("s_a") + F.size("s_b") - shared)
-    return likely.join(own("a"), "a").join(own("b"), "b").where(link).select("a", "b")
+    return pairs.select("a", "b").join(own("a"), "a").join(own("b"), "b").where(link).select("a", "b")
+
+
+def _best(likely: DataFrame) -> DataFrame:
+    """The pair with the highest estimate of each class."""
+    both = likely.select(F.col("a").alias("x"), "a", "b", "estimate").unionByName(likely.select(F.col("b").alias("x"), "a", "b", "estimate"))
+    return both.groupBy("x").agg(F.max(F.struct("estimate", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
+
+
+def _between(likely: DataFrame, found: DataFrame) -> DataFrame:
+    """Of the likely pairs between components of found (node, component), the best for each two components,
+    and those that had a bucket to themselves; _rest covers all others."""
+    side = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
+    both = likely.join(side("a"), "a", "left").join(side("b"), "b", "left").withColumns({"c_a": F.coalesce("c_a", "a"), "c_b": F.coalesce("c_b", "b")})
+    both = written(both.where("c_a <> c_b"), "between")
+    best = both.groupBy(F.least("c_a", "c_b"), F.greatest("c_a", "c_b")).agg(F.max(F.struct("estimate", "a", "b")).alias("best"))
+    return best.select("best.a", "best.b").union(both.where("most = 2").select("a", "b")).distinct()
+
+
+def _edges(found: DataFrame) -> DataFrame:
+    return found.select(F.col("component").alias("a"), F.col("node").alias("b"))
+
+
+def _rest(others: DataFrame, sets: DataFrame, least_percent: int) -> DataFrame:
+    """Pairs (a, b) that may be links between different components of a bucket. others: key, rep, n, component.
+
+    A link needs a common shingle among the rarest of both sets, at places that leave room for the overlap.
+    Members outside the largest component of a bucket are looked up with such shingles among all its
+    members: the many that differ too much have no rare shingle in common, and are never paired.
+    """
+    counts = others.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+    largest = counts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    apart = others.join(largest, "key").groupBy("rep").agg(F.min("component").alias("component"), F.max(F.col("component") != F.col("most.component")).alias("odd"))
+    apart = written(apart, "apart")
+    tokens = written(sets.join(apart, F.col("id") == F.col("rep"), "left_semi").select("id", F.xxhash64("set").alias("of"), F.size("set").alias("n"), F.explode("set").alias("token")), "apart-tokens")
+    common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    ranked = tokens.join(common, "token").groupBy("id", "of", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))  # one document's
+    placed = ranked.select("id", "n", F.size("shared").alias("size"), F.posexplode("shared.token").alias("i", "token"))
+    own = placed.join(apart, F.col("id") == F.col("rep")).withColumn("place", F.col("n") - F.col("size") + F.col("i"))  # a token of its own comes first
+    own = own.where(100 * (F.col("n") - F.col("place")) >= least_percent * F.col("n"))
+    own = written(own.select("token", "rep", "n", "component", "odd", "place"), "apart-prefixes")
+    side = lambda df, c: df.select("token", *(F.col(x).alias(f"{x}_{c}") for x in ("rep", "n", "component", "place")))
+    overlap = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
+    room = (100 + least_percent) * overlap >= least_percent * (F.col("n_x") + F.col("n_y"))
+    pairs = side(own.where("odd"), "x").join(side(own, "y"), "token").where((F.col("component_x") != F.col("component_y")) & room)
+    return pairs.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
 
 
 def groups(docs: DataFrame, size: int = SHINGLE, least_percent: int = LEAST_PERCENT) -> DataFrame:
@@ -185,27 +238,21 @@ def groups(docs: DataFrame, size: int = SHINGLE, least_percent: int = LEAST_PERC
 
     key = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("registers", i * 2 * BAND_REGISTERS + 1, F.lit(2 * BAND_REGISTERS))))
     bands = classes.select("rep", "n", F.explode(key).alias("key"))
-    ranked = F.struct(F.xxhash64("rep", "key").alias("place"), "rep", "n")
-    buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(ranked).alias("centre")).where("members > 1")
-    members = bands.join(buckets, "key").where(F.col("rep") != F.col("centre.rep"))
-    members = written(members.select("key", "rep", "n", "members", F.col("centre.rep").alias("centre"), F.col("centre.n").alias("centre_n")), "members")
-    stars = members.where(_similar_size(F.col("n"), F.col("centre_n"), least_percent))
-    pairs = written(stars.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct(), "pairs")
-    links = written(_verified(pairs, classes, docs, size, least_percent), "links")
-
-    # Rows of one id with different texts, and then the members of a bucket that stars have left apart.
+    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    members = written(bands.join(shared, "key"), "members")
+    centres = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key").alias("place"), "rep", "n")).alias("centre"))
+    stars = members.join(centres, "key").where((F.col("rep") != F.col("centre.rep")) & _similar_size(F.col("n"), F.col("centre.n"), least_percent))
+    pairs = written(stars.select(F.least("rep", "centre.rep").alias("a"), F.greatest("rep", "centre.rep").alias("b"), "members").groupBy("a", "b").agg(F.max("members").alias("most")), "pairs")
+    sets = written(_sets(docs, members.select(F.col("rep").alias("doc_id")).distinct(), size), "sets")
+    likely = written(_likely(pairs, classes, least_percent), "likely-pairs")
     at = full.select("doc_id", "low", "high").join(classes.select("low", "high", "rep"), ["low", "high"]).select("doc_id", "rep")
-    split = at.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
-    links = written(links.unionByName(split), "links")
-    first = components(links)
-    others = members.where("members > 2").select("key", "rep", "n").join(first, F.col("rep") == F.col("node"), "left")
-    others = others.select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    apart = others.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    apart = written(others.join(apart, "key"), "apart")
-    left, right = (apart.select("key", F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("component").alias(f"c_{c}")) for c in "ab")
-    rest = left.join(right, "key").where((F.col("c_a") < F.col("c_b")) & _similar_size(F.col("n_a"), F.col("n_b"), least_percent))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    final = written(components(links.unionByName(_verified(written(rest, "pairs"), classes, docs, size, least_percent))), "components")
+    split = at.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")  # ids with several texts
+    found = components(written(_verified(_best(likely), sets, least_percent), "links").unionByName(split))
+    found = components(_edges(found).unionByName(written(_verified(_between(likely, found), sets, least_percent), "links")))
+    others = members.where("members > 2").join(found, F.col("rep") == F.col("node"), "left")
+    others = written(others.select("key", "rep", "n", F.coalesce("component", "rep").alias("component")), "others")
+    rest = written(_verified(_rest(others, sets, least_percent), sets, least_percent), "links")
+    final = components(_edges(found).unionByName(rest))
 
     out = rows.join(classes.select("low", "high", "rep"), ["low", "high"], "left").join(final.withColumnRenamed("node", "rep"), "rep", "left")
     has = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()

@@ -1,36 +1,11 @@
-"""Small tables with every awkward case, shared by the tests of this folder."""
+"""Small tables, shared by the tests of this folder."""
 
 from __future__ import annotations
 
-import random
-
 import pytest
 from pyspark.sql import functions as F
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _row string, size string, kept int, shard string"
-WORDS = "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which".split()
-
-
-def prose(rng: random.Random, n: int) -> str:
-    return " ".join(rng.choice(WORDS) + rng.choice(["", "", "s", "ly", "ing", "."]) + str(rng.randrange(40)) for _ in range(n))
-
-
-def texts() -> list[tuple]:
-    """(doc_id, text, lang, source)"""
-    rng = random.Random(5)
-    out = [(n, prose(rng, rng.randrange(60, 140)), rng.choice(["en", "de"]), rng.choice(["a", "b", "é", "Z"])) for n in range(60)]
-    base = prose(rng, 120)
-    words = base.split()
-    near = [" ".join(words[:k] + ["changed"] + words[k + 1 :]) for k in (10, 50, 90)]
-    out += [(100, base, "en", "a"), (101, base.upper(), "en", "b"), *((102 + i, t, "en", "a") for i, t in enumerate(near))]
-    out += [
-        (200, None, "en", "a"), (201, "", None, None), (202, " \n\t ", "en", "a"), (203, "One", "en", None), (204, "oNE", "en", "b"),
-        (205, "x" * 5000, None, "a"), (206, prose(rng, 9000), "en", "a"), (207, "a\u00a0b \u4e2d\u6587 \U0001f600", "zh", "a"), (208, "$$$ ### " * 60, "en", "a"),
-        (209, "same line here\n" * 40, "en", "b"), (210, base, "en", "a"), (210, base, "en", "a"), (None, base, "en", "a"), (211, "two words", "en", "a"), (212, "two words", "en", "a"),
-        (213, "Released under the MIT License. " * 3 + prose(rng, 60), "en", "a"), (214, "Licensed under the Apache License, Version 2.0 and CC BY-NC 4.0.", "en", "b"),
-        (215, "a<|endoftext|>b  double  spaces \n end ", "en", "a"),
-    ]
-    return out
+from samples import SCHEMA, texts
 
 
 @pytest.fixture(scope="session")
@@ -45,7 +20,3 @@ def docs(spark, tmp_path_factory):
 @pytest.fixture(scope="session")
 def nothing(docs):
     return docs.where(F.lit(False))
-
-
-def lowered(text: str | None) -> bytes:
-    return (text or "").encode().lower()

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from conftest import lowered
+from samples import lowered
 from growthlab.llm import ctw
 
 

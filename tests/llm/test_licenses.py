@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import lowered
+from samples import lowered
 from growthlab.llm import licenses, queries
 from sqlcheck import compare_rows
 

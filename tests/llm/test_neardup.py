@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from conftest import lowered, prose
+from samples import lowered, prose
 from growthlab.llm import neardup
 
 
