@@ -8,7 +8,8 @@ The estimate covers all rows. It starts from each group's coordinatewise median
 concentration steps: distances from the present estimate are dealt into fixed bins, the moments of each
 bin are summed, and the bins that hold the nearest ``support`` of the group give the next estimate. So a
 step is one aggregation with map-side sums; neither a group's rows nor their order meet in one task, and a
-group may hold any share of the corpus. Of the steps, the one with the least determinant counts.
+group may hold any share of the corpus. Steps go on until no group's determinant has
+fallen for a few; of each group's, the one with the least counts. The scatter of the nearest half is then multiplied by the factor that makes it that of all rows where these are normal.
 """
 
 from __future__ import annotations
@@ -28,15 +29,22 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 STATS = ("log_words", "log_word_length", "symbol_root", "dup_line_root", "repeat_root")
 #: Least spread of each statistic: differences below it mean nothing, and most texts have no symbols at all.
 FLOORS = (0.35, 0.045, 0.045, 0.06, 0.2)
-#: Share of a group that the estimate rests on.
-SUPPORT = 0.75
+#: Share of a group that the estimate rests on: the least possible, so that nearly half of a group may be junk.
+SUPPORT = 0.5
+#: SUPPORT over the probability that chi-square with 7 degrees of freedom is below the SUPPORT quantile of that with 5.
+CONSISTENCY = 1.912208
 #: Rejects beyond the chi-square quantile, 5 degrees of freedom, of 1 - 1e-5.
 MAX_DISTANCE2 = 30.86
-STEPS = 4
+#: A corpus whose determinants still fall after so many steps is an error; a dozen or two are common.
+STEPS = 100
+#: Least fall of a log-determinant that counts: less is the order of a sum.
+LEAST_FALL = 1e-6
+#: Steps end after so many without a fall: with bins, a determinant may rise a little before it falls again.
+QUIET_STEPS = 3
 #: Groups with fewer rows take the estimate of their language, and that of all rows if this is small too.
 LEAST_ROWS = 100
 #: Bins of log2(1 + squared distance), so many for each doubling.
-BINS_PER_DOUBLING = 16
+BINS_PER_DOUBLING = 64
 _SPACE, _SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 
 
@@ -98,18 +106,20 @@ def _moments() -> list:
 
 
 def _estimate(sums: pd.DataFrame) -> pd.DataFrame:
-    """From each row's moments: centre, the inverse of the floored scatter, and its log-determinant."""
+    """From each row's moments: centre, the inverse of the floored scatter, its log-determinant, and the
+    inverse with the consistency factor."""
     n = np.maximum(sums["n"].to_numpy(float), 1)
     centre = sums[[f"s{i}" for i in range(5)]].to_numpy(float) / n[:, None]
     scatter = np.zeros((len(sums), 5, 5))
     for i in range(5):
         for j in range(i, 5):
             scatter[:, i, j] = scatter[:, j, i] = sums[f"p{i}_{j}"].to_numpy(float) / n - centre[:, i] * centre[:, j]
-    scatter += np.diag(np.square(FLOORS))
-    return pd.DataFrame({"centre": list(centre), "inverse": list(np.linalg.inv(scatter).reshape(-1, 25)), "logdet": np.linalg.slogdet(scatter)[1]})
+    floors = np.diag(np.square(FLOORS))
+    inverse, consistent = (list(np.linalg.inv(factor * scatter + floors).reshape(-1, 25)) for factor in (1, CONSISTENCY))
+    return pd.DataFrame({"centre": list(centre), "inverse": inverse, "logdet": np.linalg.slogdet(scatter + floors)[1], "consistent": consistent})
 
 
-_ESTIMATE = "_level int, _key string, rows bigint, centre array<double>, inverse array<double>, logdet double"
+_ESTIMATE = "_level int, _key string, rows bigint, centre array<double>, inverse array<double>, logdet double, consistent array<double>"
 
 
 def _estimates(moments: DataFrame) -> DataFrame:
@@ -134,7 +144,7 @@ def _first(levels: DataFrame) -> DataFrame:
     got = levels.groupBy("_level", "_key").agg(F.count(F.lit(1)).alias("rows"), *marks)
     spread = [F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 2, 2) + FLOORS[i] ** 2 for i in range(5)]
     inverse = [1 / spread[i] if i == j else F.lit(0.0) for i in range(5) for j in range(5)]
-    return got.select("_level", "_key", "rows", F.array(*(F.col(f"q{i}")[1] for i in range(5))).alias("centre"), F.array(*inverse).alias("inverse"), F.lit(float("inf")).alias("logdet"))
+    return got.select("_level", "_key", "rows", F.array(*(F.col(f"q{i}")[1] for i in range(5))).alias("centre"), F.array(*inverse).alias("inverse"), F.lit(float("inf")).alias("logdet"), F.array(*inverse).alias("consistent"))
 
 
 def _step(levels: DataFrame, estimates: DataFrame) -> DataFrame:
@@ -154,13 +164,19 @@ def fit(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     """Estimates, one row for each (lang, source), each lang and all; rows: lang, source and STATS, without
     those that failed the base rules. No rows: no estimates."""
     levels = written(_levels(rows), "quality-levels")
-    now = written(_first(levels), "quality-step")
-    tried = None
+    names = ("rows", "centre", "inverse", "logdet", "consistent")
+    first = _first(levels)
+    state = written(first.select("_level", "_key", *(F.struct(*names).alias(c) for c in ("now", "best"))), "quality-step")
+    quiet = 0
     for _ in range(steps):
-        now = written(_step(levels, now), "quality-step")
-        tried = now if tried is None else tried.unionByName(now)
-    best = Window.partitionBy("_level", "_key").orderBy("logdet", F.col("centre"))
-    return written(tried.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r"), "quality-estimates")
+        now = _step(levels, state.select("_level", "_key", "now.*")).select("_level", "_key", F.struct(*names).alias("now"))
+        fell = F.col("now.logdet") < F.col("best.logdet") - LEAST_FALL
+        both = now.join(state.select("_level", "_key", "best"), ["_level", "_key"])
+        state = written(both.select("_level", "_key", "now", F.when(fell, F.col("now")).otherwise(F.col("best")).alias("best"), fell.alias("fell")), "quality-step")
+        quiet = 0 if state.where("fell").limit(1).count() else quiet + 1
+        if quiet == QUIET_STEPS:
+            return state.select("_level", "_key", "best.*").withColumn("inverse", F.col("consistent")).drop("consistent")
+    raise ValueError(f"determinants still fall after {steps} steps")
 
 
 def verdicts(rows: DataFrame, estimates: DataFrame, max_distance2: float = MAX_DISTANCE2) -> DataFrame:

@@ -73,6 +73,19 @@ def test_steps_are_those_of_one_machine(spark):
     assert np.allclose(got["centre"], clean.mean(0), atol=0.2)
 
 
+def test_many_junk_copies_in_one_source(spark):
+    """Identical copies that are 35 to 40 % of a source, and of all rows, leave the estimate to the others."""
+    rng = np.random.default_rng(3)
+    for share in (0.35, 0.4):
+        rows = [(i, " ".join("".join(rng.choice(list("abcdefgh"), int(rng.integers(3, 8)))) for _ in range(int(rng.integers(80, 400))))) for i in range(300)]
+        junk = " ".join(f"{w}{'$#&'[n % 3] * 3}" for n, w in enumerate(rows[0][1].split()))
+        rows += [(1000 + i, junk) for i in range(round(300 * share / (1 - share)))]
+        table = spark.createDataFrame([(*r, "en", "s") for r in rows], "doc_id long, text string, lang string, source string")
+        got = quality.judge(table).collect()
+        assert not any(r["base_failed"] for r in got)
+        assert {r["doc_id"] for r in got if r["kept"]} == set(range(300))
+
+
 def test_nothing(nothing):
     assert quality.judge(nothing).collect() == [] and quality.keep(nothing).collect() == []
 
