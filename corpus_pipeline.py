@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from growthlab.llm import mixing, neardup, packing, quality
 from growthlab.llm.store import written
 
+#: Words in a shingle of the near-dedup stage; two are op7's own.
+SHINGLE = 5
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -22,7 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one of the least id."""
-    return neardup.deduplicate(docs)
+    return neardup.deduplicate(docs, SHINGLE)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

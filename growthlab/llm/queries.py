@@ -47,7 +47,7 @@ def op6_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_hyperminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of near-duplicates of every document."""
-    return neardup.groups(_table(spark, sf_dir, "documents"))
+    return neardup.groups(_table(spark, sf_dir, "documents"), size=2)
 
 
 def op8_link_graph_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

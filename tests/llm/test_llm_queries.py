@@ -45,6 +45,14 @@ def test_pipeline_stages(spark, docs):
     assert sum(r["piece"] == 0 for r in packed) == len(mixed)
 
 
+def test_pipeline_takes_shingles_of_five_words(spark, docs):
+    """A pair at 0.82 by shingles of two words and 0.59 by those of five is no pair of near-duplicates."""
+    words = [f"word{n}" for n in range(100)]
+    edited = [f"{w}x" if n % 20 == 10 else w for n, w in enumerate(words)]
+    rows = spark.createDataFrame([(n, " ".join(w)) for n, w in enumerate((words, edited, words))], "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, rows, DATA).collect()} == {0, 1}
+
+
 def test_pipeline_runs(spark):
     packed = corpus_pipeline.run(spark, DATA)
     assert packed.count() > 0
