@@ -34,7 +34,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 1024 tokens."""
-    return packing.pack_documents(docs, TOKENIZER, keep_ids=False)
+    return packing.pack_documents(docs, TOKENIZER, keep_ids=False, added_tokens=True)
 
 
 STAGES = [("quality rules", quality_rules), ("near-dedup", near_dedup), ("mixing", mix), ("packing", pack)]

@@ -30,11 +30,12 @@ END_ID = 2
 BROADCAST_COUNTS = 1_000_000
 
 
-def tokenise(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY, keep_ids: bool = True) -> DataFrame:
+def tokenise(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY, keep_ids: bool = True, added_tokens: bool = False) -> DataFrame:
     """Pieces of at most ``capacity`` ids: doc_id, piece, start, length, ids_crc32 and, if kept, ids.
 
     A document is the ids of its whole text and then ``end_id``. Only a longer one is cut, into pieces of
     exactly ``capacity`` of which the first may be shorter. A null text is empty: one piece, the end id.
+    With ``added_tokens``, an added token of the file in a text is its own id, else it is text like any other.
     ``task`` and ``nth`` number the pieces of each length within the task that made them.
     """
     fields = [docs.select("doc_id").schema[0], *(T.StructField(n, t, False) for n, t in (("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.IntegerType()), ("ids_crc32", T.LongType()), ("task", T.IntegerType()), ("nth", T.LongType())))]
@@ -45,7 +46,8 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: in
     def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, task, seen = encoder(tokenizer).encode, TaskContext.get().partitionId(), [0] * (capacity + 1)
+        own = encoder(tokenizer)
+        encode, task, seen = own.encode_added if added_tokens else own.encode, TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in enumerate(batch.column("text").to_pylist()):
@@ -148,12 +150,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return placed.select(*(c for c in pieces.columns if c not in ("task", "nth")), "_at.sequence_id", "_at.offset")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = True, added_tokens: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, ids (if kept), sequence_id, offset for every document.
 
     Repeated rows are packed each; columns other than doc_id and text are not read.
     """
-    return pack(tokenise(docs, tokenizer, end_id, capacity, keep_ids), capacity)
+    return pack(tokenise(docs, tokenizer, end_id, capacity, keep_ids, added_tokens), capacity)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

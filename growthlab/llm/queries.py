@@ -16,7 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in sequences of at most 1024 tokens."""
-    return packing.pack_documents(_table(spark, sf_dir, "documents"), TOKENIZER, keep_ids=False)
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), TOKENIZER, keep_ids=False, added_tokens=True)
 
 
 def op2_robust_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

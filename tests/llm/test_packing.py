@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from growthlab.llm import packing
+from growthlab.llm import packing, queries
 from growthlab.llm.bpe import PATTERN, Encoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -31,6 +31,18 @@ def test_ids_are_the_tokenizers(text):
         assert np.frombuffer(_CACHED.encode(text), "<u4").tolist() == plain(text)
 
 
+def test_added_tokens_of_the_query(spark, tmp_path):
+    """op1 against a Tokenizer in its default setting: an added token in a text is one id."""
+    default = Tokenizer.from_file(PATH)
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>\n x", "a <|endoftext| > b", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in queries.op1_best_two_fit_packing(spark, str(tmp_path)).collect()}
+    for n, text in enumerate(texts):
+        ids = [*default.encode(text or "", add_special_tokens=False).ids, 2]
+        assert got[n] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    assert got[0][0] == 5
+
+
 def test_pattern():
     assert PATTERN == public_tokenizers.PATTERN
 
