@@ -2,10 +2,11 @@
 
 Lines that begin with one or more ``>`` are quotes, nested as deep as there are marks. Runs of quoted lines of
 one level are passages. A passage, and each of its lines, is normalised, hashed and joined to the message
-that first wrote it: in the same conversation before the quoting message, or else the first of all. So a
-hash leads to one message, and however often a line was written or quoted, rows are never paired with each
-other. A message replies to the original of its shallowest quotes, or without one to the opening
-message of its conversation. Replies form trees, whose roots pointer doubling finds; a tree is a
+that first wrote it: in the same conversation before the quoting message, or else the first of all other
+conversations, whose ids say nothing of time. So a hash leads to one message, and however often a line was
+written or quoted, rows are never paired with each other. A message replies to the original of its shallowest quotes, or without one to the opening
+message of its conversation. Where replies form a cycle, the least message in it goes back to its
+opening. So replies form trees, whose roots pointer doubling finds; a tree is a
 conversation without quotes, in an order that puts every message after the one it replies to.
 """
 
@@ -69,21 +70,57 @@ def _replies(quotes: DataFrame, first: DataFrame) -> DataFrame:
     here = first.select("conv_id", "hash", F.col("turn").alias("here"))
     ever = first.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("ever"))
     asked = quotes.join(here, ["conv_id", "hash"], "left").join(ever, "hash", "left")
-    same = F.col("here") < F.col("turn")
-    found = asked.withColumn("to", F.when(same, F.struct("conv_id", F.col("here").alias("turn"))).when(F.col("ever") < F.struct("conv_id", "turn"), F.col("ever")))
-    found = found.where("to is not null").groupBy("conv_id", "turn", "level", F.coalesce(same, F.lit(False)).alias("same"), "whole", "to").agg(F.sum("words").alias("words"))
+    same = F.coalesce(F.col("here") < F.col("turn"), F.lit(False))
+    own = F.col("ever.conv_id") == F.col("conv_id")  # the first of all is in the quoting conversation, but not before
+    skipped = asked.where(~same & own).select("hash", F.col("conv_id").alias("skipped")).distinct()
+    others = first.join(skipped, "hash").where("conv_id <> skipped").groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("other"))
+    elsewhere = F.when(own, F.col("other")).otherwise(F.col("ever"))
+    found = asked.join(others, "hash", "left").withColumn("to", F.when(same, F.struct("conv_id", F.col("here").alias("turn"))).otherwise(elsewhere))
+    found = found.where("to is not null").groupBy("conv_id", "turn", "level", same.alias("same"), "whole", "to").agg(F.sum("words").alias("words"))
     best = F.max(F.struct((-F.col("level")).alias("l"), "same", "whole", "words", (-F.col("to.conv_id")).alias("c"), (-F.col("to.turn")).alias("t"))).alias("b")
     return found.groupBy("conv_id", "turn").agg(best).select("conv_id", "turn", (-F.col("b.c")).alias("to_conv"), (-F.col("b.t")).alias("to_turn"))
 
 
+def _without_cycles(nodes: DataFrame) -> DataFrame:
+    """nodes (conv_id, turn, opens, linked, to_conv, to_turn) whose replies form trees.
+
+    Of each cycle the least message, whose reply is a quote of a greater one, loses this link and hangs under its
+    opening. That may close another cycle, so it is repeated; without a link to a greater message there is none.
+    """
+    node, to = F.struct("conv_id", "turn"), F.struct(F.col("to_conv").alias("conv_id"), F.col("to_turn").alias("turn"))
+    while nodes.where(F.col("linked") & (to > node)).limit(1).count():
+        at, reach, before = nodes.where("to_conv is not null").select(node.alias("node"), to.alias("to"), node.alias("least")), 1, -1
+        while True:
+            at = written(at, "reply-cycles")
+            left = at.count()
+            if not left or (left == before and reach >= left):
+                break
+            up = at.select(F.col("node").alias("to"), F.col("to").alias("up_to"), F.col("least").alias("up_least"))
+            at = at.join(up, "to").select("node", F.col("up_to").alias("to"), F.least("least", "up_least").alias("least"))  # what ends in a root leaves
+            reach, before = 2 * reach, left
+        if not left:
+            break
+        cut = at.join(at.select(F.col("to").alias("node")).distinct(), "node").select(F.col("least.conv_id").alias("conv_id"), F.col("least.turn").alias("turn"), F.lit(True).alias("cut")).distinct()
+        kept, opening = F.col("cut").isNull(), F.col("turn") == F.col("opens")
+        nodes = nodes.join(cut, ["conv_id", "turn"], "left").select(
+            "conv_id", "turn", "opens", (F.col("linked") & kept).alias("linked"),
+            F.when(kept, F.col("to_conv")).when(~opening, F.col("conv_id")).alias("to_conv"),
+            F.when(kept, F.col("to_turn")).when(~opening, F.col("opens")).alias("to_turn"),
+        )
+        nodes = written(nodes, "replies")
+    return nodes
+
+
 def _roots(nodes: DataFrame) -> DataFrame:
-    """nodes (conv_id, turn, to_conv, to_turn) with root_conv, root_turn and level, by pointer doubling."""
+    """nodes (conv_id, turn, to_conv, to_turn) with root_conv, root_turn, level and the greatest message on
+    the way to the root, by pointer doubling."""
     at = nodes.select("conv_id", "turn", F.coalesce("to_conv", "conv_id").alias("root_conv"), F.coalesce("to_turn", "turn").alias("root_turn"), F.col("to_conv").isNotNull().cast("long").alias("steps"))
+    at = at.withColumn("greatest", F.greatest(F.struct("conv_id", "turn"), F.struct(F.col("root_conv").alias("conv_id"), F.col("root_turn").alias("turn"))))
     at = written(at, "reply-roots")
     while True:
-        up = at.select(F.col("conv_id").alias("root_conv"), F.col("turn").alias("root_turn"), F.col("root_conv").alias("up_conv"), F.col("root_turn").alias("up_turn"), F.col("steps").alias("up_steps"))
+        up = at.select(F.col("conv_id").alias("root_conv"), F.col("turn").alias("root_turn"), F.col("root_conv").alias("up_conv"), F.col("root_turn").alias("up_turn"), F.col("steps").alias("up_steps"), F.col("greatest").alias("up_greatest"))
         further = at.join(up, ["root_conv", "root_turn"])
-        moved = further.select("conv_id", "turn", F.col("up_conv").alias("root_conv"), F.col("up_turn").alias("root_turn"), (F.col("steps") + F.col("up_steps")).alias("steps"))
+        moved = further.select("conv_id", "turn", F.col("up_conv").alias("root_conv"), F.col("up_turn").alias("root_turn"), (F.col("steps") + F.col("up_steps")).alias("steps"), F.greatest("greatest", "up_greatest").alias("greatest"))
         more = further.where("up_steps > 0").limit(1).count()
         if not more:
             return at
@@ -117,15 +154,15 @@ def link(messages: DataFrame) -> DataFrame:
     nodes = placed.select("conv_id", "turn").distinct().join(replies, ["conv_id", "turn"], "left").join(opening, "conv_id")
     linked, opens = F.col("to_conv").isNotNull(), F.col("turn") == F.col("opens")
     nodes = nodes.select(
-        "conv_id", "turn", linked.alias("linked"),
+        "conv_id", "turn", "opens", linked.alias("linked"),
         F.when(linked, F.col("to_conv")).when(~opens, F.col("conv_id")).alias("to_conv"),
         F.when(linked, F.col("to_turn")).when(~opens, F.col("opens")).alias("to_turn"),
     )
-    nodes = written(nodes, "replies")
+    nodes = _without_cycles(written(nodes, "replies"))
     threads = nodes.join(_roots(nodes), ["conv_id", "turn"])
-    threads = threads.select("conv_id", "turn", "linked", F.col("to_conv").alias("reply_conv"), F.col("to_turn").alias("reply_turn"), F.col("root_conv").alias("thread_conv"), F.col("root_turn").alias("thread_turn"), F.col("steps").alias("reply_level"))
+    threads = threads.select("conv_id", "turn", "linked", F.col("to_conv").alias("reply_conv"), F.col("to_turn").alias("reply_turn"), F.col("root_conv").alias("thread_conv"), F.col("root_turn").alias("thread_turn"), F.col("steps").alias("reply_level"), "greatest")
     found = parsed.drop("lines").join(threads, ["conv_id", "turn"], "left")
-    inside = _numbered(found.where("thread_conv is not null"), ["thread_conv", "thread_turn"], ["conv_id", "turn", "row"], "position")
+    inside = _numbered(found.where("thread_conv is not null"), ["thread_conv", "thread_turn"], ["greatest", "reply_level", "conv_id", "turn", "row"], "position")
     out = inside.unionByName(found.where("thread_conv is null"), allowMissingColumns=True)
     columns = ("conv_id", "turn", "role", "own_text", "quoted_lines", "max_level", "linked", "reply_conv", "reply_turn", "thread_conv", "thread_turn", "reply_level", "position")
     return out.select(*columns)

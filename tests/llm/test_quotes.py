@@ -64,6 +64,27 @@ def test_many_copies(spark):
     assert got.count() == 120 and got.where("linked and reply_conv = conv_id and reply_turn = 0").count() == 80
 
 
+def test_originals_in_later_conversations(spark):
+    """Ids are not times: an original may have a larger conv_id; only real cycles of replies are broken."""
+    rows = [
+        (3, 0, "user", "opens three"), (3, 1, "user", "> first in seven\nanswer in three"), (7, 0, "user", "first in seven"), (7, 1, "user", "> answer in three\nback"),
+        (8, 0, "user", "> end of nine\nstart of eight"), (9, 0, "user", "> start of eight\nend of nine"),
+        (10, 0, "user", "> said later\nx"), (10, 1, "user", "said later"), (11, 0, "user", "said later"),
+        (12, 0, "user", "open"), (12, 1, "user", "> of thirteen\nof twelve"), (13, 0, "user", "> open\nof thirteen"),
+        (14, 0, "user", "> two of fifteen\nzero of fourteen"), (14, 1, "user", "> two of fifteen\none of fourteen"), (15, 2, "user", "> one of fourteen\ntwo of fifteen"),
+    ]
+    got = {(r["conv_id"], r["turn"]): r for r in quotes.link(table(spark, rows)).collect()}
+    at = lambda c, t: tuple(got[c, t][x] for x in ("linked", "reply_conv", "reply_turn", "thread_conv", "thread_turn"))
+    assert at(3, 1) == (True, 7, 0, 7, 0) and at(7, 1) == (True, 3, 1, 7, 0)
+    assert at(8, 0) == (False, None, None, 8, 0) and at(9, 0) == (True, 8, 0, 8, 0)
+    assert at(10, 0) == (True, 11, 0, 11, 0)
+    assert at(12, 1) == (True, 13, 0, 12, 0) and at(13, 0) == (True, 12, 0, 12, 0)
+    assert at(14, 1) == (False, 14, 0, 14, 0) and at(15, 2) == (True, 14, 1, 14, 0) and at(14, 0) == (False, None, None, 14, 0)
+    for r in got.values():
+        if r["reply_conv"] is not None:
+            assert got[r["reply_conv"], r["reply_turn"]]["position"] < r["position"]
+
+
 def test_nothing(spark):
     assert quotes.link(table(spark, [])).collect() == []
 
