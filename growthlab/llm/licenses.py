@@ -4,7 +4,8 @@ Every window of ``K`` words of a text is joined to the same windows of the licen
 then by the words themselves. A hit at word p of the text and word t of the template votes for the diagonal
 p - t: where the template would start. A template that stands in the text unchanged has all its windows on
 one diagonal; one with a few words added or lost has them on neighbouring diagonals, which are merged.
-A span is verified by its share of the template's windows and by its length.
+A span is verified by its share of the template's windows and by its length. Notices of related licenses
+differ in a word or two, so of verified notices that overlap the one with the largest share stays.
 
 Templates are a small fixed table, so they are broadcast whatever the corpus; the texts are never
 shuffled, only one row for each text and one for each hit.
@@ -24,6 +25,8 @@ MAX_SHIFT = 2
 LEAST_SHARE, MAX_STRETCH = 0.8, 1.5
 #: Most words in the templates together: what is sent to every executor.
 MAX_TEMPLATE_WORDS = 100_000
+#: Overlapping spans meet in stretches of so many words.
+STRETCH = 64
 
 # Labels with the phrases that give them wherever they stand, then the wording of notices.
 PHRASES = (
@@ -40,7 +43,17 @@ NOTICES = (
     ("cc-by-nc", "creative commons attribution noncommercial 4 0 international"),
     ("cc-by", "creative commons attribution 4 0 international"),
     ("gpl-3", "licensed under the gnu general public license version 3"),
-    ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl-2", "gnu general public license version 2"),
+    ("agpl-3", "gnu affero general public license version 3"),
+    ("lgpl-2.1", "gnu lesser general public license version 2 1"),
+    ("lgpl-3", "gnu lesser general public license version 3"),
+    *((label, f"this {what} is free software you can redistribute it and or modify it under the terms of the gnu {name} as published by the free software foundation either version {version} of the license or at your option any later version") for label, what, name, version in (
+        ("gpl-2", "program", "general public license", "2"),
+        ("gpl-3", "program", "general public license", "3"),
+        ("agpl-3", "program", "affero general public license", "3"),
+        ("lgpl-2.1", "library", "lesser general public license", "2 1"),
+        ("lgpl-3", "library", "lesser general public license", "3"),
+    )),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
@@ -74,6 +87,19 @@ def template_windows(spark: SparkSession, phrases=PHRASES, notices=NOTICES) -> D
     return table.select(F.xxhash64("window").alias("hash"), "*")
 
 
+def _best(spans: DataFrame) -> DataFrame:
+    """spans without those notices that overlap a notice of another label with a larger share, or with the same
+    share of more windows. Spans are compared within stretches of a text, so there are few pairs."""
+    key, values = ["row", "template", "span"], ["label", "first", "end", "share", "hits"]
+    at = F.explode(F.sequence(F.floor(F.col("first") / STRETCH), F.floor(F.col("end") / STRETCH))).alias("at")
+    notices = spans.where("not base").select(*key, *values, at)
+    rivals = notices.select("row", "at", *(F.col(c).alias(f"r_{c}") for c in values))
+    better = (F.col("r_share") > F.col("share")) | ((F.col("r_share") == F.col("share")) & (F.col("r_hits") > F.col("hits")))
+    overlap = (F.col("first") < F.col("r_end")) & (F.col("r_first") < F.col("end"))
+    lost = notices.join(rivals, ["row", "at"]).where((F.col("label") != F.col("r_label")) & overlap & better)
+    return spans.join(lost.select(*key).distinct().withColumn("lost", F.lit(True)), key, "left").where("lost is null").drop("lost")
+
+
 def scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES) -> tuple[DataFrame, DataFrame]:
     """(texts, spans): a row for each row of docs with doc_id and n_words; and every base phrase and
     verified notice, with its row, label, first and last word, share and whether it is a base phrase.
@@ -99,6 +125,7 @@ def scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES) -> tuple[DataFrame,
     )
     long_ = F.col("end") - F.col("first") > MAX_STRETCH * (F.col("grams") + K - 1)
     spans = spans.where(F.when(F.col("base"), F.col("share") == 1).otherwise((F.col("share") >= LEAST_SHARE) & ~long_))
+    spans = _best(written(spans, "license-spans"))
     texts = found.select("row", "doc_id", "n_words").distinct()
     return texts, spans.select("row", "label", "base", "first", (F.col("end") - 1).alias("last"), "share")
 

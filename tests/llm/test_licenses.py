@@ -43,6 +43,22 @@ def test_labels_of_the_method(table):
     assert labels[6] == "gpl-3" and labels[7] == labels[8] == "" and labels[9] == "mit" and labels[10] == "" and labels[16] == "bsd" and labels[5] == ""
 
 
+HEADER = "This {} is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+
+
+def test_related_licenses(spark):
+    """Headers that differ in a word or two get the label of their own license only."""
+    texts = [
+        ("gpl-3", HEADER.format("program", "General Public License", "3")), ("gpl-2", HEADER.format("program", "General Public License", "2")),
+        ("agpl-3", HEADER.format("program", "Affero General Public License", "3")), ("lgpl-2.1", HEADER.format("library", "Lesser General Public License", "2.1")),
+        ("gpl-2", "Licensed under the GNU General Public License, version 2"), ("agpl-3", "x " * 60 + HEADER.format("program", "Affero General Public License", "3")),
+        ("gpl-2,gpl-3", "Licensed under the GNU General Public License version 2. Licensed under the GNU General Public License version 3"),
+    ]
+    table = spark.createDataFrame([(n, t) for n, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.label(table).collect()}
+    assert [got[n] for n in range(len(texts))] == [label for label, _ in texts]
+
+
 def test_against_sql(spark, table):
     compare_rows(spark, licenses.label(table), queries.ORACLE_SQL["op10_license_diagonals"], documents=table.select("doc_id", "text"))
 
