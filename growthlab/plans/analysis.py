@@ -14,7 +14,7 @@ from growthlab.plans.experiment import ExperimentConfig, parse_experiment
 from growthlab.sources import SheetNotFound, annotated_path, bar_chart, line_chart, read_rows, read_sheet, write_annotated, write_report
 
 TV_SHEET, EXPERIMENT_SHEET = "TV", "experiment data"
-#: Most rows of the settings' sheet and most points of a chart: what may come to the driver.
+#: Most rows of the settings' sheet and most points of a chart: what may come to the driver. More are an error.
 MAX_SETTINGS, MAX_POINTS = 10_000, 100_000
 
 
@@ -29,13 +29,20 @@ class Manifest:
     num_errors: int
 
 
+def _bounded(rows: DataFrame, most: int, what: str) -> list:
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"{what} has more than {most} rows")
+    return found
+
+
 def read_experiment(spark: SparkSession, path: str) -> ExperimentConfig:
     """The settings of a workbook; the defaults where it has no sheet for them."""
     try:
         rows = read_rows(spark, path, EXPERIMENT_SHEET)
     except SheetNotFound:
         return ExperimentConfig()
-    found = rows.orderBy("_row").limit(MAX_SETTINGS).collect()
+    found = _bounded(rows.orderBy("_row"), MAX_SETTINGS, f"sheet {EXPERIMENT_SHEET}")
     return parse_experiment([[c["text"] if c else None for c in r["cells"]] for r in found])
 
 
@@ -69,9 +76,9 @@ def analyze(spark: SparkSession, path: str, output_dir: str = "output", on_zero_
     found = tables(wide.cache(), days, config.threshold, on_zero_baseline)
     manifest = Manifest(out / "tumor_growth_results.xlsx", out / "mean_tumor_volume_sem.svg", out / "responder_percentage_by_group.svg", found["growth"].count(), found["errors"].count())
     write_report(found, manifest.output_excel)
-    means = found["general_summary"].orderBy("grp", "day").limit(MAX_POINTS).collect()
+    means = _bounded(found["general_summary"].orderBy("grp", "day"), MAX_POINTS, "the chart of means")
     line_chart([(r["grp"], r["day"], r["mean_tv"], r["sem"]) for r in means], manifest.mean_tv_graph)
-    shares = found["response_summary"].orderBy("grp").limit(MAX_POINTS).collect()
+    shares = _bounded(found["response_summary"].orderBy("grp"), MAX_POINTS, "the chart of responders")
     bar_chart([(r["grp"], r["responder_percent"]) for r in shares], manifest.responder_graph)
     wide.unpersist()
     return manifest

@@ -6,6 +6,7 @@ from pyspark.errors import PySparkException
 from growthlab import operators as O
 from growthlab.cli import main
 from growthlab.plans import ExperimentConfig, analyze, annotate_workbook, parse_experiment, read_experiment, read_growth, tables
+from growthlab.plans import analysis
 from growthlab.sources import SheetNotFound, annotated_path, read_sheet, sheet_names, write_tables, write_xlsx
 
 
@@ -147,3 +148,16 @@ def test_command_line(spark, tmp_path, capsys):
     for bad in (["volume", "x", "1"], ["annotate", str(tmp_path / "none.xlsx")], ["annotate", "a.txt"], ["annotate", " "]):
         with pytest.raises(SystemExit):
             main(bad)
+
+
+def test_no_silent_bounds(spark, tmp_path, monkeypatch):
+    """Settings and points beyond the bounds are an error, not left out."""
+    path = str(tmp_path / "bounds.xlsx")
+    write_xlsx(path, [("TV", ["title"], [["Group", "mouse", "0", "3"], ["A", 1, 100.0, 120.0], ["B", 2, 100.0, 130.0]]), ("experiment data", ["a"], [["b"], ["c"]])])
+    analysis.analyze(spark, path, str(tmp_path / "out"))
+    monkeypatch.setattr(analysis, "MAX_POINTS", 3)
+    with pytest.raises(ValueError, match="chart of means"):
+        analysis.analyze(spark, path, str(tmp_path / "out"))
+    monkeypatch.setattr(analysis, "MAX_SETTINGS", 2)
+    with pytest.raises(ValueError, match="experiment data"):
+        analysis.read_experiment(spark, path)
