@@ -16,8 +16,8 @@ def _workbook(text: str) -> str:
     path = text.strip()
     if not path:
         raise argparse.ArgumentTypeError("a path is needed")
-    if Path(path).suffix.lower() not in (".xlsx", ".xls"):
-        raise argparse.ArgumentTypeError("an .xlsx workbook is needed")
+    if Path(path).suffix.lower() != ".xlsx":
+        raise argparse.ArgumentTypeError("an .xlsx workbook is needed; save one in the old format .xls as .xlsx")
     if "://" not in path and not Path(path).exists():
         raise argparse.ArgumentTypeError(f"no file {path}")
     return path
@@ -26,9 +26,9 @@ def _workbook(text: str) -> str:
 def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="growthlab", description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
-    one = commands.add_parser("volume", help="volume of one tumour")
-    one.add_argument("length", type=float)
-    one.add_argument("width", type=float)
+    one = commands.add_parser("volume", help="volume of one tumour; what is left out is asked for, the length first")
+    one.add_argument("length", type=float, nargs="?")
+    one.add_argument("width", type=float, nargs="?")
     one = commands.add_parser("annotate", help="volumes beside the rows of a workbook")
     one.add_argument("path", type=_workbook)
     one.add_argument("--dialect", choices=("day04", "day02"), default="day04")
@@ -51,8 +51,9 @@ def main(argv: Sequence[str] | None = None) -> int:
     args = _parser().parse_args(argv)
     spark = SparkSession.builder.appName("growthlab").getOrCreate()
     if args.command == "volume":
-        row = spark.createDataFrame([(args.length, args.width)], "l double, w double")
-        if args.width > args.length:
+        length, width = (float(input(f"{name}: ")) if value is None else value for name, value in (("Length", args.length), ("Width", args.width)))
+        row = spark.createDataFrame([(length, width)], "l double, w double")
+        if width > length:
             print("Error: Width cannot be greater than length.")
             return 1
         print(f"Tumor volume is: {row.select(G.tumor_volume(F.col('l'), F.col('w'))).first()[0]}")

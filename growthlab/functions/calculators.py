@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 #: For each unknown, by its number: its name, the two factors above and the divisor.
 _SOLVED = {1: ("C1", "c2", "v2", "v1"), 2: ("V1", "c2", "v2", "c1"), 3: ("C2", "c1", "v1", "v2"), 4: ("V2", "c1", "v1", "c2")}
 
+# Messages.
+NOT_POSITIVE = "Error: Weight and height must be positive numbers!"
+ZERO_DIVISOR = "Error: {} cannot be zero, run again."
+
 
 def bmi_error(kg: Column, m: Column) -> Column:
     """The message for a weight or height that isn't positive, else null."""
-    return F.when((kg <= 0) | (m <= 0), "Error: Weight and height must be positive numbers!")
+    return F.when((kg <= 0) | (m <= 0), NOT_POSITIVE)
 
 
 def bmi(kg: Column, m: Column) -> Column:
@@ -36,5 +40,5 @@ def dilution(choice: Column, c1: Column, v1: Column, c2: Column, v2: Column) ->
 def dilution_error(choice: Column, c1: Column, v1: Column, c2: Column, v2: Column) -> Column:
     """The message for a divisor of 0, else null."""
     given = {"c1": c1, "v1": v1, "c2": c2, "v2": v2}
-    whens = [((choice == n) & (given[d] == 0), F.lit(f"Error: {d.upper()} cannot be zero, run again.")) for n, (_, _, _, d) in _SOLVED.items()]
+    whens = [((choice == n) & (given[d] == 0), F.lit(ZERO_DIVISOR.format(d.upper()))) for n, (_, _, _, d) in _SOLVED.items()]
     return reduce(lambda out, w: out.when(*w), whens[1:], F.when(*whens[0]))

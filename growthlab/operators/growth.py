@@ -15,10 +15,13 @@ NO_BASELINE = "Missing Day 0 value. Mouse cannot be classified."
 NO_FOLLOW_UP = "No post-baseline measurements. Mouse cannot be classified."
 ZERO_BASELINE = "Day 0 value is zero. Mouse cannot be classified."
 
+IDS = ("_row", "grp", "mouse")
+GROWTH = ("initial_tv", "final_tv", "final_day", "change", "percent_growth", "response")
+
 
 def to_long(wide: DataFrame, days: Sequence[int]) -> DataFrame:
     """A row (ids, day, tv) for each measurement that is there; wide has a column for each day, named by it."""
-    ids = [c for c in ("_row", "grp", "mouse") if c in wide.columns]
+    ids = [c for c in IDS if c in wide.columns]
     long = wide.unpivot(ids, [F.col(f"`{d}`") for d in days], "day", "tv")
     return long.where("tv is not null and not isnan(tv)").withColumn("day", F.col("day").cast("int"))
 
@@ -33,21 +36,32 @@ def general_summary(long: DataFrame) -> DataFrame:
     return summary(long, "grp", "day")
 
 
-def _split(found: DataFrame, ids: list[str], threshold: float, on_zero_baseline: str) -> tuple[DataFrame, DataFrame]:
-    """(growth, errors) of rows with initial_tv, final_tv, final_day and follow_ups."""
-    issue = F.when(F.col("initial_tv").isNull(), NO_BASELINE).when(F.col("follow_ups") == 0, NO_FOLLOW_UP)
+def _judged(found: DataFrame, ids: list[str], threshold: float, on_zero_baseline: str) -> DataFrame:
+    """ids, the columns of growth and issue (null: growth holds) of rows with initial_tv, final_tv, final_day and follow_ups."""
+    initial, final = F.col("initial_tv"), F.col("final_tv")
+    issue = F.when(initial.isNull(), NO_BASELINE).when(F.col("follow_ups") == 0, NO_FOLLOW_UP)
     if on_zero_baseline == "issue":
-        issue = issue.when(F.col("initial_tv") == 0, ZERO_BASELINE)
+        issue = issue.when(initial == 0, ZERO_BASELINE)
     judged = found.withColumn("issue", issue)
-    pct = percent_growth(F.col("initial_tv"), F.col("final_tv"), on_zero_baseline)
-    good = judged.where("issue is null").withColumn("change", change(F.col("initial_tv"), F.col("final_tv"))).withColumn("percent_growth", pct)
-    growth = good.select(*ids, "initial_tv", "final_tv", "final_day", "change", "percent_growth", classify_response(F.col("percent_growth"), threshold).alias("response"))
-    return growth, judged.where("issue is not null").select(*ids, "issue")
+    there = lambda c: F.when(F.col("issue").isNull(), c)  # noqa: E731  a zero baseline matters only where growth holds
+    judged = judged.withColumns({"change": there(change(initial, final)), "percent_growth": there(percent_growth(initial, final, on_zero_baseline))})
+    return judged.select(*ids, *GROWTH[:-1], there(classify_response(F.col("percent_growth"), threshold)).alias("response"), "issue")
 
 
-def growth_from_wide(wide: DataFrame, days: Sequence[int], threshold: float = DEFAULT_THRESHOLD, on_zero_baseline: str = "error") -> tuple[DataFrame, DataFrame]:
-    """(growth, errors), a row for each row of wide in one of them. Last values are found within the row: no shuffle."""
-    ids = [c for c in ("_row", "grp", "mouse") if c in wide.columns]
+def growth_and_errors(outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(growth, errors) of outcomes: each row is in one of them."""
+    ids = [c for c in outcomes.columns if c not in (*GROWTH, "issue")]
+    return outcomes.where("issue is null").drop("issue"), outcomes.where("issue is not null").select(*ids, "issue")
+
+
+def outcome_counts(outcomes: DataFrame) -> DataFrame:
+    """num_mice_analyzed and num_errors: one row, one action."""
+    return outcomes.agg(F.count_if(F.col("issue").isNull()).alias("num_mice_analyzed"), F.count_if(F.col("issue").isNotNull()).alias("num_errors"))
+
+
+def outcomes_from_wide(wide: DataFrame, days: Sequence[int], threshold: float = DEFAULT_THRESHOLD, on_zero_baseline: str = "error") -> DataFrame:
+    """Growth or issue of each row of wide. Last values are found within the row: no shuffle."""
+    ids = [c for c in IDS if c in wide.columns]
     value = {d: F.when(~F.isnan(F.col(f"`{d}`")), F.col(f"`{d}`")) for d in days}
     latest = sorted(days, reverse=True)
     found = wide.select(
@@ -57,19 +71,32 @@ def growth_from_wide(wide: DataFrame, days: Sequence[int], threshold: float = DE
         F.coalesce(*(F.when(value[d].isNotNull(), F.lit(d)) for d in latest)).alias("final_day"),
         sum((value[d].isNotNull().cast("int") for d in days if d != 0), F.lit(0)).alias("follow_ups"),
     )
-    return _split(found, ids, threshold, on_zero_baseline)
+    return _judged(found, ids, threshold, on_zero_baseline)
+
+
+def outcomes_from_long(long: DataFrame, ids: Sequence[str] | None = None, threshold: float = DEFAULT_THRESHOLD, on_zero_baseline: str = "error") -> DataFrame:
+    """Growth or issue of each ids' measurements, by default of each _row where there is one; one aggregation
+    with map-side parts. Rows without a value keep a subject that has no other among the results."""
+    ids = list(ids) if ids else [c for c in IDS if c in long.columns]
+    value = F.when(~F.isnan("tv"), F.col("tv"))
+    day = F.when(value.isNotNull(), F.col("day"))
+    found = long.groupBy(*ids).agg(
+        F.max(F.when(day == 0, value)).alias("initial_tv"),
+        F.max_by(value, day).alias("final_tv"),
+        F.max(day).alias("final_day"),
+        F.count_if(day != 0).alias("follow_ups"),
+    )
+    return _judged(found, ids, threshold, on_zero_baseline)
 
 
-def growth_from_long(long: DataFrame, ids: Sequence[str] = ("grp", "mouse"), threshold: float = DEFAULT_THRESHOLD, on_zero_baseline: str = "error") -> tuple[DataFrame, DataFrame]:
-    """(growth, errors) of each ids' measurements; one aggregation with map-side parts."""
-    there = long.where("tv is not null and not isnan(tv)")
-    found = there.groupBy(*ids).agg(
-        F.max(F.when(F.col("day") == 0, F.col("tv"))).alias("initial_tv"),
-        F.max_by("tv", "day").alias("final_tv"),
-        F.max("day").alias("final_day"),
-        F.count_if(F.col("day") != 0).alias("follow_ups"),
-    )
-    return _split(found, list(ids), threshold, on_zero_baseline)
+def growth_from_wide(wide: DataFrame, days: Sequence[int], threshold: float = DEFAULT_THRESHOLD, on_zero_baseline: str = "error") -> tuple[DataFrame, DataFrame]:
+    """(growth, errors) of a wide table."""
+    return growth_and_errors(outcomes_from_wide(wide, days, threshold, on_zero_baseline))
+
+
+def growth_from_long(long: DataFrame, ids: Sequence[str] | None = None, threshold: float = DEFAULT_THRESHOLD, on_zero_baseline: str = "error") -> tuple[DataFrame, DataFrame]:
+    """(growth, errors) of a long table."""
+    return growth_and_errors(outcomes_from_long(long, ids, threshold, on_zero_baseline))
 
 
 def response_summary(growth: DataFrame) -> DataFrame:

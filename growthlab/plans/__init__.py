@@ -1,6 +1,6 @@
 """Whole analyses, from a workbook to a report."""
 
 from growthlab.plans.analysis import Manifest, analyze, annotate_workbook, read_experiment, read_growth, tables
-from growthlab.plans.experiment import ExperimentConfig, parse_experiment
+from growthlab.plans.experiment import ExperimentConfig, experiment_of, settings
 
-__all__ = ["ExperimentConfig", "Manifest", "analyze", "annotate_workbook", "parse_experiment", "read_experiment", "read_growth", "tables"]
+__all__ = ["ExperimentConfig", "Manifest", "analyze", "annotate_workbook", "experiment_of", "read_experiment", "read_growth", "settings", "tables"]

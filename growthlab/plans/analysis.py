@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from growthlab.functions import normalized_id
-from growthlab.operators import annotate_volume, any_error, clean_wide, day_columns, general_summary, growth_from_wide, responder_tv_summary, response_summary, to_long
-from growthlab.plans.experiment import ExperimentConfig, parse_experiment
-from growthlab.sources import SheetNotFound, annotated_path, bar_chart, line_chart, read_rows, read_sheet, write_annotated, write_report
+from growthlab.operators import annotate_volume, any_error, clean_wide, day_columns, general_summary, growth_and_errors, outcome_counts, outcomes_from_wide, responder_tv_summary, response_summary, to_long
+from growthlab.plans.experiment import ExperimentConfig, experiment_of
+from growthlab.sources import Sheet, SheetNotFound, annotated_path, bar_chart, line_chart, read_rows, read_sheet, write_annotated, write_report
 
 TV_SHEET, EXPERIMENT_SHEET = "TV", "experiment data"
-#: Most rows of the settings' sheet and most points of a chart: what may come to the driver. More are an error.
-MAX_SETTINGS, MAX_POINTS = 10_000, 100_000
+#: Most points of a chart: what may come to the driver to be drawn. More are an error.
+MAX_POINTS = 100_000
 
 
 @dataclass(frozen=True)
@@ -29,10 +29,10 @@ class Manifest:
     num_errors: int
 
 
-def _bounded(rows: DataFrame, most: int, what: str) -> list:
-    found = rows.limit(most + 1).collect()
-    if len(found) > most:
-        raise ValueError(f"{what} has more than {most} rows")
+def _points(rows: DataFrame, what: str) -> list:
+    found = rows.limit(MAX_POINTS + 1).collect()
+    if len(found) > MAX_POINTS:
+        raise ValueError(f"{what} has more than {MAX_POINTS} points")
     return found
 
 
@@ -42,13 +42,16 @@ def read_experiment(spark: SparkSession, path: str) -> ExperimentConfig:
         rows = read_rows(spark, path, EXPERIMENT_SHEET)
     except SheetNotFound:
         return ExperimentConfig()
-    found = _bounded(rows.orderBy("_row"), MAX_SETTINGS, f"sheet {EXPERIMENT_SHEET}")
-    return parse_experiment([[c["text"] if c else None for c in r["cells"]] for r in found])
+    return experiment_of(rows)
 
 
 def read_growth(spark: SparkSession, path: str) -> tuple[DataFrame, list[int], ExperimentConfig]:
     """(clean wide rows, days, settings) of a workbook. The headers of sheet TV stand in its second row."""
-    config, sheet = read_experiment(spark, path), read_sheet(spark, path, TV_SHEET, header_row=2)
+    return _growth_of(read_sheet(spark, path, TV_SHEET, header_row=2), read_experiment(spark, path))
+
+
+def _growth_of(sheet: Sheet, config: ExperimentConfig) -> tuple[DataFrame, list[int], ExperimentConfig]:
+    spark = sheet.df.sparkSession
     days = day_columns(sheet.headers, sheet.names)
     ids = [(x,) for x in config.excluded]
     excluded = [r["id"] for r in spark.createDataFrame(ids, "id string").select(normalized_id(F.col("id")).alias("id")).collect()] if ids else []
@@ -57,8 +60,11 @@ def read_growth(spark: SparkSession, path: str) -> tuple[DataFrame, list[int], E
 
 def tables(wide: DataFrame, days: list[int], threshold: float, on_zero_baseline: str = "error") -> dict[str, DataFrame]:
     """The five tables of the report."""
-    long = to_long(wide, days)
-    growth, errors = growth_from_wide(wide, days, threshold, on_zero_baseline)
+    return _tables(to_long(wide, days), outcomes_from_wide(wide, days, threshold, on_zero_baseline))
+
+
+def _tables(long: DataFrame, outcomes: DataFrame) -> dict[str, DataFrame]:
+    growth, errors = growth_and_errors(outcomes)
     return {
         "general_summary": general_summary(long),
         "growth": growth,
@@ -72,21 +78,25 @@ def analyze(spark: SparkSession, path: str, output_dir: str = "output", on_zero_
     """Reads a workbook, writes the report and the charts, and says what there is."""
     out = Path(output_dir)
     out.mkdir(parents=True, exist_ok=True)
-    wide, days, config = read_growth(spark, path)
-    found = tables(wide.cache(), days, config.threshold, on_zero_baseline)
-    manifest = Manifest(out / "tumor_growth_results.xlsx", out / "mean_tumor_volume_sem.svg", out / "responder_percentage_by_group.svg", found["growth"].count(), found["errors"].count())
+    sheet = read_sheet(spark, path, TV_SHEET, header_row=2)
+    wide, days, config = _growth_of(sheet, read_experiment(spark, path))
+    outcomes = outcomes_from_wide(wide, days, config.threshold, on_zero_baseline)
+    found, counts = _tables(to_long(wide, days), outcomes), outcome_counts(outcomes).first()
+    manifest = Manifest(out / "tumor_growth_results.xlsx", out / "mean_tumor_volume_sem.svg", out / "responder_percentage_by_group.svg", *counts)
     write_report(found, manifest.output_excel)
-    means = _bounded(found["general_summary"].orderBy("grp", "day"), MAX_POINTS, "the chart of means")
+    means = _points(found["general_summary"].orderBy("grp", "day"), "the chart of means")
     line_chart([(r["grp"], r["day"], r["mean_tv"], r["sem"]) for r in means], manifest.mean_tv_graph)
-    shares = _bounded(found["response_summary"].orderBy("grp"), MAX_POINTS, "the chart of responders")
+    shares = _points(found["response_summary"].orderBy("grp"), "the chart of responders")
     bar_chart([(r["grp"], r["responder_percent"]) for r in shares], manifest.responder_graph)
-    wide.unpersist()
+    sheet.release()
     return manifest
 
 
 def annotate_workbook(spark: SparkSession, path: str, dialect: str = "day04") -> tuple[Path, bool]:
     """(the annotated workbook beside the input, whether any row has an error)."""
-    annotated = annotate_volume(read_sheet(spark, path).df, dialect).cache()
-    out = annotated_path(path, dialect)
+    sheet = read_sheet(spark, path)
+    annotated, out = annotate_volume(sheet.df, dialect), annotated_path(path, dialect)
     write_annotated(annotated, out)
-    return out, any_error(annotated).first()["errors_found"]
+    errors = any_error(annotated).first()["errors_found"]
+    sheet.release()
+    return out, errors

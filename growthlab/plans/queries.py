@@ -7,13 +7,15 @@ Averages are rounded to six places on both sides, as sums depend on the order of
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from growthlab import functions as G
 from growthlab import operators as O
+from growthlab.plans.experiment import settings
 
 DAYS = list(range(0, 28, 3))
+#: The ids that the query of the exclusion leaves out.
 EXCLUDED = ("28", "30")
 
 
@@ -21,20 +23,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _long_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event, as measurements."""
     day = (F.floor((F.dayofmonth("ts") - 1) / 3) * 3).cast("int")
     keys = (F.concat(F.lit("G"), (F.col("user_id") % 4).cast("string")).alias("grp"), F.col("user_id").cast("string").alias("mouse"), day.alias("day"))
     return _table(spark, sf_dir, "events").groupBy(*keys).agg(F.avg("value").alias("tv"))
 
 
-def _long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _long_all(spark, sf_dir).where(~F.col("mouse").isin(*EXCLUDED))
-
-
 def _obs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Some mice lack a baseline, some a follow-up, and some leave early."""
+    """All measurements, some of them missing: some mice lack a baseline, some a follow-up, and some leave early."""
     last = F.col("mouse").cast("long") % 10
-    return _long(spark, sf_dir).where(~((last == 7) & (F.col("day") == 0)) & ~((last == 3) & (F.col("day") > 0)) & ~((last == 5) & (F.col("day") > 12)))
+    missing = ((last == 7) & (F.col("day") == 0)) | ((last == 3) & (F.col("day") > 0)) | ((last == 5) & (F.col("day") > 12))
+    return _long(spark, sf_dir).withColumn("tv", F.when(~missing, F.col("tv")))
 
 
 def _wide(long: DataFrame) -> DataFrame:
@@ -85,7 +85,7 @@ def drop_missing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exclude_mice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sheet = _long_all(spark, sf_dir).select(F.col("grp").alias("Group"), "mouse", F.col("tv").alias("0"))
+    sheet = _long(spark, sf_dir).select(F.col("grp").alias("Group"), "mouse", F.col("tv").alias("0"))
     return O.clean_wide(sheet, [(0, "0")], [*EXCLUDED, None]).groupBy("grp", "mouse").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -108,7 +108,7 @@ def coerce_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wide_to_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = O.clean_wide(_wide(_long_all(spark, sf_dir).where(~((F.col("mouse").cast("long") % 10 == 7) & (F.col("day") == 0)))), [(d, str(d)) for d in DAYS])
+    wide = O.clean_wide(_wide(_obs(spark, sf_dir)), [(d, str(d)) for d in DAYS])
     return _rounded(O.to_long(wide, DAYS), "tv")
 
 
@@ -163,9 +163,74 @@ def threshold_override(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def manifest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    growth, errors = O.growth_from_long(_obs(spark, sf_dir))
-    both = growth.select(F.lit(1).alias("g")).unionByName(errors.select(F.lit(0).alias("g")))
-    return both.agg(F.count_if(F.col("g") == 1).alias("num_mice_analyzed"), F.count_if(F.col("g") == 0).alias("num_errors"))
+    return O.outcome_counts(O.outcomes_from_long(_obs(spark, sf_dir)))
+
+
+def zero_baseline_issue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Growth and errors where some baselines are zero and are listed with the errors."""
+    last = F.col("mouse").cast("long") % 10
+    obs = _obs(spark, sf_dir).withColumn("tv", F.when((last == 1) & (F.col("day") == 0), 0.0).otherwise(F.col("tv")))
+    return O.outcomes_from_long(obs, on_zero_baseline="issue").select("grp", "mouse", "response", "issue")
+
+
+def growth_by_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One result for each row of a sheet: a mouse listed twice has two, and one without any value is an error."""
+    obs, mouse = _obs(spark, sf_dir), F.col("mouse").cast("long")
+    obs = obs.withColumn("tv", F.when(mouse % 10 != 9, F.col("tv")))
+    twice = obs.select((2 * mouse).alias("_row"), "*").unionByName(obs.select((2 * mouse + 1).alias("_row"), "grp", "mouse", "day", (F.col("tv") + F.col("day")).alias("tv")))
+    return _rounded(O.outcomes_from_long(twice), "initial_tv", "final_tv", "change", "percent_growth").withColumnRenamed("_row", "sheet_row")
+
+
+def day_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Day columns found by their headers, among others, and groups with spaces around them."""
+    wide = _wide(_obs(spark, sf_dir)).withColumn("Group", F.concat(F.lit("  "), "Group", F.lit(" ")))
+    spelt = {d: (f"Day {d}", f" day{d} ", str(d))[n % 3] for n, d in enumerate(DAYS)}
+    sheet = wide.select("Group", "mouse", F.lit("x").alias("notes"), F.lit(1.0).alias("3 days"), *(F.col(str(d)).alias(name) for d, name in spelt.items()))
+    days = O.day_columns(sheet.columns)
+    return _rounded(O.to_long(O.clean_wide(sheet, days), [d for d, _ in days]), "tv")
+
+
+def annotate_text_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column of lengths with text among its numbers: text is no number even where it looks like one."""
+    sheet = _sheet(spark, sf_dir)
+    kind = F.when(F.col("id") % 7 == 0, "s").otherwise("n")
+    mixed = sheet.select("id", "W", F.round("L", 6).cast("string").alias("L"), kind.alias("_kind_L"))
+    return O.annotate_volume(mixed).select("id", "L", F.round("`T.V.`", 6).alias("tv"), F.col("Error").alias("error"))
+
+
+def annotate_stale_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sheet that was annotated before: a bad row keeps its old volume, or with the other kind of sheet loses it."""
+    sheet = _sheet(spark, sf_dir).withColumns({"T.V.": F.col("id") * 1.5, "T.V": F.col("id") * 2.5, "Error": F.lit("old")})
+    kept, reset = O.annotate_volume(sheet.drop("T.V")), O.annotate_volume(sheet.drop("T.V."), "day02")
+    rows = [df.select(F.lit(name).alias("kind"), "id", F.round(f"`{volume}`", 6).alias("tv"), F.col("Error").alias("error")) for name, volume, df in (("day04", "T.V.", kept), ("day02", "T.V", reset))]
+    return rows[0].unionByName(rows[1])
+
+
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registered functions, called in SQL."""
+    G.register_functions(spark)
+    return spark.sql(
+        """SELECT s.id, round(tumor_volume(L, W), 6) AS tv, classify_response(L - W, 0) AS response, round(sem_of(L, s.id), 6) AS sem, bmi(kg, m) AS bmi, bmi_category(bmi(kg, m)) AS category
+        FROM {sheet} s JOIN {body} b ON s.id = b.id""",
+        sheet=_sheet(spark, sf_dir), body=_body(spark, sf_dir),
+    )
+
+
+def experiment_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last settings among rows that are made of orders."""
+    key, kind = F.col("o_orderkey"), F.col("o_orderkey") % 11
+    title = F.when(kind == 0, " Control GROUP").when(kind == 1, "Responder Threshold (%)").when(kind == 2, "exclude mice").otherwise("a note on the control")
+    cell = lambda text: F.struct(text.cast("string").alias("text"), F.lit("s").alias("kind"))
+    gap = F.when(kind == 9, cell(F.lit(1)))  # null: an empty cell
+    value = F.when(kind == 2, F.concat_ws(" , ", key, key + 1)).otherwise(F.concat(F.lit(" "), key))
+    rows = _table(spark, sf_dir, "orders").select(key.alias("_row"), F.array(cell(title), gap, cell(value), cell(F.lit("7"))).alias("cells"))
+    return settings(rows).select("control_group", "threshold", F.array_join("excluded", ";").alias("excluded"))
+
+
+def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The responders' sheet of the report in its order: the number of each line."""
+    line = F.row_number().over(Window.orderBy("grp", "response", "day"))  # a summary: its rows are few
+    return responder_tv_summary(spark, sf_dir).select(line.alias("line"), "grp", "response", "day", "n")
 
 
 def bmi(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,18 +257,19 @@ def responder_chart_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = (
     general_summary, tumor_volume, annotate_error_flag, drop_missing_ids, exclude_mice, normalize_mouse_id, coerce_numeric, wide_to_long, sem_by_group,
     mouse_growth, mouse_growth_wide, growth_errors, response_summary, responder_tv_summary, duplicate_mouse_join, unclassified_group,
-    threshold_override, manifest_counts, bmi, bmi_category, dilution, mean_tv_chart_data, responder_chart_data,
+    threshold_override, manifest_counts, zero_baseline_issue, growth_by_row, day_headers, annotate_text_cells, annotate_stale_volumes, sql_functions,
+    experiment_settings, report_lines, bmi, bmi_category, dilution, mean_tv_chart_data, responder_chart_data,
 )
 QUERIES = {f.__name__: f for f in _ALL} | {"annotate_day04": _annotated("day04", "T.V."), "annotate_day02": _annotated("day02", "T.V")}
 
-_VIEWS = """WITH tv_long_all AS (
+def _views(missing: str) -> str:
+    """Common tables; missing: when a value of tv_long counts as missing."""
+    return f"""WITH tv_long AS (
   SELECT 'G' || (user_id % 4) AS grp, CAST(user_id AS VARCHAR) AS mouse, CAST(floor((extract(day FROM ts) - 1) / 3) * 3 AS INTEGER) AS day, avg(value) AS tv
   FROM events GROUP BY 1, 2, 3
-), tv_long AS (SELECT * FROM tv_long_all WHERE mouse NOT IN ('28', '30')),
-tv_obs AS (
-  SELECT * FROM tv_long WHERE NOT (CAST(mouse AS BIGINT) % 10 = 7 AND day = 0) AND NOT (CAST(mouse AS BIGINT) % 10 = 3 AND day > 0) AND NOT (CAST(mouse AS BIGINT) % 10 = 5 AND day > 12)
-), per_mouse AS (
-  SELECT grp, mouse, max(tv) FILTER (day = 0) AS initial_tv, arg_max(tv, day) AS final_tv, max(day) AS final_day, count(*) FILTER (day <> 0) AS follow_ups FROM tv_obs GROUP BY 1, 2
+), tv_obs AS (SELECT grp, mouse, day, CASE WHEN NOT ({missing}) THEN tv END AS tv FROM tv_long),
+per_mouse AS (
+  SELECT grp, mouse, max(tv) FILTER (day = 0) AS initial_tv, arg_max(tv, day) FILTER (tv IS NOT NULL) AS final_tv, max(day) FILTER (tv IS NOT NULL) AS final_day, count(*) FILTER (day <> 0 AND tv IS NOT NULL) AS follow_ups FROM tv_obs GROUP BY 1, 2
 ), growth AS (
   SELECT grp, mouse, initial_tv, final_tv, final_day, final_tv - initial_tv AS change, (final_tv - initial_tv) / initial_tv * 100 AS percent_growth,
     CASE WHEN (final_tv - initial_tv) / initial_tv * 100 <= 50 THEN 'Responder' ELSE 'Non-responder' END AS response
@@ -214,6 +280,10 @@ tv_obs AS (
 ), lw AS (SELECT p_partkey AS id, CAST(nullif(p_size, 50) AS DOUBLE) AS w, CAST((p_retailprice - 900) / 2 AS DOUBLE) AS l FROM part),
 body AS (SELECT c_custkey AS id, CAST(c_acctbal / 100 AS DOUBLE) AS kg, CAST(1 + (c_custkey % 100) / 100.0 AS DOUBLE) AS m FROM customer)
 """
+
+
+_LAST = "CAST(mouse AS BIGINT) % 10"
+_VIEWS = _views(f"{_LAST} = 7 AND day = 0 OR {_LAST} = 3 AND day > 0 OR {_LAST} = 5 AND day > 12")
 _SUMMARY = "round(avg(tv), 6) AS mean_tv, round(coalesce(stddev_samp(tv), 0), 6) AS sd, count(tv) AS n, round(CASE WHEN count(tv) = 1 THEN 0 ELSE stddev_samp(tv) / sqrt(count(tv)) END, 6) AS sem"
 _GROWTH = "SELECT grp, mouse, round(initial_tv, 6) AS initial_tv, round(final_tv, 6) AS final_tv, final_day, round(change, 6) AS change, round(percent_growth, 6) AS percent_growth, response FROM growth"
 
@@ -234,10 +304,10 @@ _SQL = {
     "annotate_day02": _annotation("Missing value", "W > L"),
     "annotate_error_flag": "SELECT bool_or(w IS NULL OR l IS NULL OR w > l) AS errors_found FROM lw",
     "drop_missing_ids": "SELECT grp, mouse, count(*) AS n FROM tv_long WHERE day NOT IN (3, 6) GROUP BY 1, 2",
-    "exclude_mice": "SELECT grp, mouse, count(*) AS n FROM tv_long_all WHERE mouse NOT IN ('28', '30') GROUP BY 1, 2",
+    "exclude_mice": "SELECT grp, mouse, count(*) AS n FROM tv_long WHERE mouse NOT IN ('28', '30') GROUP BY 1, 2",
     "normalize_mouse_id": "SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 3 THEN o_orderkey || 'A' WHEN 4 THEN o_orderkey || '.5' WHEN 5 THEN NULL ELSE CAST(o_orderkey AS VARCHAR) END AS mouse FROM orders",
     "coerce_numeric": "SELECT o_orderkey AS id, CAST(CASE o_orderkey % 8 WHEN 0 THEN CAST(o_orderkey AS DOUBLE) WHEN 1 THEN o_orderkey WHEN 2 THEN o_orderkey * 10 WHEN 6 THEN CAST('0.' || o_orderkey AS DOUBLE) END AS DOUBLE) AS value FROM orders",
-    "wide_to_long": "SELECT grp, mouse, day, round(tv, 6) AS tv FROM tv_long_all WHERE NOT (CAST(mouse AS BIGINT) % 10 = 7 AND day = 0)",
+    "wide_to_long": "SELECT grp, mouse, day, round(tv, 6) AS tv FROM tv_obs WHERE tv IS NOT NULL",
     "general_summary": f"SELECT grp, day, {_SUMMARY} FROM tv_obs GROUP BY 1, 2",
     "sem_by_group": "SELECT k, count(tv) AS n, round(CASE WHEN count(tv) = 1 THEN 0 ELSE stddev_samp(tv) / sqrt(count(tv)) END, 6) AS sem FROM (SELECT grp AS k, tv FROM tv_obs WHERE day = 0 UNION ALL SELECT grp || '/' || mouse, tv FROM tv_obs WHERE day = 0) GROUP BY 1",
     "mouse_growth": _GROWTH,
@@ -249,6 +319,14 @@ _SQL = {
     "unclassified_group": f"{_responses('growth')} UNION ALL SELECT 'G9', 0, 0, 0, NULL WHERE EXISTS (SELECT 1 FROM growth WHERE grp = 'G1')",
     "threshold_override": _responses("growth", "percent_growth <= 10", "percent_growth > 10"),
     "manifest_counts": "SELECT (SELECT count(*) FROM growth) AS num_mice_analyzed, (SELECT count(*) FROM errors) AS num_errors",
+    "zero_baseline_issue": f"SELECT grp, mouse, CASE WHEN issue IS NULL THEN CASE WHEN percent <= 50 THEN 'Responder' ELSE 'Non-responder' END END AS response, issue FROM (SELECT *, CASE WHEN first_tv IS NULL THEN 'Missing Day 0 value. Mouse cannot be classified.' WHEN follow_ups = 0 THEN 'No post-baseline measurements. Mouse cannot be classified.' WHEN first_tv = 0 THEN 'Day 0 value is zero. Mouse cannot be classified.' END AS issue, CASE WHEN first_tv <> 0 THEN (final_tv - first_tv) / first_tv * 100 END AS percent FROM (SELECT *, CASE WHEN {_LAST} = 1 AND EXISTS (SELECT 1 FROM tv_long t WHERE t.grp = m.grp AND t.mouse = m.mouse AND t.day = 0) THEN 0 ELSE initial_tv END AS first_tv FROM per_mouse m))",
+    "growth_by_row": f"SELECT sheet_row, grp, mouse, round(CASE WHEN issue IS NULL OR initial_tv IS NOT NULL THEN initial_tv END, 6) AS initial_tv, round(final_tv, 6) AS final_tv, final_day, round(CASE WHEN issue IS NULL THEN final_tv - initial_tv END, 6) AS change, round(CASE WHEN issue IS NULL THEN (final_tv - initial_tv) / initial_tv * 100 END, 6) AS percent_growth, CASE WHEN issue IS NULL THEN CASE WHEN (final_tv - initial_tv) / initial_tv * 100 <= 50 THEN 'Responder' ELSE 'Non-responder' END END AS response, issue FROM (SELECT *, CASE WHEN initial_tv IS NULL THEN 'Missing Day 0 value. Mouse cannot be classified.' WHEN follow_ups = 0 THEN 'No post-baseline measurements. Mouse cannot be classified.' END AS issue FROM (SELECT sheet_row, grp, mouse, max(tv) FILTER (day = 0) AS initial_tv, arg_max(tv, day) FILTER (tv IS NOT NULL) AS final_tv, max(day) FILTER (tv IS NOT NULL) AS final_day, count(*) FILTER (day <> 0 AND tv IS NOT NULL) AS follow_ups FROM (SELECT 2 * CAST(mouse AS BIGINT) + extra AS sheet_row, grp, mouse, day, CASE WHEN {_LAST} <> 9 THEN tv + extra * day END AS tv FROM tv_obs, (SELECT unnest([0, 1]) AS extra)) GROUP BY 1, 2, 3))",
+    "day_headers": "SELECT grp, mouse, day, round(tv, 6) AS tv FROM tv_obs WHERE tv IS NOT NULL",
+    "annotate_text_cells": "SELECT id, CAST(round(l, 6) AS VARCHAR) AS L, CASE WHEN id % 7 <> 0 AND w <= round(l, 6) THEN round(w * w * round(l, 6) / 2, 6) END AS tv, CASE WHEN w IS NULL OR l IS NULL THEN 'Missing length or width value.' WHEN id % 7 = 0 THEN 'Length and width must be numbers.' WHEN w > round(l, 6) THEN 'Width cannot be greater than length.' ELSE '' END AS error FROM lw",
+    "annotate_stale_volumes": "SELECT 'day04' AS kind, id, round(CASE WHEN w <= l THEN w * w * l / 2 ELSE CAST(id * 1.5 AS DOUBLE) END, 6) AS tv, CASE WHEN w IS NULL OR l IS NULL THEN 'Missing length or width value.' WHEN w > l THEN 'Width cannot be greater than length.' ELSE '' END AS error FROM lw UNION ALL SELECT 'day02', id, round(CASE WHEN w <= l THEN w * w * l / 2 END, 6), CASE WHEN w IS NULL OR l IS NULL THEN 'Missing value' WHEN w > l THEN 'W > L' ELSE '' END FROM lw",
+    "sql_functions": "SELECT id, round(w * w * l / 2, 6) AS tv, CASE WHEN l - w IS NULL THEN 'Unclassified' WHEN l - w <= 0 THEN 'Responder' ELSE 'Non-responder' END AS response, round(CASE WHEN id = 1 THEN 0 ELSE l / sqrt(id) END, 6) AS sem, bmi, CASE WHEN bmi < 18.5 THEN 'Underweight' WHEN bmi < 25 THEN 'Normal weight' WHEN bmi < 30 THEN 'Overweight' WHEN bmi IS NOT NULL THEN 'Obese' END AS category FROM lw JOIN (SELECT id, CASE WHEN kg > 0 AND m > 0 THEN round_even(kg / (m * m), 2) END AS bmi FROM body) USING (id)",
+    "experiment_settings": "SELECT CAST(max(o_orderkey) FILTER (o_orderkey % 11 = 0) AS VARCHAR) AS control_group, CAST(max(o_orderkey) FILTER (o_orderkey % 11 = 1) AS DOUBLE) AS threshold, max(o_orderkey) FILTER (o_orderkey % 11 = 2) || ';' || (max(o_orderkey) FILTER (o_orderkey % 11 = 2) + 1) || ';7' AS excluded FROM orders",
+    "report_lines": "SELECT CAST(row_number() OVER (ORDER BY grp, response, day) AS INTEGER) AS line, * FROM (SELECT grp, response, day, count(tv) AS n FROM tv_obs JOIN growth USING (grp, mouse) GROUP BY 1, 2, 3)",
     "bmi": "SELECT id, CASE WHEN kg > 0 AND m > 0 THEN round_even(kg / (m * m), 2) END AS bmi, CASE WHEN kg <= 0 OR m <= 0 THEN 'Error: Weight and height must be positive numbers!' END AS error FROM body",
     "bmi_category": "SELECT CASE WHEN b < 18.5 THEN 'Underweight' WHEN b < 25 THEN 'Normal weight' WHEN b < 30 THEN 'Overweight' WHEN b IS NOT NULL THEN 'Obese' END AS category, count(*) AS n FROM (SELECT CASE WHEN kg > 0 AND m > 0 THEN round_even(kg / (m * m), 2) END AS b FROM body) GROUP BY 1",
     "dilution": "SELECT l_orderkey, l_linenumber, round(CASE WHEN d <> 0 THEN CAST(a AS DOUBLE) * b / d END, 6) AS value, CASE WHEN d = 0 THEN 'Error: ' || name || ' cannot be zero, run again.' END AS error FROM (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN l_tax WHEN 1 THEN l_tax ELSE l_quantity END AS a, CASE l_linenumber % 4 WHEN 0 THEN l_quantity WHEN 1 THEN l_quantity ELSE l_discount END AS b, CASE l_linenumber % 4 WHEN 0 THEN l_discount WHEN 1 THEN l_quantity WHEN 2 THEN l_quantity ELSE l_tax END AS d, CASE l_linenumber % 4 WHEN 0 THEN 'V1' WHEN 1 THEN 'C1' WHEN 2 THEN 'V2' ELSE 'C2' END AS name FROM lineitem)",

@@ -34,11 +34,16 @@ class SheetNotFound(ValueError):
 
 @dataclass(frozen=True)
 class Sheet:
-    """A sheet as a table: _row and its columns; headers as the sheet has them, in the order of names."""
+    """A sheet as a table: _row and its columns, and _path where several workbooks were read; headers as the
+    sheet has them, in the order of names. The parsed rows are kept for later actions until ``release``."""
 
     df: DataFrame
     headers: list[object]
     names: list[str]
+    rows: DataFrame
+
+    def release(self) -> None:
+        self.rows.unpersist()
 
 
 def _sheets(book: zipfile.ZipFile) -> dict[str, str]:
@@ -67,8 +72,6 @@ def _cells(content: bytes, sheet: str | None) -> Iterator[tuple[int, list[dict |
     """(row number, cells) from the first row to the last that holds something; kinds: n number, b boolean, s text."""
     with zipfile.ZipFile(BytesIO(content)) as book:
         sheets = _sheets(book)
-        if sheet is not None and sheet not in sheets:
-            return
         shared = [_text(item) for item in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in book.namelist() else []
         last = 0
         for _, row in ElementTree.iterparse(BytesIO(book.read(sheets[sheet] if sheet is not None else next(iter(sheets.values()))))):
@@ -101,8 +104,8 @@ def _books(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(str(path)).select("path", "content")
 
 
-def sheet_names(spark: SparkSession, path: str) -> list[str]:
-    """Names of the sheets of the first workbook at path."""
+def _names(spark: SparkSession, path: str) -> DataFrame:
+    """path and names of the sheets of each workbook."""
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -110,13 +113,19 @@ def sheet_names(spark: SparkSession, path: str) -> list[str]:
                 with zipfile.ZipFile(BytesIO(content)) as book:
                     yield pd.DataFrame({"path": path, "names": [list(_sheets(book))]})
 
-    return list(_books(spark, path).mapInPandas(each, "path string, names array<string>").orderBy("path").first()["names"])
+    return _books(spark, path).mapInPandas(each, "path string, names array<string>")
+
+
+def sheet_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the sheets of the first workbook at path."""
+    return list(_names(spark, path).orderBy("path").first()["names"])
 
 
 def read_rows(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    """path, _row and cells (array of text and kind) of a sheet, by default the first."""
-    if sheet is not None and sheet not in (names := sheet_names(spark, path)):
-        raise SheetNotFound(f"no sheet {sheet!r}; there are {names}")
+    """path, _row and cells (array of text and kind) of a sheet, by default the first, of every workbook at
+    path. A workbook without the sheet is an error."""
+    if sheet is not None and (lacks := _names(spark, path).where(~F.array_contains("names", sheet)).orderBy("path").first()):
+        raise SheetNotFound(f"no sheet {sheet!r} in {lacks['path']}; there are {list(lacks['names'])}")
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -142,11 +151,15 @@ def read_sheet(spark: SparkSession, path: str, sheet: str | None = None, header_
     """A sheet whose headers stand in header_row, with the rows below it.
 
     A column of numbers is double, one of booleans boolean; one with any text is string, and beside it
-    stands a column with the kind of each cell. Spark keeps no order: _row is the row of the sheet.
+    stands a column with the kind of each cell. Spark keeps no order: _row is the row of the sheet. Several
+    workbooks at path are one table if their headers are the same; else that is an error.
     """
     rows = read_rows(spark, path, sheet).cache()
-    head = rows.where(F.col("_row") == header_row).orderBy("path").first()
-    headers, names = _headers(head["cells"] if head else [])
+    books = [r["path"] for r in rows.select("path").distinct().limit(2).collect()]
+    heads = rows.where(F.col("_row") == header_row).groupBy("cells").agg(F.min("path").alias("path"), F.count(F.lit(1)).alias("n")).orderBy("path").limit(2).collect()
+    if len(heads) > 1 or (heads and len(books) > 1 and heads[0]["n"] != rows.select("path").distinct().count()):
+        raise ValueError(f"workbooks at {path} have different headers: " + " and ".join(h["path"] for h in heads))
+    headers, names = _headers(heads[0]["cells"] if heads else [])
     body = rows.where(F.col("_row") > header_row)
     cell = lambda i, part: F.get("cells", F.lit(i))[part]
     kinds = body.agg(*(F.array_sort(F.collect_set(cell(i, "kind"))).alias(str(i)) for i in range(len(names)))).first() if names else []  # three kinds at most
@@ -158,7 +171,7 @@ def read_sheet(spark: SparkSession, path: str, sheet: str | None = None, header_
             columns.append((cell(i, "text") == "1").alias(name))
         else:
             columns.append(cell(i, "text").try_cast("double").alias(name))
-    return Sheet(body.select("_row", *columns), headers, names)
+    return Sheet(body.select(*([F.col("path").alias("_path")] if len(books) > 1 else []), "_row", *columns), headers, names, rows)
 
 
 def _letters(column: int) -> str:

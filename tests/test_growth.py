@@ -70,7 +70,15 @@ def test_wide_and_long_agree(spark):
     found = wide(spark, ("A", "1", 1.0, 2.0, 3.0, None), ("A", "2", None, 5.0, None, 4.0), ("B", "3", None, None, 1.0, None), ("B", "4", None, 1.0, None, None))
     a, b = O.growth_from_wide(found, DAYS), O.growth_from_long(O.to_long(found, DAYS))
     for x, y in zip(a, b, strict=True):
-        assert rows(x.drop("_row"), *y.columns) == rows(y, *y.columns)
+        assert x.columns == y.columns and rows(x, *y.columns) == rows(y, *y.columns)
+
+
+def test_long_form_keeps_every_subject(spark):
+    """A result for each row of the sheet: also where nothing was measured, and for a mouse listed twice."""
+    long = spark.createDataFrame([(0, "A", "1", 0, None), (0, "A", "1", 3, float("nan")), (1, "A", "2", 0, 1.0), (1, "A", "2", 3, 2.0), (2, "A", "2", 0, 2.0), (2, "A", "2", 3, None)], "_row long, grp string, mouse string, day int, tv double")
+    growth, errors = O.growth_from_long(long)
+    assert rows(growth, "_row", "final_day", "change") == [(1, 3, 1.0)] and rows(errors, "_row", "issue") == [(0, NO_BASELINE), (2, NO_FOLLOW_UP)]
+    assert tuple(O.outcome_counts(O.outcomes_from_long(long)).first()) == (1, 2)
 
 
 def test_general_summary(spark):

@@ -5,7 +5,7 @@ from pyspark.errors import PySparkException
 
 from growthlab import operators as O
 from growthlab.cli import main
-from growthlab.plans import ExperimentConfig, analyze, annotate_workbook, parse_experiment, read_experiment, read_growth, tables
+from growthlab.plans import ExperimentConfig, analyze, annotate_workbook, experiment_of, read_experiment, read_growth, tables
 from growthlab.plans import analysis
 from growthlab.sources import SheetNotFound, annotated_path, read_sheet, sheet_names, write_tables, write_xlsx
 
@@ -84,12 +84,25 @@ def test_paths():
     assert annotated_path("/a/b.xlsm", "day02").name == "b_TV.xlsx"
 
 
-def test_settings():
+def settings_of(spark, rows):
+    cells = [(n, [None if c is None else (c, "s") for c in row]) for n, row in enumerate(rows)]
+    return experiment_of(spark.createDataFrame(cells, "_row long, cells array<struct<text: string, kind: string>>").repartition(3))
+
+
+def test_settings(spark):
     rows = [["Control group", " G1 ", None], ["RESPONDER threshold", "30"], ["Excluded mice", "28, 30", "4.0"], [None, "x"], [], ["Note", "responder"]]
-    assert parse_experiment(rows) == ExperimentConfig("G1", 30.0, ("28", "30", "4.0"))
-    assert parse_experiment([*rows, ["exclude"], ["control group"], ["responder threshold"]]) == ExperimentConfig("G1", 30.0, ())
+    assert settings_of(spark, rows) == ExperimentConfig("G1", 30.0, ("28", "30", "4.0"))
+    assert settings_of(spark, [*rows, ["exclude"], ["control group"], ["responder threshold"]]) == ExperimentConfig("G1", 30.0, ())
+    both = settings_of(spark, [*rows, ["control group of responder threshold, exclude", "12"]])  # one row may name several
+    assert both == ExperimentConfig("12", 12.0, ("12",))
+    assert settings_of(spark, []) == ExperimentConfig()
     with pytest.raises(ValueError, match="high"):
-        parse_experiment([["responder threshold", "high"]])
+        settings_of(spark, [["responder threshold", "high"], ["responder threshold", "3"]])
+
+
+def test_settings_after_many_rows(spark):
+    rows = spark.range(30_000).selectExpr("id AS _row", "array(named_struct('text', if(id = 29999, 'Excluded mice', 'note'), 'kind', 's'), named_struct('text', '28', 'kind', 's')) AS cells")
+    assert experiment_of(rows).excluded == ("28",)
 
 
 def experiment(path, settings=True):
@@ -145,19 +158,39 @@ def test_command_line(spark, tmp_path, capsys):
     said = capsys.readouterr().out
     for text in ("Tumor volume is: 125.0", "Width cannot", "no errors", "num_mice_analyzed: 3", "Your BMI: 22.86", "positive", "C1 = 6.0", "exactly one"):
         assert text in said
-    for bad in (["volume", "x", "1"], ["annotate", str(tmp_path / "none.xlsx")], ["annotate", "a.txt"], ["annotate", " "]):
+    for bad in (["volume", "x", "1"], ["annotate", str(tmp_path / "none.xlsx")], ["annotate", "a.txt"], ["annotate", "a.xls"], ["annotate", " "]):
         with pytest.raises(SystemExit):
             main(bad)
 
 
 def test_no_silent_bounds(spark, tmp_path, monkeypatch):
-    """Settings and points beyond the bounds are an error, not left out."""
+    """Points beyond the bound of a chart are an error, not left out."""
     path = str(tmp_path / "bounds.xlsx")
-    write_xlsx(path, [("TV", ["title"], [["Group", "mouse", "0", "3"], ["A", 1, 100.0, 120.0], ["B", 2, 100.0, 130.0]]), ("experiment data", ["a"], [["b"], ["c"]])])
+    write_xlsx(path, [("TV", ["title"], [["Group", "mouse", "0", "3"], ["A", 1, 100.0, 120.0], ["B", 2, 100.0, 130.0]])])
     analysis.analyze(spark, path, str(tmp_path / "out"))
     monkeypatch.setattr(analysis, "MAX_POINTS", 3)
     with pytest.raises(ValueError, match="chart of means"):
         analysis.analyze(spark, path, str(tmp_path / "out"))
-    monkeypatch.setattr(analysis, "MAX_SETTINGS", 2)
-    with pytest.raises(ValueError, match="experiment data"):
-        analysis.read_experiment(spark, path)
+
+
+def test_several_workbooks(spark, tmp_path):
+    """Workbooks of the same headers are one table; others, and workbooks without the sheet, are an error."""
+    for n in (1, 2):
+        sheet(tmp_path / f"m{n}.xlsx", [10 * n, "x"], [5, 1])
+    found = read_sheet(spark, str(tmp_path / "m*.xlsx"))
+    rows = sorted((r["_path"][-7:], r["_row"], r["L"], r["W"]) for r in found.df.collect())
+    assert rows == [("m1.xlsx", 2, "10", 5.0), ("m1.xlsx", 3, "x", 1.0), ("m2.xlsx", 2, "20", 5.0), ("m2.xlsx", 3, "x", 1.0)]
+    found.release()
+    write_xlsx(tmp_path / "m3.xlsx", [("Sheet1", ["L", "Mouse ID", "W"], [(1, 2, 3)])])
+    with pytest.raises(ValueError, match="different headers"):
+        read_sheet(spark, str(tmp_path / "m*.xlsx"))
+    write_xlsx(tmp_path / "m4.xlsx", [("Other", ["L"], [])])
+    with pytest.raises(SheetNotFound, match="m4.xlsx"):
+        read_sheet(spark, str(tmp_path / "m*.xlsx"), "Sheet1")
+
+
+def test_volume_from_standard_input(spark, monkeypatch, capsys):
+    answers = iter(["10", "5"])
+    monkeypatch.setattr("builtins.input", lambda _: next(answers))
+    assert main(["volume"]) == 0
+    assert "Tumor volume is: 125.0" in capsys.readouterr().out
