@@ -10,10 +10,11 @@ are cut into bands, and classes that agree in a band share a bucket. A pair at t
 misses all ``BANDS`` bands with a probability of 2e-9. Links within a bucket are found without all its
 pairs. Every member is held against a centre of the bucket, and those links give components. Members still in
 different components of a bucket are then looked up by their rarest shingles (prefix filtering), which
-loses no link and does not pair those that differ too much. Pairs from buckets pass an estimate of the
+loses no link and does not pair those that differ too much. All pairs pass an estimate of the
 similarity, corrected for registers that agree by chance, with a margin of 8 standard errors; of each class
 the best is verified first, on full sets in the JVM, and then the best between components that are left.
-So every link counts or is implied.
+So every link counts or is implied. Buckets, centres and nodes that hold a large share of the rows are dealt
+out over several tasks in every join (``spread_join``).
 """
 
 from __future__ import annotations
@@ -23,11 +24,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from growthlab.llm.store import written
+from growthlab.llm.store import remove, slices, spread_join, written
 
 BUCKETS = 256
 MANTISSA = 10
@@ -35,11 +36,9 @@ BANDS, BAND_REGISTERS = 51, 5
 LEAST_PERCENT = 80
 #: Words in a shingle.
 SHINGLE = 2
-#: Share of registers that agree by chance, for sets of about equal size, as a multiple of 2**-MANTISSA.
-CHANCE = 0.169919487159739
 MARGIN = 8.0
-#: Entries kept in a worker's cache of word hashes before it starts afresh.
-CACHE_ENTRIES = 1_000_000
+#: Entries of a task's cache of word hashes before it starts afresh: some 5 MB.
+CACHE_ENTRIES = 50_000
 
 _HASH_BITS, _BUCKET_BITS = 64, 8
 _PROBES = np.stack([np.random.default_rng(j).permutation(BUCKETS) for j in range(BUCKETS)])
@@ -54,16 +53,13 @@ class _WordHashes(dict):
         return out
 
 
-_words = _WordHashes()
-
-
-def shingles(data: bytes, size: int = SHINGLE) -> np.ndarray:
+def shingles(data: bytes, size: int, hash_of: _WordHashes) -> np.ndarray:
     """The sorted hashes of a text's distinct shingles of so many words; with fewer words, of all its words."""
     words = data.lower().split()  # bytes: only A-Z, and only ASCII white space
     if not words:
         return np.empty(0, np.uint64)
     size = min(size, len(words))
-    hashes = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    hashes = np.fromiter(map(hash_of.__getitem__, words), np.uint64, len(words))
     out = np.full(len(words) - size + 1, size, np.uint64)
     for k in range(size):
         out = (out ^ hashes[k : len(words) - size + 1 + k]) * _MIX[0]
@@ -93,19 +89,19 @@ def registers(hashes: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, low and high (128 bits of hash of the set) and registers of each row of docs."""
-    fields = [docs.select("doc_id").schema[0], *(T.StructField(n, t) for n, t in (("n_shingles", T.LongType()), ("low", T.LongType()), ("high", T.LongType()), ("registers", T.BinaryType())))]
+    """doc_id, n_shingles, set_hash (128 bits) and registers of each row of docs."""
+    fields = [docs.select("doc_id").schema[0], T.StructField("n_shingles", T.LongType()), T.StructField("set_hash", T.BinaryType()), T.StructField("registers", T.BinaryType())]
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        hash_of = _WordHashes()
+        for batch in slices(batches):
             sizes, sets, sketch = [], [], []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
-                own = shingles(text or b"", size)
+                own = shingles(text or b"", size, hash_of)
                 sizes.append(len(own))
                 sets.append(xxhash.xxh3_128_digest(own.tobytes()))
                 sketch.append(registers(own))
-            halves = np.frombuffer(b"".join(sets), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(sketch, pa.binary())], [f.name for f in fields])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(sketch, pa.binary())], [f.name for f in fields])
 
     return docs.select("doc_id", "text").mapInArrow(each, T.StructType(fields))
 
@@ -114,29 +110,42 @@ def components(edges: DataFrame) -> DataFrame:
     """node, component (the least node that it reaches) for all nodes of edges (a, b), by alternating stars.
 
     Each round is aggregations and joins over the edges, which end as one edge from every node to the
-    least; no group of neighbours is gathered.
+    least; no group of neighbours is gathered, and the edges of a node that has very many are dealt out.
     """
     edges = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    edges, before = written(edges, "edges"), None
+    edges, before, number = written(edges, "edges"), None, F.count(F.lit(1)).alias("n")
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a and b <> m").select(F.col("m").alias("a"), "b")
-        centre = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(centre, "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
-        edges = written(small.unionByName(centre.select(F.col("m").alias("a"), "b")).distinct(), "edges")
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), number), "least")
+        joined = spread_join(both, least.select("a", "m"), "a", "b", counts=least)
+        large = written(joined.where("b > a and b <> m").select(F.col("m").alias("a"), "b"), "large-stars")
+        centre = large.groupBy("b").agg(F.min("a").alias("m"), number)
+        small = spread_join(large, centre.select("b", "m"), "b", "a", counts=centre).where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
+        edges = written(small.unionByName(centre.select(F.col("m").alias("a"), "b")).distinct(), "edges", edges, least, large)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
         before = now
 
 
+def chance(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The share of registers that agree by chance in the sketches of sets of so many hashes without a common one.
+
+    With r hashes a bucket, a register's least hash x has the density r * exp(-r * x) for the unit interval. At k leading
+    zeros a register stands for a cell as wide as 2**-(k + 1 + MANTISSA), and two agree if they meet in one cell.
+    """
+    r, s = (np.maximum(np.asarray(x, float) / BUCKETS, 1.0)[..., None] for x in (n, m))  # an empty register has another's value
+    k = np.arange(_HASH_BITS - _BUCKET_BITS - MANTISSA)
+    met = np.exp(-(r + s) * 0.5 ** (k + 1)) - np.exp(-(r + s) * 0.5**k)
+    return (0.5 ** (k + 1 + MANTISSA) * r * s / (r + s) * met).sum(axis=-1)
+
+
 @F.arrow_udf(T.DoubleType())
-def _estimate(a: pa.Array, b: pa.Array) -> pa.Array:
+def _estimate(a: pa.Array, b: pa.Array, n: pa.Array, m: pa.Array) -> pa.Array:
     """The similarity of two sets by their registers, less the share that agrees by chance."""
     left, right = (np.frombuffer(b"".join(x.to_pylist()), "<u2").reshape(-1, BUCKETS) for x in (a, b))
-    chance = CHANCE * 2.0**-MANTISSA
-    return pa.array(((left == right).mean(axis=1) - chance) / (1 - chance))
+    by_chance = chance(n.to_numpy(zero_copy_only=False), m.to_numpy(zero_copy_only=False))
+    return pa.array(((left == right).mean(axis=1) - by_chance) / (1 - by_chance))
 
 
 def _least_estimate(n: Column, m: Column, least_percent: int) -> Column:
@@ -154,8 +163,9 @@ def _sets(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
     """id, set: the full sets of the rows of docs whose ids (doc_id) are needed."""
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(t or b"", size).view(np.int64) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+        hash_of = _WordHashes()
+        for batch in slices(batches):
+            sets = [shingles(t or b"", size, hash_of).view(np.int64) for t in batch.column("text").cast(pa.binary()).to_pylist()]
             ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.empty(0, np.int64)])))], ["id", "set"])
 
@@ -163,20 +173,27 @@ def _sets(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "text").join(needed, "doc_id", "left_semi").mapInArrow(each, f"id {id_type}, set array<long>")
 
 
+def _with_sides(pairs: DataFrame, sides: DataFrame, how: str = "inner") -> DataFrame:
+    """pairs (a, b and more; written) with the columns of sides (id and others) for a and for b, named x_a and x_b."""
+    side = lambda c: sides.select(*(F.col(x).alias(c if x == "id" else f"{x}_{c}") for x in sides.columns))
+    number = F.count(F.lit(1)).alias("n")
+    first = spread_join(pairs, side("a"), "a", "b", how, pairs.groupBy("a").agg(number))
+    return spread_join(first, side("b"), "b", "a", how, pairs.groupBy("b").agg(number))
+
+
 def _likely(pairs: DataFrame, classes: DataFrame, least_percent: int) -> DataFrame:
     """a, b, estimate, most: those of the pairs (a, b, most) of class ids whose sketches may belong to a link."""
-    side = lambda c: classes.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("registers").alias(f"r_{c}"))
-    judged = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("estimate", _estimate("r_a", "r_b"))
+    judged = _with_sides(pairs, classes.select(F.col("rep").alias("id"), "n", "registers"))
+    judged = judged.withColumn("estimate", _estimate("registers_a", "registers_b", "n_a", "n_b"))
     judged = judged.where(F.col("estimate") >= _least_estimate(F.col("n_a"), F.col("n_b"), least_percent))
     return judged.groupBy("a", "b").agg(F.max("estimate").alias("estimate"), F.max("most").alias("most"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least_percent: int) -> DataFrame:
-    """Of the pairs (a, b) of class ids, those that are links. sets: id, set."""
-    own = lambda c: sets.select(F.col("id").alias(c), F.col("set").alias(f"s_{c}"))
-    shared = F.size(F.array_intersect("s_a", "s_b"))
-    link = 100 * shared >= least_percent * (F.size("s_a") + F.size("s_b") - shared)
-    return pairs.select("a", "b").join(own("a"), "a").join(own("b"), "b").where(link).select("a", "b")
+    """Of the pairs (a, b; written) of class ids, those that are links. sets: id, set."""
+    shared = F.size(F.array_intersect("set_a", "set_b"))
+    link = 100 * shared >= least_percent * (F.size("set_a") + F.size("set_b") - shared)
+    return _with_sides(pairs.select("a", "b"), sets).where(link).select("a", "b")
 
 
 def _best(likely: DataFrame) -> DataFrame:
@@ -188,11 +205,10 @@ def _best(likely: DataFrame) -> DataFrame:
 def _between(likely: DataFrame, found: DataFrame) -> DataFrame:
     """Of the likely pairs between components of found (node, component), the best for each two components,
     and those that had a bucket to themselves; _rest covers all others."""
-    side = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
-    both = likely.join(side("a"), "a", "left").join(side("b"), "b", "left").withColumns({"c_a": F.coalesce("c_a", "a"), "c_b": F.coalesce("c_b", "b")})
+    both = _with_sides(likely, found.withColumnRenamed("node", "id"), "left").withColumns({"c_a": F.coalesce("component_a", "a"), "c_b": F.coalesce("component_b", "b")})
     both = written(both.where("c_a <> c_b"), "between")
     best = both.groupBy(F.least("c_a", "c_b"), F.greatest("c_a", "c_b")).agg(F.max(F.struct("estimate", "a", "b")).alias("best"))
-    return best.select("best.a", "best.b").union(both.where("most = 2").select("a", "b")).distinct()
+    return written(best.select("best.a", "best.b").union(both.where("most = 2").select("a", "b")).distinct(), "between-best", both)
 
 
 def _edges(found: DataFrame) -> DataFrame:
@@ -208,20 +224,20 @@ def _rest(others: DataFrame, sets: DataFrame, least_percent: int) -> DataFrame:
     """
     counts = others.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
     largest = counts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    apart = others.join(largest, "key").groupBy("rep").agg(F.min("component").alias("component"), F.max(F.col("component") != F.col("most.component")).alias("odd"))
+    apart = spread_join(others, largest, "key", "rep").groupBy("rep").agg(F.min("component").alias("component"), F.max(F.col("component") != F.col("most.component")).alias("odd"))
     apart = written(apart, "apart")
     tokens = written(sets.join(apart, F.col("id") == F.col("rep"), "left_semi").select("id", F.xxhash64("set").alias("of"), F.size("set").alias("n"), F.explode("set").alias("token")), "apart-tokens")
-    common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    ranked = tokens.join(common, "token").groupBy("id", "of", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))  # one document's
+    number = written(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "apart-common")
+    ranked = spread_join(tokens, number.select("token", F.col("n").alias("df")), "token", "id", counts=number).groupBy("id", "of", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))  # one document's
     placed = ranked.select("id", "n", F.size("shared").alias("size"), F.posexplode("shared.token").alias("i", "token"))
     own = placed.join(apart, F.col("id") == F.col("rep")).withColumn("place", F.col("n") - F.col("size") + F.col("i"))  # a token of its own comes first
     own = own.where(100 * (F.col("n") - F.col("place")) >= least_percent * F.col("n"))
-    own = written(own.select("token", "rep", "n", "component", "odd", "place"), "apart-prefixes")
+    own = written(own.select("token", "rep", "n", "component", "odd", "place"), "apart-prefixes", tokens, number)
     side = lambda df, c: df.select("token", *(F.col(x).alias(f"{x}_{c}") for x in ("rep", "n", "component", "place")))
     overlap = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
     room = (100 + least_percent) * overlap >= least_percent * (F.col("n_x") + F.col("n_y"))
     pairs = side(own.where("odd"), "x").join(side(own, "y"), "token").where((F.col("component_x") != F.col("component_y")) & room)
-    return pairs.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
+    return written(pairs.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct(), "apart-pairs", own, apart)
 
 
 def groups(docs: DataFrame, size: int = SHINGLE, least_percent: int = LEAST_PERCENT) -> DataFrame:
@@ -229,42 +245,60 @@ def groups(docs: DataFrame, size: int = SHINGLE, least_percent: int = LEAST_PERC
 
     A text without words, or null, has an empty set and no links. A document with fewer words than a shingle
     has all its words as one. Rows with one doc_id are one document: the links of each of its texts count.
-    Rows without an id are not linked, have no component and are kept. Only doc_id and text are read.
+    Rows without an id are not linked, have no component and are kept. n_shingles counts 64-bit hashes, not the
+    shingles themselves. Only doc_id and text are read.
     """
     rows = written(sketches(docs, size), "sketches")
     full = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("low", "high").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
+    number = F.count(F.lit(1)).alias("n")
+    classes = full.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"), F.count(F.lit(1)).alias("copies"))
     classes = written(classes, "classes")
+    own = F.when(F.col("n_shingles") > 0, F.col("set_hash"))
+    rep = classes.select("set_hash", "rep")
+    at = spread_join(rows.select("doc_id", "n_shingles", own.alias("set_hash")), rep, "set_hash", "doc_id", "left", classes.select("set_hash", F.col("copies").alias("n")))
+    at = written(at.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")), "class-of-rows", rows)
 
     key = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("registers", i * 2 * BAND_REGISTERS + 1, F.lit(2 * BAND_REGISTERS))))
     bands = classes.select("rep", "n", F.explode(key).alias("key"))
-    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    members = written(bands.join(shared, "key"), "members")
+    shared = written(bands.groupBy("key").agg(number).where("n > 1"), "shared-bands")
+    members = written(spread_join(bands, shared.withColumnRenamed("n", "members"), "key", "rep", counts=shared), "members")
     centres = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key").alias("place"), "rep", "n")).alias("centre"))
-    stars = members.join(centres, "key").where((F.col("rep") != F.col("centre.rep")) & _similar_size(F.col("n"), F.col("centre.n"), least_percent))
+    stars = spread_join(members, centres, "key", "rep", counts=shared).where((F.col("rep") != F.col("centre.rep")) & _similar_size(F.col("n"), F.col("centre.n"), least_percent))
     pairs = written(stars.select(F.least("rep", "centre.rep").alias("a"), F.greatest("rep", "centre.rep").alias("b"), "members").groupBy("a", "b").agg(F.max("members").alias("most")), "pairs")
     sets = written(_sets(docs, members.select(F.col("rep").alias("doc_id")).distinct(), size), "sets")
-    likely = written(_likely(pairs, classes, least_percent), "likely-pairs")
-    at = full.select("doc_id", "low", "high").join(classes.select("low", "high", "rep"), ["low", "high"]).select("doc_id", "rep")
-    split = at.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")  # ids with several texts
-    found = components(written(_verified(_best(likely), sets, least_percent), "links").unionByName(split))
-    found = components(_edges(found).unionByName(written(_verified(_between(likely, found), sets, least_percent), "links")))
+    likely = written(_likely(pairs, classes, least_percent), "likely-pairs", pairs, shared)
+    split = at.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")  # ids with several texts
+    best = written(_best(likely), "best-pairs")
+    found = components(written(_verified(best, sets, least_percent), "links", best).unionByName(split))
+    between = _between(likely, found)
+    links = written(_verified(between, sets, least_percent), "links", between, likely)
+    found = _joined(found, links)
     others = members.where("members > 2").join(found, F.col("rep") == F.col("node"), "left")
-    others = written(others.select("key", "rep", "n", F.coalesce("component", "rep").alias("component")), "others")
-    rest = written(_verified(_rest(others, sets, least_percent), sets, least_percent), "links")
-    final = components(_edges(found).unionByName(rest))
-
-    out = rows.join(classes.select("low", "high", "rep"), ["low", "high"], "left").join(final.withColumnRenamed("node", "rep"), "rep", "left")
-    has = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    component = F.when(has, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
+    others = written(others.select("key", "rep", "n", F.coalesce("component", "rep").alias("component")), "others", members)
+    rest = _rest(others, sets, least_percent)
+    rest = written(_likely(rest.withColumn("most", F.lit(0)), classes, least_percent), "likely-rest", rest, others)
+    final = _joined(found, written(_verified(rest, sets, least_percent), "links", classes, rest))
+    remove(sets)
+
+    out = spread_join(at, final.withColumnRenamed("node", "rep"), "rep", "doc_id", "left")
+    component = F.when(F.col("rep").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components of found (node, component) with more links (a, b)."""
+    return components(_edges(found).unionByName(links)) if links.limit(1).count() else found
+
+
 def deduplicate(docs: DataFrame, size: int = SHINGLE, least_percent: int = LEAST_PERCENT) -> DataFrame:
     """The rows of docs, with their columns as they are, of which one for each group of near-duplicates stays:
     that of the least id. Of rows with that id one stays; rows without an id stay."""
-    stay = groups(docs, size, least_percent).where("kept and doc_id is not null").select("doc_id").distinct()
+    judged = groups(docs, size, least_percent).where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows"))
+    stay = written(judged.where("_kept").drop("_kept"), "stay")
     row = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"))  # no name can clash
-    one = Window.partitionBy("_id").orderBy(F.xxhash64("_row"))
-    found = row.join(stay.withColumnRenamed("doc_id", "_id"), "_id", "left_semi").withColumn("_nth", F.row_number().over(one)).where("_nth = 1")
-    return found.select("_row.*").unionByName(docs.where("doc_id is null"))
+    found = spread_join(row, stay, "_id", "_row", counts=stay.withColumnRenamed("_rows", "n"))
+    once = found.where("_rows = 1").select("_row")
+    if stay.where("_rows > 1").limit(1).count():  # the text of a repeated id is only read where there is one
+        first = found.where("_rows > 1").groupBy("_id").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+        once = once.unionByName(first.select("_row"))
+    return once.select("_row.*").unionByName(docs.where("doc_id is null"))

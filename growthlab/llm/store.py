@@ -1,13 +1,23 @@
-"""Tables written in the cluster's shared folder, so that a lost executor costs no upstream work."""
+"""Tables written in the cluster's shared folder, so that a lost executor costs no upstream work; and joins,
+numbering and batches that no common key and no long text makes larger than a task can hold."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: A key with more rows than this, and than a HOT_SHARE-th of all, is dealt out over several tasks in a join.
+HOT_ROWS, HOT_SHARE = 1000, 10_000
+#: Bytes of text that a Python worker takes from a batch at once.
+SLICE_BYTES = 4_000_000
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``. Unset, a local master gets a temporary folder of its own;
@@ -21,30 +31,88 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet in the shared folder and read again."""
+def written(df: DataFrame, name: str, *used_up: DataFrame) -> DataFrame:
+    """df, written as Parquet in the shared folder and read again. Tables of earlier calls that nothing
+    else reads are named as used_up: their files are removed."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/growthlab/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    remove(*used_up)
+    return out
+
+
+def remove(*tables: DataFrame) -> None:
+    """Removes the files of tables that ``written`` returned. Other DataFrames have none, and are left alone."""
+    for table in tables:
+        if path := getattr(table, "written_to", None):
+            spark = table.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def hot_parts(counts: DataFrame, key: str) -> DataFrame | None:
+    """_key and _parts of each key that has more rows (n) than the greater of HOT_ROWS and a HOT_SHARE-th of all
+    that have more than HOT_ROWS: 2 * HOT_SHARE parts at most. None: there is no such key."""
+    total, most = counts.where(F.col("n") > HOT_ROWS).agg(F.coalesce(F.sum("n"), F.lit(0)), F.max("n")).first()
+    limit = max(HOT_ROWS, total // HOT_SHARE)
+    if most is None or most <= limit:
+        return None
+    return written(counts.where(F.col("n") > limit).select(F.col(key).alias("_key"), F.ceil(F.col("n") / limit).cast("int").alias("_parts")), "hot-keys")
+
 
+def dealt_join(many: DataFrame, one: DataFrame, key: str, deal_by: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """many joined to one by a key that is unique in one. Rows of many with a hot key are dealt into its parts by the hash of
+    ``deal_by``, and one has a hot key's row once for each part. Only hot keys and numbers of parts are sent to all executors."""
+    if hot is None:
+        return many.join(one, key, how)
+    parted = lambda df: df.join(F.broadcast(hot), F.col(key) == F.col("_key"), "left")
+    dealt = parted(many).withColumn("_part", F.coalesce(F.pmod(F.xxhash64(deal_by), "_parts").cast("int"), F.lit(0))).drop("_key", "_parts")
+    copies = parted(one).withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts") - 1, F.lit(0))))).drop("_key", "_parts")
+    return dealt.join(copies, [key, "_part"], how).drop("_part")
 
-def gapless(df: DataFrame, keys: list[str], order: list[str], name: str, chunk: str) -> DataFrame:
-    """df with ``name``: the row's place from 0 among rows of equal keys, without one task for a key.
 
-    ``chunk`` is a column of integers that deals each key's rows out; rows are numbered by chunk, then
-    by ``order``. Only one count for each key and chunk meets in a window, not the rows.
+def spread_join(many: DataFrame, one: DataFrame, key: str, deal_by: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """many joined to one by a key that is unique in one and may be that of any share of many's rows (``dealt_join``).
+    counts, if known: the key and n, its number of rows in many; else they are counted."""
+    if counts is None:
+        counts = many.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return dealt_join(many, one, key, deal_by, hot_parts(counts, key), how)
+
+
+def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """rows with ``name``: the place from 0 within equal keys, in the order given; rows that tie have any order.
+
+    A sort by range deals any key and any number of ties out over tasks; only a count for each task goes to
+    all executors. The first places of hot keys are found by aggregation and joined by ``spread_join``.
     """
-    from pyspark.sql import Window
+    tied = rows.withColumn("_tie", F.monotonically_increasing_id())
+    sorted_ = tied.repartitionByRange(*keys, *order, "_tie").sortWithinPartitions(*keys, *order, "_tie").drop("_tie").withColumn("_id", F.monotonically_increasing_id())
+    sorted_ = written(sorted_, "in-order").withColumns({"_task": F.shiftright("_id", 33), "_in": F.col("_id").bitwiseAND(2**33 - 1)})
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    counts = sorted_.groupBy("_task").agg(F.count(F.lit(1)).alias("_n"))  # a row for each task of the sort
+    starts = counts.select("_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    placed = sorted_.join(F.broadcast(starts), "_task").withColumn("_at", F.col("_before") + F.col("_in"))
+    whole = placed.withColumn("_whole", F.struct(*keys))
+    first = whole.groupBy("_whole").agg(F.min("_at").alias("_first"))
+    return spread_join(whole, first, "_whole", "_at").withColumn(name, F.col("_at") - F.col("_first")).select(*rows.columns, name)
 
-    counts = df.groupBy(*keys, chunk).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*keys, chunk, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy(*keys, chunk).orderBy(*order))
-    numbered = df.withColumn("_inside", inside.cast("long"))
-    return numbered.join(starts, [*keys, chunk]).withColumn(name, F.col("_start") + F.col("_inside") - 1).drop("_start", "_inside")
+
+def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in turn, in parts of about so many bytes of text: one row at least."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(text).cast(pa.large_binary())), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes) // most
+        ends = np.append(np.flatnonzero(np.diff(part)) + 1, len(batch))
+        low = 0
+        for end in ends.tolist():
+            if end > low:
+                yield batch.slice(low, end - low)
+            low = end
 
 
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, all other characters as they are."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from samples import lowered, prose
-from growthlab.llm import neardup
+from growthlab.llm import neardup, store
 
 
 def brute(rows):
@@ -110,3 +110,25 @@ def test_components(spark):
     edges = [(n, n + 1) for n in range(1, 60)] + [(100, 200), (200, 150), (7, 7)]
     got = {tuple(r) for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {(n, 1) for n in range(2, 61)} | {(200, 100), (150, 100)}
+
+
+def test_large_stars_are_dealt_out(spark, monkeypatch):
+    """The same result where nearly every key counts as hot."""
+    monkeypatch.setattr(store, "HOT_ROWS", 5)
+    rng = random.Random(9)
+    words = prose(rng, 120).split()
+    rows = [(k, " ".join([*words[:k], f"own{k}", *words[k + 1 :]])) for k in range(60)] + [(100 + k, " ".join(words)) for k in range(30)] + [(200, prose(rng, 80)), (None, "x y"), (201, None)]
+    check(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+    edges = [(n, 1000) for n in range(40)] + [(1000, n) for n in range(2000, 2040)] + [(3, 4), (5000, 5001)]
+    got = {tuple(r) for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {(n, 0) for n in [*range(1, 40), 1000, *range(2000, 2040)]} | {(5001, 5000)}
+
+
+@pytest.mark.parametrize(("n", "m"), [(3000, 3000), (3000, 12000), (20000, 24000)])
+def test_chance_of_disjoint_sets(n, m):
+    rng, agree, trials = np.random.default_rng(n + m), 0, 1500
+    for _ in range(trials):
+        r, s = (np.frombuffer(neardup.registers(np.sort(rng.integers(0, 2**64, k, dtype=np.uint64))), "<u2") for k in (n, m))
+        agree += int((r == s).sum())
+    expected = float(neardup.chance(np.array([n]), np.array([m]))[0]) * trials * neardup.BUCKETS
+    assert abs(agree - expected) < 5 * expected**0.5
