@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from growthlab.llm.bpe import encoder
-from growthlab.llm.store import written
+from growthlab.llm.store import slices, written
 
 CAPACITY = 1024
 END_ID = 2
@@ -30,15 +30,16 @@ END_ID = 2
 BROADCAST_COUNTS = 1_000_000
 
 
-def tokenise(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY, keep_ids: bool = True, added_tokens: bool = False) -> DataFrame:
+def tokenise(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY, keep_ids: bool = True, added_tokens: bool = True) -> DataFrame:
     """Pieces of at most ``capacity`` ids: doc_id, piece, start, length, ids_crc32 and, if kept, ids.
 
     A document is the ids of its whole text and then ``end_id``. Only a longer one is cut, into pieces of
     exactly ``capacity`` of which the first may be shorter. A null text is empty: one piece, the end id.
-    With ``added_tokens``, an added token of the file in a text is its own id, else it is text like any other.
+    Ids are those of ``tokenizers``: an added token of the file in a text is its own id. Without ``added_tokens`` it is
+    text like any other.
     ``task`` and ``nth`` number the pieces of each length within the task that made them.
     """
-    fields = [docs.select("doc_id").schema[0], *(T.StructField(n, t, False) for n, t in (("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.IntegerType()), ("ids_crc32", T.LongType()), ("task", T.IntegerType()), ("nth", T.LongType())))]
+    fields = [docs.select("doc_id").schema[0], *(T.StructField(n, t, False) for n, t in (("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()), ("task", T.IntegerType()), ("nth", T.LongType())))]
     if keep_ids:
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType(), False), False))
     schema, end = T.StructType(fields), end_id.to_bytes(4, "little")
@@ -46,9 +47,9 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: in
     def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        own = encoder(tokenizer)
-        encode, task, seen = own.encode_added if added_tokens else own.encode, TaskContext.get().partitionId(), [0] * (capacity + 1)
-        for batch in batches:
+        cached = encoder(tokenizer)
+        encode, task, seen = cached.encode_added if added_tokens else cached.encode, TaskContext.get().partitionId(), [0] * (capacity + 1)
+        for batch in slices(batches):
             rows: list[tuple] = []
             for doc, text in enumerate(batch.column("text").to_pylist()):
                 data = encode(text or "") + end
@@ -59,11 +60,12 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: in
                     rows.append((doc, piece, start, length, zlib.crc32(own), seen[length], own if keep_ids else None))
                     seen[length] += 1
             doc, piece, start, length, crc, nth, own = zip(*rows, strict=True) if rows else [()] * 7
-            out = [batch.column("doc_id").take(pa.array(doc, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(crc, pa.int64()), pa.array([task] * len(doc), pa.int32()), pa.array(nth, pa.int64())]
+            out = [batch.column("doc_id").take(pa.array(doc, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array([task] * len(doc), pa.int32()), pa.array(nth, pa.int64())]
             if keep_ids:
                 ends = np.concatenate([[0], np.cumsum(length, dtype=np.int32)]).astype(np.int32)
                 out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(own), np.int32))))
             yield pa.RecordBatch.from_arrays(out, [f.name for f in fields])
+        cached.clear()
 
     return docs.select("doc_id", "text").mapInArrow(pieces, schema)
 
@@ -150,7 +152,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return placed.select(*(c for c in pieces.columns if c not in ("task", "nth")), "_at.sequence_id", "_at.offset")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = True, added_tokens: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = True, added_tokens: bool = True) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, ids (if kept), sequence_id, offset for every document.
 
     Repeated rows are packed each; columns other than doc_id and text are not read.

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import json
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -10,13 +12,12 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from growthlab.llm import packing, queries
-from growthlab.llm.bpe import PATTERN, Encoder
+from growthlab.llm.bpe import PATTERN, Encoder, is_plain
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
 _TOKENIZER = Tokenizer.from_file(PATH)
-_TOKENIZER.encode_special_tokens = True
 _CACHED = Encoder(PATH)
 
 
@@ -25,10 +26,10 @@ def plain(text):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(st.one_of(st.sampled_from(" \n\t.,'sdtlve0aÄ\x1c\x85\u00a0\u3000"), st.characters(exclude_categories=["Cs"])), max_size=40))
+@given(st.lists(st.one_of(st.sampled_from(["<|endoftext|>", *" \n\t.,'sdtlve0aÄ\x1c\x85\u00a0\u3000"]), st.characters(exclude_categories=["Cs"])), max_size=40).map("".join))
 def test_ids_are_the_tokenizers(text):
     for _ in range(2):  # the second time from the cache
-        assert np.frombuffer(_CACHED.encode(text), "<u4").tolist() == plain(text)
+        assert np.frombuffer(_CACHED.encode_added(text), "<u4").tolist() == plain(text)
 
 
 def test_added_tokens_of_the_query(spark, tmp_path):
@@ -123,3 +124,17 @@ def test_patterns_are_those_of_single_pieces(counts):
 
 def test_exchange_fills_a_gap():
     assert packing.best_two_fit({6: 1, 3: 1, 2: 2}, 10) == [({6: 1, 2: 2}, 1), ({3: 1}, 1)]
+
+
+def test_other_files_are_left_to_the_library(tmp_path):
+    file = json.loads(Path(PATH).read_text())
+    assert is_plain(file) and _CACHED.plain
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}):
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps(file | change))
+        for text in ("Some Words, and MORE  of them", "", "x<|endoftext|>Y"):
+            assert np.frombuffer(Encoder(str(path)).encode_added(text), "<u4").tolist() == Tokenizer.from_file(str(path)).encode(text, add_special_tokens=False).ids
+
+
+def test_types_of_the_query(nothing):
+    assert dict(packing.pack_documents(nothing, PATH, keep_ids=False).dtypes) | {"doc_id": ""} == {"doc_id": "", "piece": "int", "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "sequence_id": "bigint", "offset": "bigint"}
