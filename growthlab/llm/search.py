@@ -26,13 +26,13 @@ DENSE = 0.25
 def quantised(table: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", scale: int = SCALE) -> DataFrame:
     """vec_id and vector: floor(scale * x) for each component, as doubles.
 
-    Rows without an id, without a vector or with a null or non-finite component are left out. Of rows with
-    one id the least vector counts.
+    Rows without an id, without a vector or with a null or non-finite component are left out. Rows with one id
+    are rows of their own.
     """
     rows = table.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("x")).where("vec_id is not null and x is not null")
     rows = rows.where(F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))))
     floor = lambda c: F.when(F.abs(c) < 2.0**52, F.floor(c).cast("double")).otherwise(c)  # noqa: E731  larger ones are whole
-    return rows.groupBy("vec_id").agg(F.min("x").alias("x")).select("vec_id", F.transform("x", lambda c: floor(c * scale)).alias("vector"))
+    return rows.select("vec_id", F.transform("x", lambda c: floor(c * scale)).alias("vector"))
 
 
 def _matrix(vectors: pa.ListArray) -> np.ndarray:
@@ -44,7 +44,7 @@ def _matrix(vectors: pa.ListArray) -> np.ndarray:
 
 
 def _best(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[list, list, list]:
-    """(query ids, ids, scores) of each query's k best rows, ties to the smaller id. ids are sorted."""
+    """(places of queries, ids, scores) of each query's k best rows, ties to the smaller id. ids are sorted."""
     terms = min(rows.shape[1], queries.shape[1])
     rows, queries = rows[:, :terms], queries[:, :terms]
     bound = float(np.abs(rows).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(terms, 1)
@@ -55,7 +55,7 @@ def _best(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.
         own = np.flatnonzero(rows[:, term])
         postings.append((slice(None) if len(own) > DENSE * len(ids) else own, exact(rows[:, term] if len(own) > DENSE * len(ids) else rows[own, term])))
     weights, found = exact(queries), ([], [], [])
-    place = np.searchsorted(ids, query_ids)
+    own_first, own_last = np.searchsorted(ids, query_ids), np.searchsorted(ids, query_ids, "right")
     for low in range(0, len(query_ids), TOGETHER):
         part = weights[low : low + TOGETHER]
         scores = np.zeros((len(part), len(ids)), kind)
@@ -67,10 +67,8 @@ def _best(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.
                 for q in holders:
                     scores[q, own] += part[q, term] * values
         for q, score in enumerate(scores):
-            at = place[low + q]
             other = np.ones(len(ids), bool)
-            if at < len(ids) and ids[at] == query_ids[low + q]:
-                other[at] = False
+            other[own_first[low + q] : own_last[low + q]] = False
             allowed = np.flatnonzero(other)
             score = score[allowed]
             if len(score) > k:
@@ -79,7 +77,7 @@ def _best(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.
                 chosen = np.concatenate([above, np.flatnonzero(score == least)[: k - len(above)]])
             else:
                 chosen = np.arange(len(score))
-            found[0].extend([query_ids[low + q]] * len(chosen))
+            found[0].extend([low + q] * len(chosen))
             found[1].extend(ids[allowed[chosen]])
             found[2].extend(max(-(2**63), min(2**63 - 1, int(s))) for s in score[chosen])
     return found
@@ -88,26 +86,28 @@ def _best(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.
 def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k rows with the highest inner products.
 
-    rows and queries: vec_id (whole number) and vector, ids unique in each. A row is not found for a query of its
-    own id. Missing components of a shorter vector are zeros. Ties go to the smaller id. Products beyond a
-    long's range are held at its ends.
+    rows and queries: vec_id (whole number) and vector. Rows with one id are found each, and queries with one id
+    have a list each; a row is not found for a query of its own id. Missing components of a shorter vector are
+    zeros. Ties go to the smaller id. Products beyond a long's range are held at its ends.
     """
     row_blocks = max(1, -(-rows.count() // BLOCK_ROWS))
     query_blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
-    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    block = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.select(block(row_blocks).alias("b"), every(query_blocks).alias("q"), F.lit(False).alias("asks"), "vec_id", "vector")
-    right = queries.select(every(row_blocks).alias("b"), block(query_blocks).alias("q"), F.lit(True).alias("asks"), "vec_id", "vector")
+    rows, queries = (df.select(F.monotonically_increasing_id().alias("row"), "vec_id", "vector") for df in (rows, queries))
+    left = rows.select(block(row_blocks).alias("b"), every(query_blocks).alias("q"), F.lit(False).alias("asks"), "row", "vec_id", "vector")
+    right = queries.select(every(row_blocks).alias("b"), block(query_blocks).alias("q"), F.lit(True).alias("asks"), "row", "vec_id", "vector")
 
     def meet(table: pa.Table) -> pa.Table:
         asks = table["asks"].to_numpy()
         vectors = _matrix(table["vector"].combine_chunks() if table["vector"].num_chunks != 1 else table["vector"].chunk(0))
-        ids = table["vec_id"].to_numpy()
+        ids, numbers = table["vec_id"].to_numpy(), table["row"].to_numpy()
         own = np.flatnonzero(~asks)
-        own = own[np.argsort(ids[own])]
+        own = own[np.argsort(ids[own], kind="stable")]
         query, row, score = _best(ids[own], vectors[own], ids[asks], vectors[asks], k)
-        return pa.table({"query_id": pa.array(query, pa.int64()), "vec_id": pa.array(row, pa.int64()), "score": pa.array(score, pa.int64())})
+        query = np.array(query, np.int64)
+        return pa.table({"query": pa.array(numbers[asks][query]), "query_id": pa.array(ids[asks][query]), "vec_id": pa.array(row, pa.int64()), "score": pa.array(score, pa.int64())})
 
-    best = left.unionByName(right).groupBy("b", "q").applyInArrow(meet, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = left.unionByName(right).groupBy("b", "q").applyInArrow(meet, "query long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

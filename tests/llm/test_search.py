@@ -5,21 +5,19 @@ import random
 
 import pytest
 
-from growthlab.llm import search
+from growthlab.llm import queries, search
+from sqlcheck import compare_rows
 
 SCHEMA = "vec_id long, embedding array<float>, label int, score string, vector string"
 
 
 def brute(rows, k):
-    vectors = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            vectors[i] = min(vectors.get(i, v), v)
-    whole = {i: [math.floor(64 * x) for x in v] for i, v in vectors.items()}
+    whole = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q in (i for i in whole if i % 20 == 0):
-        scores = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=False)), i) for i, v in whole.items() if i != q)
-        out += [(q, rank, i, -s) for rank, (s, i) in enumerate(scores[:k], 1)]
+    for q, w in whole:
+        if q % 20 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(w, v, strict=False)), i) for i, v in whole if i != q)
+            out += [(q, rank, i, -s) for rank, (s, i) in enumerate(scores[:k], 1)]
     return sorted(out)
 
 
@@ -54,3 +52,17 @@ def test_few_and_none(spark):
 def test_large_values_are_exact(spark):
     rows = [(0, [2.0**40, 1.0]), (1, [2.0**10, 1.0]), (2, [2.0**10, 2.0]), (3, [2.0**100, 0.0])]
     assert found(spark, rows) == [(0, 1, 3, 2**63 - 1), (0, 2, 2, 2**62 + 2 * 64 * 64), (0, 3, 1, 2**62 + 64 * 64)]
+
+
+def test_repeated_ids_are_rows_of_their_own(spark):
+    assert found(spark, [(0, [1.0]), (1, [3.0]), (1, [2.0])]) == [(0, 1, 1, 64 * 192), (0, 2, 1, 64 * 128)]
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), *((1 + n % 3, [float(n), 1.0]) for n in range(40)), *[(50, [2.0, 2.0])] * 30]
+    assert found(spark, rows) == brute(rows, 20)
+
+
+def test_against_sql(spark):
+    rows = [(n % 60, [((7 * n + k) % 13) / 8 - 0.5 for k in range(4)], 1, "s", "v") for n in range(61)] + [(61, None, 1, "s", "v"), (62, [math.nan] * 4, 1, "s", "v")]
+    rows = [r for r in rows if r[0] != 0] + [(0, [0.25, -0.5, 1.0, 3.0], 1, "s", "v")]
+    table = spark.createDataFrame(rows, SCHEMA)
+    vectors = search.quantised(table)
+    compare_rows(spark, search.top_k(vectors, vectors.where("vec_id % 20 = 0")), queries.ORACLE_SQL["op3_exact_top_k_search"], embeddings=table)
