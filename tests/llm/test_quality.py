@@ -51,26 +51,68 @@ def test_outliers_of_their_own_group(spark):
     assert {r["doc_id"] for r in found.where("not kept").collect()} == {100, 101}
 
 
-def test_steps_are_those_of_one_machine(spark):
-    """The estimate against the same concentration steps over all rows at once."""
+def test_cells_of_single_rows_are_rows():
+    """The search over cells of one row each is the search over rows, also with copies in one cell."""
     rng = np.random.default_rng(2)
-    clean = rng.normal([5, 1.6, 0.1, 0.1, 0.1], [0.9, 0.05, 0.01, 0.01, 0.01], (500, 5))
-    x = np.vstack([clean, rng.normal([9, 2.5, 0.9, 0.5, 0.5], 0.05, (100, 5))])
-    rows = spark.createDataFrame([("en", "s", *map(float, r)) for r in x], ["lang", "source", *quality.STATS])
-    got = quality.fit(rows).where("_level = 0").first()
-    low, centre, high = np.quantile(x, [0.16, 0.5, 0.84], axis=0)
-    inverse, best = np.diag(1 / (((high - low) / 2) ** 2 + np.square(quality.FLOORS))), None
-    for _ in range(quality.STEPS):
-        d = np.einsum("ij,jk,ik->i", x - centre, inverse, x - centre)
-        bins = np.floor(np.log2(1 + d) * quality.BINS_PER_DOUBLING)
-        own = x[bins <= np.sort(bins)[int(np.ceil(quality.SUPPORT * len(x))) - 1]]
-        centre, scatter = own.mean(0), np.cov(own.T, bias=True) + np.diag(np.square(quality.FLOORS))
-        inverse, logdet = np.linalg.inv(scatter), np.linalg.slogdet(scatter)[1]
-        if best is None or logdet < best[0]:
-            best = logdet, centre
-    assert got["rows"] == 600
-    assert np.allclose(got["centre"], best[1], atol=0.05) and abs(got["logdet"] - best[0]) < 0.2
-    assert np.allclose(got["centre"], clean.mean(0), atol=0.2)
+    clean = rng.normal([5, 1.6, 0.1, 0.1, 0.1], [0.9, 0.3, 0.1, 0.1, 0.3], (500, 5))
+    x = np.vstack([clean, rng.normal([9, 2.5, 0.9, 0.5, 0.5], 0.05, (100, 5)), np.tile([[9, 2.6, 0.9, 0.5, 0.5]], (80, 1))])
+    cells, n = np.unique(x, axis=0, return_counts=True)
+    sums, products = cells * n[:, None], np.column_stack([cells[:, i] * cells[:, j] * n for i, j in quality._PAIRS])
+    centre, scatter, logdet = quality.least_determinant(n, sums, products)
+    expected = plain_mcd(x)
+    assert abs(logdet - expected[0]) < 0.05 and np.allclose(centre, expected[1], atol=0.08) and np.allclose(scatter, expected[2], atol=0.08)
+
+
+def plain_mcd(x, starts=200):
+    """(log-determinant, centre, scatter) of the half of x with the least determinant found from many random starts."""
+    rng, best, floors, half = np.random.default_rng(0), None, np.diag(np.square(quality.FLOORS)), -(-len(x) // 2)
+    for _ in range(starts):
+        own = x[rng.choice(len(x), 8, replace=False)]
+        for _ in range(30):
+            centre, scatter = own.mean(0), np.cov(own.T, bias=True)
+            away = x - centre
+            nearest = np.argsort(np.einsum("ij,jk,ik->i", away, np.linalg.inv(scatter + floors), away), kind="stable")[:half]
+            if len(own) == half and np.array_equal(own, x[nearest]):
+                break
+            own = x[nearest]
+        found = np.linalg.slogdet(np.cov(own.T, bias=True) + floors)[1]
+        if best is None or found < best[0]:
+            best = found, own.mean(0), np.cov(own.T, bias=True)
+    return best
+
+
+def test_verdicts_are_those_of_a_plain_search(spark):
+    """Estimates and verdicts against a minimum-covariance-determinant search from many starts, in two sources."""
+    rng, rows = np.random.default_rng(8), []
+    for source, centre, share in (("a", [5, 1.6, 0.05, 0.05, 0.1], 0.3), ("b", [7, 1.4, 0.3, 0.02, 0.3], 0.1)):
+        clean = rng.normal(centre, [0.8, 0.1, 0.08, 0.1, 0.3], (600, 5))
+        odd = rng.normal(np.add(centre, [3, 0.8, 0.6, 0.5, 0.5]), 0.1, (int(600 * share), 5))
+        rows += [("en", source, *map(float, r)) for r in np.vstack([clean, odd])]
+    table = spark.createDataFrame(rows, ["lang", "source", *quality.STATS])
+    estimates = quality.fit(table)
+    found = {r["_key"]: r for r in estimates.where("_level = 0").collect()}
+    judged = quality.verdicts(table.select("lang", "source", F.lit(False).alias("_base_failed"), *(F.col(s).alias(f"_{s}") for s in quality.STATS)), estimates)
+    verdict = {(r["source"], r["_log_words"]): r["_kept"] for r in judged.collect()}
+    for source in "ab":
+        x = np.array([r[2:] for r in rows if r[1] == source])
+        logdet, centre, scatter = plain_mcd(x)
+        own = found[f'["=en","={source}"]']
+        assert abs(own["logdet"] - logdet) < 0.15
+        away = x - centre
+        distance2 = np.einsum("ij,jk,ik->i", away, np.linalg.inv(quality.CONSISTENCY * scatter + np.diag(np.square(quality.FLOORS))), away)
+        for d, r in zip(distance2, x, strict=True):
+            if abs(d - quality.MAX_DISTANCE2) > 0.25 * quality.MAX_DISTANCE2:
+                assert verdict[source, r[0]] == (d <= quality.MAX_DISTANCE2)
+
+
+def test_few_clean_rows_of_a_source_are_kept(spark):
+    """A group of any size is judged by its own rows and its language's, without a switch between them."""
+    rng, rows = np.random.default_rng(5), []
+    for source, n in (("large", 400), ("small", 7), ("one", 1)):
+        rows += [(len(rows) + i, " ".join("".join(rng.choice(list("abcdefgh"), int(rng.integers(3, 8)))) for _ in range(int(rng.integers(80, 400)))), "en", source) for i in range(n)]
+    rows += [(1000, " ".join("$$$ abc" for _ in range(30)) + " " + " ".join(f"w{i}$" for i in range(100)), "en", "small")]
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i] for i in range(400)) and sum(got[i] for i in range(400, 408)) == 8 and not got[1000]
 
 
 def test_many_junk_copies_in_one_source(spark):
