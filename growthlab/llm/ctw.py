@@ -6,15 +6,17 @@ depths. With the counts of the training texts fixed, the probability of a byte a
 product of eight such mixtures, and a text's score is the sum over its bytes and its end.
 
 Texts are dealt by hash into blocks of about ``BLOCK_BYTES``. A block counts its own words and
-(context, byte) codes; the counts are summed over blocks; the tree is built in one task for each two
-last bytes of a context, which bounds a task by the alphabet and not by the corpus, and the 65,791
-nodes above them are summed on the driver. Then each block gets back the values of its own words and codes
-and scores its texts. So what is gathered grows with the corpus, while no task holds more than a block.
+(context, byte) codes; the counts are summed over blocks. The deeper levels of the tree are built in groups of codes
+that share the last two bytes of their contexts; a group of very many codes is dealt out by the last three. Nodes for two
+bytes are then summed over groups, and the 65,791 nodes above them on the driver. Then each block gets back the values
+of its own words and codes and scores its texts. So what is gathered grows with the corpus, while no task holds
+more than a block or about ``GROUP_CODES``.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,8 @@ from growthlab.llm.store import written
 
 DEPTH = 4
 BLOCK_BYTES = 32_000_000
+#: A group is dealt out if it has more codes than a GROUP_SHARE-th of all, with 1000 at least and GROUP_CODES at most.
+GROUP_SHARE, GROUP_CODES = 400, 100_000
 #: The share of texts that is held out: remainder 1 of the id's checksum by 5.
 FOLDS, HELD_OUT = 5, 1
 #: Fixed value: a byte that UTF-8 never has; it pads the first contexts and ends each text.
@@ -119,17 +123,21 @@ class _Level:
     """Nodes of one depth: sorted keys (context << 8 | place among a byte's decisions), counts and weights."""
 
     def __init__(self, keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None):
+        """below: the summed log_weighted of the nodes below; none for the deepest level."""
         self.keys, self.zeros, self.ones = keys, zeros, ones
-        self.kt = _log_kt(zeros, ones)
-        self.log_weighted = self.kt if below is None else np.logaddexp(_HALF + self.kt, _HALF + below)
+        kt = _log_kt(zeros, ones)
+        self.log_weighted = kt if below is None else np.logaddexp(_HALF + kt, _HALF + below)
         #: The share of the node's own estimate in its mixture with those below.
-        self.own = np.ones_like(self.kt) if below is None else np.exp(_HALF + self.kt - self.log_weighted)
+        self.own = np.ones_like(kt) if below is None else np.exp(_HALF + kt - self.log_weighted)
 
-    def parents(self, shift: int) -> _Level:
+    def sums(self) -> tuple[np.ndarray, ...]:
+        """keys, zeros, ones and log_weighted, summed by the contexts that lack the oldest byte."""
+        keys, inverse = np.unique((self.keys >> 16) << 8 | (self.keys & 255), return_inverse=True)
+        return keys, *(np.bincount(inverse, w, len(keys)) for w in (self.zeros, self.ones, self.log_weighted))
+
+    def parents(self) -> _Level:
         """The level whose contexts lack the oldest byte."""
-        up = (self.keys >> (8 + shift)) << 8 | (self.keys & 255)
-        keys, inverse = np.unique(up, return_inverse=True)
-        return _Level(keys, *(np.bincount(inverse, w, len(keys)) for w in (self.zeros, self.ones, self.log_weighted)))
+        return _Level(*self.sums())
 
     def mixed(self, keys: np.ndarray, bits: np.ndarray, below: np.ndarray) -> np.ndarray:
         """The probability of each bit at the node of each key, given that in the tree below."""
@@ -160,7 +168,7 @@ def _levels(code: np.ndarray, n: np.ndarray, depth: int, least: int) -> list[_Le
     """Levels of depth, depth - 1, ... least."""
     out = [_deepest(code, n)]
     for _ in range(depth - least):
-        out.append(out[-1].parents(8))
+        out.append(out[-1].parents())
     return out
 
 
@@ -175,29 +183,49 @@ def _score_codes(code: np.ndarray, levels: list[_Level], top: list[_Level]) -> n
     return np.log10(probability).sum(axis=0)
 
 
+_NODES = "key long, zeros double, ones double, {}"
+
+
 def tree(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """code, value: log10 of each byte's probability after its context, for all codes of counts (code, n)."""
-    if depth < 2:
-        raise ValueError("the depth is 2 at least")
-    grouped = counts.withColumn("last", F.shiftright("code", 8 * (depth - 1)))  # the last two bytes of the context
+    """code, value: log10 of each byte's probability after its context, for all codes of counts (code, n; written)."""
+    if depth < 3:
+        raise ValueError("the depth is 3 at least")
+    last = F.shiftright("code", 8 * (depth - 1))  # the last two bytes of the context
+    sizes = counts.groupBy(last.alias("last")).agg(F.count(F.lit(1)).alias("codes"))  # 65,536 rows at most
+    total = sizes.agg(F.coalesce(F.sum("codes"), F.lit(0))).first()[0]
+    limit = min(GROUP_CODES, max(1000, total // GROUP_SHARE))
+    parts = written(sizes.select("last", F.ceil(F.col("codes") / limit).cast("int").alias("parts")), "suffixes")
+    part = F.pmod(F.xxhash64(F.shiftright("code", 8 * (depth - 2))), "parts").cast("int")  # by the last three bytes
+    grouped = counts.withColumn("last", last).join(F.broadcast(parts), "last").select("last", part.alias("part"), "code", "n")
 
     def up(table: pa.Table) -> pa.Table:
-        level = _levels(table["code"].to_numpy(), table["n"].to_numpy(), depth, 2)[-1]
-        return pa.table({"key": level.keys, "zeros": level.zeros, "ones": level.ones, "weighted": level.log_weighted})
+        keys, zeros, ones, weighted = _levels(table["code"].to_numpy(), table["n"].to_numpy(), depth, 3)[-1].sums()
+        return pa.table({"key": keys, "zeros": zeros, "ones": ones, "below": weighted})
+
+    def mix(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            level = _Level(*(batch.column(c).to_numpy() for c in ("key", "zeros", "ones", "below")))
+            yield pa.RecordBatch.from_pydict({"key": level.keys, "zeros": level.zeros, "ones": level.ones, "own": level.own, "weighted": level.log_weighted})
 
-    tops = grouped.where("n > 0").groupBy("last").applyInArrow(up, "key long, zeros double, ones double, weighted double")
+    partial = grouped.where("n > 0").groupBy("last", "part").applyInArrow(up, _NODES.format("below double"))
+    summed = partial.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "below")))
+    two = written(summed.mapInArrow(mix, _NODES.format("own double, weighted double")), "tree-nodes")
     first = F.shiftleft(F.shiftright("key", 16), 8).bitwiseOR(F.col("key").bitwiseAND(255))
-    sums = tops.groupBy(first.alias("key")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("weighted"))
+    sums = two.groupBy(first.alias("key")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("weighted"))
     got = sums.orderBy("key").toArrow()  # 256 contexts of 255 decisions at most
     one = _Level(*(got[c].to_numpy() for c in ("key", "zeros", "ones", "weighted")))
-    top = [one, one.parents(8)]
+    top = [one, one.parents()]
 
-    def down(table: pa.Table) -> pa.Table:
-        code = table["code"].to_numpy()
-        levels = _levels(code, table["n"].to_numpy(), depth, 2)
-        return pa.table({"code": code, "value": _score_codes(code, levels, top)})
+    def down(table: pa.Table, nodes: pa.Table) -> pa.Table:
+        code, order = table["code"].to_numpy(), np.argsort(nodes["key"].to_numpy())
+        middle = _Level(*(nodes[c].to_numpy()[order] for c in ("key", "zeros", "ones")), None)
+        middle.own = nodes["own"].to_numpy()[order]
+        levels = _levels(code, table["n"].to_numpy(), depth, 3)
+        return pa.table({"code": code, "value": _score_codes(code, levels, [middle, *top])})
 
-    return grouped.groupBy("last").applyInArrow(down, "code long, value double")
+    above = two.withColumn("last", F.shiftright("key", 8)).join(F.broadcast(parts), "last")
+    above = above.select("last", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "key", "zeros", "ones", "own")
+    return grouped.groupBy("last", "part").cogroup(above.groupBy("last", "part")).applyInArrow(down, "code long, value double")
 
 
 _SCORED = "doc_id {id}, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long"
@@ -240,16 +268,18 @@ def score(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(size // block_bytes + 1)).cast("int")
-    texts = docs.select("doc_id", "text", held_out().alias("held_out"), block.alias("block"))
+    blocks = size // block_bytes + 1
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
+    texts = docs.select("doc_id", "text", held_out().alias("held_out"), block.alias("block")).repartition(blocks, "block")
     counted = written(texts.groupBy("block").applyInArrow(lambda t: _count_block(t, depth), _COUNTED), "block-counts")
     words = written(counted.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
     tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
     of_codes = counted.where("code is not null")
-    model = written(tree(written(of_codes.groupBy("code").agg(F.sum("n").alias("n")), "code-counts"), depth), "tree")
+    sums = written(of_codes.groupBy("code").agg(F.sum("n").alias("n")), "code-counts")
+    model = written(tree(sums, depth), "tree", sums)
     word_values = counted.where("word is not null").select("block", "word").join(words, "word")
     code_values = of_codes.select("block", "code").join(model, "code")
-    values = word_values.select("block", "word", F.lit(None).cast("long").alias("code"), F.col("n").cast("double").alias("value")).unionByName(code_values.select("block", F.lit(None).cast("binary").alias("word"), "code", "value"))
+    values = word_values.select("block", "word", F.lit(None).cast("long").alias("code"), F.col("n").cast("double").alias("value")).unionByName(code_values.select("block", F.lit(None).cast("binary").alias("word"), "code", "value")).repartition(blocks, "block")
     scored = texts.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(lambda d, v: _score_block(d, v, depth, tokens, distinct), _SCORED.format(id=id_type))
     bits = -F.col("score") / F.log10(F.lit(2.0)) / (F.col("n_bytes") + 1)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))

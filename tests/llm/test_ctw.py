@@ -59,8 +59,9 @@ def brute(train, texts, depth):
     return out
 
 
-@pytest.mark.parametrize("depth", [2, 3])
-def test_against_sequential_weighting(spark, depth):
+@pytest.mark.parametrize(("depth", "group"), [(3, 100_000), (4, 100_000), (3, 2)])
+def test_against_sequential_weighting(spark, monkeypatch, depth, group):
+    monkeypatch.setattr(ctw, "GROUP_CODES", group)
     rows = [(1, "abracadabra"), (2, "Abra cad"), (3, "é!"), (4, None), (8, "zzz abra"), (9, "")]
     got = {r["doc_id"]: r for r in ctw.score(spark.createDataFrame(rows, "doc_id long, text string"), depth).collect()}
     train = [lowered(t) for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
