@@ -1,63 +1,124 @@
 """Shards by a hierarchical weighted hash tree: regions hold racks, racks hold shards.
 
-Every shard draws, for a document id, an exponential value whose rate is the shard's weight. A rack's
-draw is the least of its shards' draws, and a region's the least of its racks': again exponential,
-with the summed weight as rate, so each level chooses its child in proportion to the weights below it.
-Because a parent's draw comes from its children, a changed weight moves only documents into or out of
-the subtree that holds it, and a new shard takes documents only into itself. (Independent draws at each
-level, as in trees that hash the inner nodes themselves, would also move documents between
-the old shards of a region whose weight grew.)
+A document descends the tree level by level. At each it takes the child with the least draw: an exponential
+value whose rate is the child's weight, the sum of the weights below it, fixed by the document's id and the
+child's name. So each level shares its documents in proportion to weight, and a document costs as many draws as
+the nodes on its way have children, not as many as there are shards.
+
+Where weights grow, what a change adds is a tree of its own, its *generation*: beside the regions of older generations
+stand its own, with the added weight, and a document that one of them wins descends within that generation only, to the
+shards that grew. Draws of older generations stay as they are, so no document moves between old shards, and a
+new shard takes documents only into itself. A weight that falls is taken from its shard's latest generation;
+documents then leave or change places only in the subtree that holds it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from itertools import zip_longest
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from growthlab.llm.store import gapless, written
+from growthlab.llm.store import numbered, written
 
 SHARDS_PER_RACK, RACKS_PER_REGION = 4, 2
-#: Rows for each chunk within which the rows of a shard are numbered.
-CHUNK_ROWS = 20_000
+#: Fixed value: a draw is made of so many hexadecimal digits of an MD5 sum.
+DIGITS = 13
+
+
+class Node(NamedTuple):
+    """A node of one level (0 regions, 1 racks, 2 shards) of a generation; parent: its place among those of the level above."""
+
+    level: int
+    place: int
+    parent: int
+    number: int
+    name: str
+    weight: float
+
+
+def generations(history: Sequence[Sequence[float]]) -> list[dict[int, float]]:
+    """What each change of weights added to each shard, as far as later ones left it. history: the weights of
+    shards 0, 1, ... at first and after each change."""
+    out: list[dict[int, float]] = []
+    for weights in history:
+        added, before = {}, range(max([0, *(s + 1 for g in out for s in g)]))
+        for shard, (weight, _) in enumerate(zip_longest(weights, before, fillvalue=0)):
+            have = sum(g.get(shard, 0.0) for g in out)
+            if weight > have:
+                added[shard] = weight - have
+            for g in reversed(out):
+                less = min(g.get(shard, 0.0), max(have - weight, 0.0))
+                have -= less
+                g[shard] = g.get(shard, 0.0) - less
+        out.append(added)
+    return [{s: w for s, w in g.items() if w > 0} for g in out]
+
+
+def nodes(history: Sequence[Sequence[float]]) -> list[Node]:
+    """The nodes of all generations' trees. Every top node has the place of none, -1, as its parent."""
+    weight: dict[tuple, float] = {}
+    for g, added in enumerate(generations(history)):
+        for shard, w in added.items():
+            rack, region = shard // SHARDS_PER_RACK, shard // SHARDS_PER_RACK // RACKS_PER_REGION
+            for at in ((0, g, region), (1, g, region, rack), (2, g, region, rack, shard)):
+                weight[at] = weight.get(at, 0.0) + w
+    if not weight:
+        raise ValueError("no shard has a positive weight")
+    out, place = [], {}
+    for at, w in sorted(weight.items()):
+        level, g, *path = at
+        place[at] = sum(n.level == level for n in out)
+        parent = place[(level - 1, g, *path[:-1])] if level else -1
+        out.append(Node(level, place[at], parent, path[-1], f"{('region', 'rack', 'shard')[level]} {path[-1]} of {g}", w))
+    return out
+
 
+def _draw(key: Column, node: Node) -> Column:
+    """A draw from the exponential distribution of the node's weight, fixed by key and name."""
+    bits = F.conv(F.substring(F.md5(F.concat(F.lit(node.name + "|"), key)), 1, DIGITS), 16, 10).cast("double")
+    return -F.log((bits + 0.5) / F.lit(16.0**DIGITS)) / F.lit(node.weight)
 
-def _draw(key: Column, shard: int, weight: float) -> Column:
-    """A draw from the exponential distribution of the weight, fixed by key and shard."""
-    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(shard)), 11)
-    return -F.log((bits.cast("double") + 0.5) * F.lit(2.0**-53)) / F.lit(float(weight))
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once."""
+    return F.transform(F.array(value), then)[0]
 
-def place(key: Column, weights: Sequence[float]) -> Column:
-    """struct<region, rack, shard> of a key among shards 0 to len(weights) - 1.
 
-    A shard of weight 0 takes nothing. A null key is a key like any other.
+def place(key: Column, *history: Sequence[float]) -> Column:
+    """struct<region, rack, shard> of a key among the shards of the last weights of history.
+
+    A shard of weight 0 takes nothing. A null key is an empty one.
     """
-    if not any(w > 0 for w in weights):
-        raise ValueError("no shard has a positive weight")
-    racks: dict[int, list[Column]] = {}
-    for shard, weight in enumerate(weights):
-        if weight > 0:
-            leaf = F.struct(_draw(key, shard, weight).alias("draw"), F.lit(shard).alias("shard"))
-            racks.setdefault(shard // SHARDS_PER_RACK, []).append(leaf)
-    regions: dict[int, list[Column]] = {}
-    for rack, leaves in racks.items():
-        best = F.array_min(F.array(*leaves)) if len(leaves) > 1 else leaves[0]
-        regions.setdefault(rack // RACKS_PER_REGION, []).append(F.struct(best["draw"].alias("draw"), F.lit(rack).alias("rack"), best["shard"].alias("shard")))
-    tops = []
-    for region, own in regions.items():
-        best = F.array_min(F.array(*own)) if len(own) > 1 else own[0]
-        tops.append(F.struct(best["draw"].alias("draw"), F.lit(region).alias("region"), best["rack"].alias("rack"), best["shard"].alias("shard")))
-    best = F.array_min(F.array(*tops)) if len(tops) > 1 else tops[0]
-    return F.struct(best["region"].alias("region"), best["rack"].alias("rack"), best["shard"].alias("shard"))
+    levels = [[n for n in nodes(history) if n.level == level] for level in range(3)]
+
+    def child(level: int, parent: Column, text: Column) -> Column:
+        """The place of the child that the key takes; only the children of the parent that it came to are drawn."""
+        chosen, families = None, sorted({n.parent for n in levels[level]})
+        for family in families:
+            own = [n for n in levels[level] if n.parent == family]
+            drawn = [F.struct(_draw(text, n).alias("draw"), F.lit(n.place).alias("place")) for n in own]
+            best = F.array_min(F.array(*drawn))["place"] if len(own) > 1 else F.lit(own[0].place)
+            chosen = F.when(parent == family, best) if chosen is None else chosen.when(parent == family, best)
+        return chosen
+
+    def number(level: int, at: Column) -> Column:
+        return F.element_at(F.array(*(F.lit(n.number) for n in levels[level])), at + 1)
+
+    def found(region: Column, rack: Column, shard: Column) -> Column:
+        return F.struct(number(0, region).alias("region"), number(1, rack).alias("rack"), number(2, shard).alias("shard"))
+
+    descend = lambda text: _once(child(0, F.lit(-1), text), lambda a: _once(child(1, a, text), lambda b: _once(child(2, b, text), lambda c: found(a, b, c))))
+    return _once(F.coalesce(key.cast("string"), F.lit("")), descend)
 
 
 def assign(docs: DataFrame, weights: Sequence[float], grown: Sequence[float] | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, region, rack, shard, slot and, for the weights after a change, grown_shard.
 
     size: UTF-8 bytes of the text plus 1; a null text has none, and the checksum of nothing. Repeated rows
-    go to one shard and have slots of their own. Slots are gapless from 0 in every shard. Columns other
+    go to one shard and have slots of their own. Slots are gapless from 0 in every shard, by doc_id. Columns other
     than doc_id and text are not read.
     """
     text = F.coalesce("text", F.lit(""))
@@ -66,13 +127,11 @@ def assign(docs: DataFrame, weights: Sequence[float], grown: Sequence[float] | N
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         place(F.col("doc_id"), weights).alias("at"),
-        (place(F.col("doc_id"), grown)["shard"] if grown else F.lit(None).cast("int")).alias("grown_shard"),
-    ).select("doc_id", "size", "text_crc32", "at.*", "grown_shard")
-    rows = written(rows, "shards")
-    chunks = rows.count() // CHUNK_ROWS + 1
-    chunked = rows.withColumn("_chunk", F.pmod(F.xxhash64("doc_id", F.lit("slot")), F.lit(chunks)))
-    numbered = gapless(chunked, ["shard"], ["doc_id", "text_crc32", "size"], "slot", "_chunk")
-    return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "region", "rack", "shard", "slot", "grown_shard")
+        (place(F.col("doc_id"), weights, grown)["shard"] if grown else F.lit(None).cast("int")).alias("grown_shard"),
+    )
+    rows = written(rows.select("doc_id", "size", "text_crc32", "at.*", "grown_shard"), "shards")
+    found = numbered(rows, ["shard"], ["doc_id", "text_crc32", "size"], "slot")
+    return found.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "region", "rack", "shard", "slot", "grown_shard")
 
 
 def write(docs: DataFrame, weights: Sequence[float], path: str) -> None:

@@ -1,11 +1,14 @@
 from __future__ import annotations
 
+import hashlib
+import math
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
 
-from growthlab.llm import shards
+from growthlab.llm import queries, shards
+from sqlcheck import compare_rows
 
 
 def test_contract(docs):
@@ -20,38 +23,80 @@ def test_contract(docs):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
-def placed(spark, weights, n=20_000):
+def placed(spark, *history, n=20_000):
     from pyspark.sql import functions as F
 
-    return [tuple(r) for r in spark.range(n).select("id", shards.place(F.col("id"), weights).alias("at")).orderBy("id").select("at.*").collect()]
+    return [tuple(r) for r in spark.range(n).select("id", shards.place(F.col("id"), *history).alias("at")).orderBy("id").select("at.*").collect()]
 
 
-def test_shares_follow_weights(spark):
-    weights = [1.0, 2.0, 3.0, 0.0, 4.0, 1.0, 1.0, 1.0, 5.0, 2.0]
-    count = Counter(s for _, _, s in placed(spark, weights))
-    assert 3 not in count
-    for shard, w in enumerate(weights):
-        assert count[shard] == pytest.approx(20_000 * w / sum(weights), rel=0.12, abs=1)
+def plain(key, history):
+    """The descent of one key, node by node."""
+    weight = lambda part: sum(part.values())
+    parts = []
+    for g, added in enumerate(shards.generations(history)):
+        for region in {s // 8 for s in added}:
+            parts.append((g, region, {s: w for s, w in added.items() if s // 8 == region}))
+
+    def draw(name, w):
+        bits = int(hashlib.md5(f"{name}|{key}".encode()).hexdigest()[:13], 16)
+        return -math.log((bits + 0.5) / 16**13) / w
+
+    g, region, part = min(parts, key=lambda p: draw(f"region {p[1]} of {p[0]}", weight(p[2])))
+    racks = [(r, {s: w for s, w in part.items() if s // 4 == r}) for r in {s // 4 for s in part}]
+    rack, part = min(racks, key=lambda p: draw(f"rack {p[0]} of {g}", weight(p[1])))
+    return region, rack, min(part, key=lambda s: draw(f"shard {s} of {g}", part[s]))
 
 
-def test_only_changed_subtrees_move(spark):
+@pytest.mark.parametrize("history", [[[1.0] * 16], [[1.0] * 16, [1.0] * 17], [[1.0, 2.0, 0.0, 4.0, 0.5] * 5, [1.0, 2.0, 3.0, 2.0, 0.5] * 5, [2.0] * 27], [[3.0]]])
+def test_against_plain_descent(spark, history):
+    assert placed(spark, *history, n=400) == [plain(i, history) for i in range(400)]
+
+
+def test_shares_follow_weights(spark):
+    weights = [1.0, 2.0, 3.0, 0.0, 4.0, 1.0, 1.0, 1.0, 5.0, 2.0]
+    for history in ([weights], [[2.0] * 6, weights], [[1.0] * 10, [3.0] * 12, weights]):
+        count = Counter(s for _, _, s in placed(spark, *history))
+        assert count.keys() == set(range(10)) - {3}
+        for shard, w in enumerate(weights):
+            assert count[shard] == pytest.approx(20_000 * w / sum(weights), rel=0.12, abs=1)
+
+
+def test_new_weight_takes_rows_only_into_itself(spark):
+    before = [[1.0] * 17]
+    at = placed(spark, *before)
+    for n in (18, 20, 25):
+        assert all(a == b or b[2] >= 17 for a, b in zip(at, placed(spark, *before, [1.0] * n), strict=True))
+    heavier = [*before[0][:5], 3.0, *before[0][6:]]
+    then = placed(spark, *before, heavier)
+    assert all(a == b or b[2] == 5 for a, b in zip(at, then, strict=True)) and at != then
+    later = placed(spark, *before, heavier, [*heavier, 2.0])
+    assert all(a == b or b[2] == 17 for a, b in zip(then, later, strict=True)) and later != then
+
+
+def test_lost_weight_moves_only_what_its_subtree_holds(spark):
     before = [1.0] * 17
     at = placed(spark, before)
-    for n in (18, 20, 25):  # into the new shards only
-        assert all(a == b or b[2] >= 17 for a, b in zip(at, placed(spark, [1.0] * n), strict=True))
-    heavier = [*before[:5], 3.0, *before[6:]]
-    assert all(a == b or b[2] == 5 for a, b in zip(at, placed(spark, heavier), strict=True))
-    lost = [*before[:5], 0.0, *before[6:]]
-    assert all((a == b) == (a[2] != 5) for a, b in zip(at, placed(spark, lost), strict=True))
-
-
-def test_chunks(docs, monkeypatch):
-    monkeypatch.setattr(shards, "CHUNK_ROWS", 10)
-    got = shards.assign(docs, [1.0, 1.0]).collect()
-    for shard in (0, 1):
-        own = sorted(r["slot"] for r in got if r["shard"] == shard)
-        assert own == list(range(len(own))) and own
-    assert {r["grown_shard"] for r in got} == {None}
+    lost = placed(spark, before, [*before[:5], 0.0, *before[6:]])  # shard 5: rack 1, region 0
+    assert not any(b[2] == 5 for b in lost)
+    for a, b in zip(at, lost, strict=True):
+        assert a == b or a[0] == 0  # only documents of its region move
+        if a != b and b[0] == 0:  # and within the region only out of its rack, or within that out of the shard
+            assert a[1] == 1 and (b[1] != 1 or a[2] == 5)
+
+
+def test_generations():
+    assert shards.generations([[1.0, 2.0], [3.0, 2.0, 1.0], [1.5, 0.0]]) == [{0: 1.0}, {0: 0.5}, {}]
+    with pytest.raises(ValueError, match="weight"):
+        shards.nodes([[1.0], [0.0]])
+
+
+def test_against_sql(docs, spark):
+    short = docs.where("doc_id is not null")
+    compare_rows(spark, shards.assign(short, queries.SHARDS, queries.GROWN), queries.ORACLE_SQL["op6_hash_tree_shards"], documents=short)
+
+
+def test_without_growth(docs):
+    assert {r["grown_shard"] for r in shards.assign(docs, [1.0, 1.0]).collect()} == {None}
 
 
 def test_files(docs, spark, tmp_path):
