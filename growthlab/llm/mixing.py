@@ -1,9 +1,10 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
 The documents of a source are dealt by hash into at most ``BLOCKS`` blocks, and a source's target of
-words becomes an exact quota of its permuted blocks: whole rounds of all blocks, then the blocks of
-one more round that the rest of the target holds, and of one more block the part that a second hash cuts off. A binary tree over the output
-shards splits the quotas: at each node the left half's blocks of each source are a multivariate
+words becomes an exact quota of its permuted blocks: whole rounds of all blocks, then the first blocks of
+the permutation that the rest of the target holds, and of the next block the part that a second hash cuts off. Where a
+long document stands at the cut of a small source, so that more than ``SLACK`` of its target is missing, later blocks that fit
+fill that gap. A binary tree over the output shards splits the quotas: at each node the left half's blocks of each source are a multivariate
 hypergeometric draw from the node's, so every shard gets its exact share of a random deal. A shard takes
 the next blocks of each source's permutation, so that shards are disjoint, and shuffles its rows.
 
@@ -29,6 +30,8 @@ SHARDS = 16
 BLOCKS = 1024
 MAX_SOURCES = 100_000
 SEED = 20_240_229
+#: A gap of more than this share of a source's target, left by one long document, is filled by later blocks.
+SLACK = 0.01
 #: Largest number of blocks of all sources that are sent to every executor; more are joined by a shuffle.
 BROADCAST_BLOCKS = 200_000
 #: Rows that are shuffled together within a shard.
@@ -81,23 +84,49 @@ def size(text: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-_PERMUTED = "_source string, _block int, source_size long, target double, rounds int, blocks long, nth int, whole boolean, cut_here boolean, open double"
+_ROUND = "_source string, _block int, place long, words long, source_size long, target double, rounds int, blocks long, whole boolean, cut_here boolean, open double"
 
 
-def _last_round(own: pd.DataFrame) -> pd.DataFrame:
-    """The permutation of a source's blocks, BLOCKS at most. The round that isn't whole takes, in a random
-    order, each block that the rest of the target has room for, and then the smallest other block is cut."""
+def _prefix(own: pd.DataFrame) -> pd.DataFrame:
+    """The round of a source that isn't whole: the first of its permuted blocks (BLOCKS at most) that the rest of the
+    target holds are whole, and the next is cut, with what is then open."""
     own = own.sort_values(["place", "_block"], ignore_index=True)
-    left, whole = float(own["rest"].iloc[0]), np.zeros(len(own), bool)
-    for i, words in enumerate(own["words"].tolist()):
-        whole[i] = left > 0 and words <= left
-        left -= words * whole[i]
-    cut = np.zeros(len(own), bool)
-    if left > 0 and not whole.all():
-        cut[own["words"].where(~whole).idxmin()] = True
-    own["whole"], own["cut_here"], own["open"] = whole, cut, left
-    own = own.iloc[np.lexsort((np.arange(len(own)), ~cut, ~whole))]
-    return own.assign(nth=np.arange(len(own), dtype=np.int32))[["_source", "_block", "source_size", "target", "rounds", "blocks", "nth", "whole", "cut_here", "open"]]
+    upto, rest = own["words"].cumsum(), float(own["rest"].iloc[0])
+    whole = (upto <= rest).to_numpy()
+    first = int(whole.sum())
+    left = rest - (float(upto.iloc[first - 1]) if first else 0.0)
+    own["whole"], own["cut_here"], own["open"] = whole, (np.arange(len(own)) == first) & (left > 0), left
+    return own.drop(columns="rest")
+
+
+def _filled(own: pd.DataFrame) -> pd.DataFrame:
+    """The blocks of _prefix with nth, their place among the copies; a gap takes, in the order of the permutation, each
+    later block that fits, and then the smallest other is cut."""
+    own = own.sort_values(["place", "_block"], ignore_index=True)
+    gap, whole, cut = float(own["gap"].iloc[0]), own["whole"].to_numpy(bool, copy=True), own["cut_here"].to_numpy(bool)
+    again = np.zeros(len(own), bool)
+    for i in np.flatnonzero(~whole & ~cut):
+        if 0 < own["words"].iloc[i] <= gap:
+            whole[i] = True
+            gap -= own["words"].iloc[i]
+    others = own["words"].where(~whole & ~cut & (own["words"] > 0)).dropna()
+    if gap > 0 and len(others):
+        again[others.idxmin()] = True
+    own["whole"], own["cut_here"], own["again"], own["open"] = whole, cut, again, gap
+    own = own.iloc[np.lexsort((np.arange(len(own)), ~again, ~cut, ~whole))]
+    return own.assign(nth=np.arange(len(own), dtype=np.int32))[[f.split()[0] for f in _FILLED.split(", ")]]
+
+
+_FILLED = "_source string, _block int, source_size long, target double, rounds int, blocks long, whole boolean, cut_here boolean, again boolean, open double, nth int"
+
+
+def _cuts(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """_source, _block, cut (the greatest _cut within the block that is taken) and taken (its words) for the blocks to be cut:
+    edges, _source, _block and open, a row for each source at most."""
+    inside = rows.join(F.broadcast(edges), ["_source", "_block"]).groupBy("_source", "_block", "_cut", "open").agg(F.sum("size").alias("words"))
+    upto = F.sum("words").over(Window.partitionBy("_source", "_block").orderBy("_cut").rowsBetween(Window.unboundedPreceding, 0))
+    fitting = inside.withColumn("upto", upto).where(F.col("upto") - F.col("words") / 2 <= F.col("open"))
+    return fitting.groupBy("_source", "_block").agg(F.max("_cut").alias("cut"), F.max("upto").alias("taken"))
 
 
 def _plan(rows: DataFrame, weights: Sequence[float], shards: int) -> DataFrame:
@@ -116,20 +145,24 @@ def _plan(rows: DataFrame, weights: Sequence[float], shards: int) -> DataFrame:
         "_source string, source_size long, blocks long, target double, rounds int, rest double",
     )
     permuted = by_block.join(F.broadcast(goals), "_source").withColumn("place", F.xxhash64("_source", "_block", F.lit(SEED)))
-    permuted = written(permuted.groupBy("_source").applyInPandas(_last_round, _PERMUTED), "mix-permuted")
-
-    edges = F.broadcast(permuted.where("cut_here").select("_source", "_block", "open"))  # a row for each source at most
-    inside = rows.join(edges, ["_source", "_block"]).groupBy("_source", "_cut", "open").agg(F.sum("size").alias("words"))
-    upto = F.sum("words").over(Window.partitionBy("_source").orderBy("_cut").rowsBetween(Window.unboundedPreceding, 0))
-    cuts = inside.withColumn("upto", upto).where(F.col("upto") - F.col("words") / 2 <= F.col("open")).groupBy("_source").agg(F.max("_cut").alias("cut"))
-
-    taken = permuted.withColumn("copies", F.col("rounds") + (F.col("whole") | F.col("cut_here")).cast("int"))
+    permuted = permuted.select("_source", "_block", "place", "words", F.col("size").alias("source_size"), "target", "rounds", "blocks", "rest")
+    permuted = written(permuted.groupBy("_source").applyInPandas(_prefix, _ROUND), "mix-prefixes")
+
+    edges = permuted.where("cut_here").select("_source", "_block", "open")
+    first = written(_cuts(rows, edges), "mix-cuts")
+    gaps = edges.join(first, ["_source", "_block"], "left").select("_source", (F.col("open") - F.coalesce("taken", F.lit(0))).alias("gap"))
+    gap = F.when(F.col("gap") > SLACK * F.col("target"), F.col("gap")).otherwise(F.lit(0.0))
+    filled = permuted.join(F.broadcast(gaps), "_source", "left").withColumn("gap", gap).groupBy("_source").applyInPandas(_filled, _FILLED)
+    permuted = written(filled, "mix-permuted", permuted, by_block)
+    cuts = first.drop("taken").unionByName(_cuts(rows, permuted.where("again").select("_source", "_block", "open")).drop("taken"))
+
+    taken = permuted.withColumn("cut_here", F.col("cut_here") | F.col("again")).withColumn("copies", F.col("rounds") + (F.col("whole") | F.col("cut_here")).cast("int"))
     quota = {r["_source"]: r["n"] for r in taken.groupBy("_source").agg(F.sum("copies").alias("n")).collect()}
     ends = split([quota[r["_source"]] for r in found], shards).cumsum(axis=0) if found else np.zeros((shards, 0), np.int64)
     ends = spark.createDataFrame([(r["_source"], ends[:, i].tolist()) for i, r in enumerate(found)], "_source string, ends array<long>")
-    drawn = taken.join(F.broadcast(ends), "_source").join(F.broadcast(cuts), "_source", "left")
+    drawn = taken.join(F.broadcast(ends), "_source").join(F.broadcast(cuts), ["_source", "_block"], "left")
     position = lambda k: k.cast("long") * F.col("blocks") + F.col("nth")
-    shard = F.transform(F.expr("slice(array(0, 1, 2, 3), 1, copies)"), lambda k: F.size(F.filter("ends", lambda end: end <= position(k))))
+    shard = F.transform(F.expr("if(copies > 0, sequence(0, copies - 1), cast(array() AS array<int>))"), lambda k: F.size(F.filter("ends", lambda end: end <= position(k))))
     last = F.when(F.col("cut_here"), F.coalesce("cut", F.lit(-1)))
     return drawn.select("_source", "_block", "source_size", "target", shard.alias("shards"), last.alias("last"))
 

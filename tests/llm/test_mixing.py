@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -32,6 +34,68 @@ def test_split(quotas, shards):
     assert (got == mixing.split(quotas, shards)).all()
 
 
+def plain_split(quotas, shards, rng):
+    """The tree over single blocks: at each node, those of the left half are drawn without replacement."""
+    def descend(low, high, blocks):
+        if high - low == 1:
+            return [[blocks.count(s) for s in range(len(quotas))]]
+        left = sorted(rng.sample(range(len(blocks)), len(blocks) * ((high - low) // 2) // (high - low)))
+        inside = set(left)
+        return descend(low, (low + high) // 2, [blocks[i] for i in left]) + descend((low + high) // 2, high, [b for i, b in enumerate(blocks) if i not in inside])
+
+    return np.array(descend(0, shards, [s for s, n in enumerate(quotas) for _ in range(n)]))
+
+
+def test_split_has_the_distribution_of_single_draws():
+    quotas, shards, runs = [7, 30, 3], 5, 3000
+    rng = random.Random(0)
+    got = np.array([mixing.split(quotas, shards, seed) for seed in range(runs)])
+    plain = np.array([plain_split(quotas, shards, rng) for _ in range(runs)])
+    assert (got.sum(axis=2) == plain.sum(axis=2)).all()  # every shard's own number of blocks
+    assert np.abs(got.mean(0) - plain.mean(0)).max() < 0.12
+    assert np.abs(got.var(0) - plain.var(0)).max() < 0.2
+    for source in range(3):  # the counts of one shard, by chi-square with some slack
+        a, b = (np.bincount(x[:, 2, source], minlength=31) for x in (got, plain))
+        both = a + b > 20
+        assert (((a - b) ** 2)[both] / (a + b)[both]).sum() < 3 * both.sum() + 10
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 60), min_size=1, max_size=30), st.floats(0, 1))
+def test_last_round_is_a_prefix_of_the_permutation(words, share):
+    rest = share * sum(words)
+    rows = pd.DataFrame({"_source": "0a", "_block": range(len(words)), "place": [(n * 7919) % 101 for n in range(len(words))], "words": words, "source_size": sum(words), "target": rest, "rounds": 0, "blocks": len(words), "rest": rest})
+    order = sorted(range(len(words)), key=lambda n: ((n * 7919) % 101, n))
+    expected, left = [], rest
+    for n in order:
+        if words[n] > left:
+            break
+        expected.append(n)
+        left -= words[n]
+    got = mixing._prefix(rows)
+    assert got["_block"][got["whole"]].tolist() == expected and got["open"].iloc[0] == pytest.approx(left)
+    assert got["_block"][got["cut_here"]].tolist() == (order[len(expected) : len(expected) + 1] if left > 0 else [])
+    full = mixing._filled(got.assign(gap=left))
+    added = set(full["_block"][full["whole"]]) - set(expected)
+    assert sum(words[n] for n in added) + full["open"].iloc[0] == pytest.approx(left) and full["open"].iloc[0] >= 0
+    assert sorted(full["nth"]) == list(range(len(words))) and not (full["again"] & (full["whole"] | full["cut_here"])).any()
+    still = mixing._filled(got.assign(gap=0.0))
+    assert still["whole"].sum() == len(expected) and not still["again"].any()
+
+
+def test_a_long_document_at_the_cut(spark):
+    """Small sources with a very long document come near their targets too."""
+    rows = [(n, "w " * (4000 if n % 40 == 0 else 60 + n % 30), f"s{n % 4}") for n in range(400)]
+    got = mixing.deal(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        source = rows[r["doc_id"]][2]
+        taken[source] += r["taken"]
+        target[source] = r["target"]
+    for source, t in target.items():
+        assert abs(taken[source] - t) <= 0.02 * t
+
+
 def test_deal(docs):
     got = mixing.deal(docs).collect()
     again = mixing.deal(docs).collect()
