@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from growthlab.llm.store import written
+from growthlab.llm.store import numbered, spread_join, written
 
 _MARKS = r"^(?:\s*>)+"
 #: A line that introduces the quote below it.
@@ -35,7 +35,7 @@ def normalised(text: Column) -> Column:
 def _parsed(messages: DataFrame) -> DataFrame:
     """row, conv_id, turn, role, lines, own_text, quoted_lines, max_level."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    rows = messages.select(F.monotonically_increasing_id().alias("row"), F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", lines.alias("lines"))
+    rows = messages.select(F.monotonically_increasing_id().alias("row"), "conv_id", "turn", "role", lines.alias("lines"))
     levels = rows.withColumn("levels", F.transform("lines", level))
     quoted_below = lambda i: F.coalesce(F.get("levels", i + 1), F.lit(0)) > 0
     own = F.filter("lines", lambda line, i: (F.get("levels", i) == 0) & ~(line.rlike(_INTRODUCES) & quoted_below(i)))
@@ -69,7 +69,7 @@ def _replies(quotes: DataFrame, first: DataFrame) -> DataFrame:
     """conv_id, turn, to_conv, to_turn: the message that a quoting message answers."""
     here = first.select("conv_id", "hash", F.col("turn").alias("here"))
     ever = first.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("ever"))
-    asked = quotes.join(here, ["conv_id", "hash"], "left").join(ever, "hash", "left")
+    asked = spread_join(quotes.join(here, ["conv_id", "hash"], "left"), ever, "hash", "conv_id", "left", quotes.groupBy("hash").agg(F.count(F.lit(1)).alias("n")))
     same = F.coalesce(F.col("here") < F.col("turn"), F.lit(False))
     own = F.col("ever.conv_id") == F.col("conv_id")  # the first of all is in the quoting conversation, but not before
     skipped = asked.where(~same & own).select("hash", F.col("conv_id").alias("skipped")).distinct()
@@ -77,8 +77,8 @@ def _replies(quotes: DataFrame, first: DataFrame) -> DataFrame:
     elsewhere = F.when(own, F.col("other")).otherwise(F.col("ever"))
     found = asked.join(others, "hash", "left").withColumn("to", F.when(same, F.struct("conv_id", F.col("here").alias("turn"))).otherwise(elsewhere))
     found = found.where("to is not null").groupBy("conv_id", "turn", "level", same.alias("same"), "whole", "to").agg(F.sum("words").alias("words"))
-    best = F.max(F.struct((-F.col("level")).alias("l"), "same", "whole", "words", (-F.col("to.conv_id")).alias("c"), (-F.col("to.turn")).alias("t"))).alias("b")
-    return found.groupBy("conv_id", "turn").agg(best).select("conv_id", "turn", (-F.col("b.c")).alias("to_conv"), (-F.col("b.t")).alias("to_turn"))
+    best = F.min(F.struct("level", (~F.col("same")).alias("s"), (~F.col("whole")).alias("w"), (-F.col("words")).alias("n"), F.col("to.conv_id").alias("c"), F.col("to.turn").alias("t"))).alias("b")
+    return found.groupBy("conv_id", "turn").agg(best).select("conv_id", "turn", F.col("b.c").alias("to_conv"), F.col("b.t").alias("to_turn"))
 
 
 def _without_cycles(nodes: DataFrame) -> DataFrame:
@@ -113,30 +113,19 @@ def _without_cycles(nodes: DataFrame) -> DataFrame:
 
 def _roots(nodes: DataFrame) -> DataFrame:
     """nodes (conv_id, turn, to_conv, to_turn) with root_conv, root_turn, level and the greatest message on
-    the way to the root, by pointer doubling."""
-    at = nodes.select("conv_id", "turn", F.coalesce("to_conv", "conv_id").alias("root_conv"), F.coalesce("to_turn", "turn").alias("root_turn"), F.col("to_conv").isNotNull().cast("long").alias("steps"))
-    at = at.withColumn("greatest", F.greatest(F.struct("conv_id", "turn"), F.struct(F.col("root_conv").alias("conv_id"), F.col("root_turn").alias("turn"))))
-    at = written(at, "reply-roots")
+    the way to the root, by pointer doubling. What points to a message that very many point to is dealt out."""
+    own, to = F.struct("conv_id", "turn"), F.struct(F.col("to_conv").alias("conv_id"), F.col("to_turn").alias("turn"))
+    at = nodes.select(own.alias("node"), F.when(F.col("to_conv").isNotNull(), to).otherwise(own).alias("root"), F.col("to_conv").isNotNull().cast("long").alias("steps"))
+    at = written(at.withColumn("greatest", F.greatest("node", "root")), "reply-roots")
     while True:
-        up = at.select(F.col("conv_id").alias("root_conv"), F.col("turn").alias("root_turn"), F.col("root_conv").alias("up_conv"), F.col("root_turn").alias("up_turn"), F.col("steps").alias("up_steps"), F.col("greatest").alias("up_greatest"))
-        further = at.join(up, ["root_conv", "root_turn"])
-        moved = further.select("conv_id", "turn", F.col("up_conv").alias("root_conv"), F.col("up_turn").alias("root_turn"), (F.col("steps") + F.col("up_steps")).alias("steps"), F.greatest("greatest", "up_greatest").alias("greatest"))
-        more = further.where("up_steps > 0").limit(1).count()
-        if not more:
-            return at
-        at = written(moved, "reply-roots")
-
-
-def _numbered(rows: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
-    """rows with ``name``: the place from 0 within equal keys. A sort by range deals any key out over tasks."""
-    sorted_ = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_id", F.monotonically_increasing_id())
-    sorted_ = written(sorted_, "reply-order").withColumns({"_task": F.shiftright("_id", 33), "_in": F.col("_id").bitwiseAND(2**33 - 1)})
-    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
-    counts = sorted_.groupBy("_task").agg(F.count(F.lit(1)).alias("_n"))  # a row for each task of the sort
-    starts = counts.select("_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    placed = sorted_.join(F.broadcast(starts), "_task").withColumn("_at", F.col("_before") + F.col("_in"))
-    first = placed.groupBy(*keys).agg(F.min("_at").alias("_first"))
-    return placed.join(first, keys).withColumn(name, F.col("_at") - F.col("_first")).drop("_id", "_task", "_in", "_before", "_at", "_first")
+        up = at.select(F.col("node").alias("root"), F.col("root").alias("up_root"), F.col("steps").alias("up_steps"), F.col("greatest").alias("up_greatest"))
+        further = spread_join(at, up, "root", "node")
+        moved = further.select("node", F.col("up_root").alias("root"), (F.col("steps") + F.col("up_steps")).alias("steps"), F.greatest("greatest", "up_greatest").alias("greatest"), (F.col("up_steps") > 0).alias("moved"))
+        then = written(moved, "reply-roots", at)
+        if not then.where("moved").limit(1).count():
+            return then.select("node.conv_id", "node.turn", F.col("root.conv_id").alias("root_conv"), F.col("root.turn").alias("root_turn"), "steps", "greatest")
+        at = then.drop("moved")
+        at.written_to = then.written_to
 
 
 def link(messages: DataFrame) -> DataFrame:
@@ -145,7 +134,7 @@ def link(messages: DataFrame) -> DataFrame:
 
     A null text is empty. Rows with one conv_id and turn are one message: it replies to the first that any of
     them quotes. Rows without conv_id or turn have no thread, reply or position, but are parsed. Columns other
-    than conv_id, turn, role and text are not read.
+    than conv_id, turn, role and text are not read. conv_id and turn may have any type that has an order.
     """
     parsed = written(_parsed(messages), "messages")
     placed = parsed.where("conv_id is not null and turn is not null")
@@ -162,7 +151,7 @@ def link(messages: DataFrame) -> DataFrame:
     threads = nodes.join(_roots(nodes), ["conv_id", "turn"])
     threads = threads.select("conv_id", "turn", "linked", F.col("to_conv").alias("reply_conv"), F.col("to_turn").alias("reply_turn"), F.col("root_conv").alias("thread_conv"), F.col("root_turn").alias("thread_turn"), F.col("steps").alias("reply_level"), "greatest")
     found = parsed.drop("lines").join(threads, ["conv_id", "turn"], "left")
-    inside = _numbered(found.where("thread_conv is not null"), ["thread_conv", "thread_turn"], ["greatest", "reply_level", "conv_id", "turn", "row"], "position")
+    inside = numbered(found.where("thread_conv is not null"), ["thread_conv", "thread_turn"], ["greatest", "reply_level", "conv_id", "turn", "row"], "position")
     out = inside.unionByName(found.where("thread_conv is null"), allowMissingColumns=True)
     columns = ("conv_id", "turn", "role", "own_text", "quoted_lines", "max_level", "linked", "reply_conv", "reply_turn", "thread_conv", "thread_turn", "reply_level", "position")
     return out.select(*columns)

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
-from growthlab.llm import queries, quotes
+import random
+
+from growthlab.llm import queries, quotes, store
 from sqlcheck import compare_rows
 
 ROWS = [
@@ -92,3 +94,36 @@ def test_nothing(spark):
 def test_native(spark):
     plan = quotes.link(table(spark, ROWS))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_ids_of_other_types(spark):
+    rows = [("thread-a", 0, "user", "Hello there.", 1), ("thread-a", 1, "user", "> Hello there.\nHi", 1), ("b", 0, "user", "> Hello there.\nlater", 1), (None, 0, "user", "x", 1)]
+    got = {(r["conv_id"], r["turn"]): r for r in quotes.link(spark.createDataFrame(rows, "conv_id string, turn int, role string, text string, greatest int")).collect()}
+    assert [got["b", 0][c] for c in ("linked", "reply_conv", "thread_conv", "position")] == [True, "thread-a", "thread-a", 1]
+    assert [got["thread-a", 1][c] for c in ("reply_conv", "position")] == ["thread-a", 2] and got[None, 0]["thread_conv"] is None
+
+
+def test_very_long_and_many(spark, monkeypatch):
+    """A message of many lines, a line that everybody quotes, and one thread that holds nearly all messages."""
+    monkeypatch.setattr(store, "HOT_ROWS", 20)
+    long_ = "\n".join(f"line {n} of the long message" for n in range(20_000))
+    rows = [(0, 0, "user", long_ + "\nthe common line"), (0, 1, "user", "\n".join(f"> {line}" for line in long_.split("\n")) + "\nall quoted")]
+    rows += [(1 + n, t, "user", "> the common line\nok" if t else f"opening {n}") for n in range(60) for t in range(3)]
+    got = quotes.link(table(spark, rows)).collect()
+    assert len(got) == len(rows) and sum(bool(r["linked"]) and r["reply_conv"] == 0 for r in got) == 121
+    assert sorted(r["position"] for r in got if r["thread_conv"] == 0) == list(range(122))
+    assert [r["quoted_lines"] for r in got if (r["conv_id"], r["turn"]) == (0, 1)] == [20_000]
+
+
+def test_many_messages_against_sql(spark):
+    """Ten thousand messages with nested quotes of earlier ones, against SQL."""
+    rng, rows, texts = random.Random(6), [], []
+    for c in range(1500):
+        for t in range(rng.randrange(3, 11)):
+            own = f"message {rng.randrange(4000)} says {rng.choice(['yes', 'no'])}\nand goes on {rng.randrange(3000)}"
+            quoted = rng.choice(texts) if texts and rng.random() < 0.5 else ""
+            rows.append((c, t, "user", "".join(f"> {line}\n" for line in quoted.split("\n") if line) + own))
+            texts = [*texts[-300:], rows[-1][3]]
+    got = quotes.link(table(spark, rows))
+    assert got.where("linked").count() > 2000 and got.agg({"max_level": "max"}).first()[0] >= 3
+    compare_rows(spark, got, queries.ORACLE_SQL["op4_quotation_linking"], conversations=table(spark, rows))
