@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from growthlab.llm.license_texts import TEXTS
 from growthlab.llm.store import lower_ascii, written
 
 K = 3
@@ -58,6 +59,7 @@ NOTICES = (
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    *TEXTS,
 )
 _NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from samples import lowered
-from growthlab.llm import licenses, queries
+from growthlab.llm import license_texts, licenses, queries
 from sqlcheck import compare_rows
 
 TEXTS = [
@@ -59,6 +59,19 @@ def test_related_licenses(spark):
     assert [got[n] for n in range(len(texts))] == [label for label, _ in texts]
 
 
+def test_whole_texts(spark):
+    """Every license text gets its own label only, also with words changed here and there, and not for half of it."""
+    def changed(text, every):
+        return " ".join("other" if n % every == every - 1 else w for n, w in enumerate(text.split()))
+
+    rows = [(label, "Preface. " + text.upper() + " More words") for label, text in license_texts.TEXTS]
+    rows += [(label, changed(text, 40)) for label, text in license_texts.TEXTS if len(text.split()) > 80]
+    rows += [("", " ".join(text.split()[len(text.split()) // 2 :])) for label, text in license_texts.TEXTS if label in ("mit", "bsd", "isc", "zlib")]
+    table = spark.createDataFrame([(n, t) for n, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.label(table).collect()}
+    assert [got[n] for n in range(len(rows))] == [label for label, _ in rows]
+
+
 def test_against_sql(spark, table):
     compare_rows(spark, licenses.label(table), queries.ORACLE_SQL["op10_license_diagonals"], documents=table.select("doc_id", "text"))
 
