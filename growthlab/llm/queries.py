@@ -6,8 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from growthlab.llm import ctw, licenses, linkgraph, mixing, neardup, packing, quality, quotes, search, shards
+from growthlab.llm.store import written
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+SHARDS, GROWN = [1.0] * 16, [1.0] * 17
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,7 +28,7 @@ def op2_robust_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_exact_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best rows for every vector whose id is divisible by 20."""
-    vectors = search.quantised(_table(spark, sf_dir, "embeddings"))
+    vectors = written(search.quantised(_table(spark, sf_dir, "embeddings")), "vectors")
     return search.top_k(vectors, vectors.where("vec_id % 20 = 0"))
 
 
@@ -42,7 +44,7 @@ def op5_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard among 16, and among 17."""
-    return shards.assign(_table(spark, sf_dir, "documents"), [1.0] * 16, [1.0] * 17)
+    return shards.assign(_table(spark, sf_dir, "documents"), SHARDS, GROWN)
 
 
 def op7_hyperminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,12 +74,12 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 
 _OP3 = r"""
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 )
 SELECT q.vec_id AS query_id, CAST(row_number() OVER w AS INTEGER) AS rank, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
 FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0
-WINDOW w AS (PARTITION BY q.vec_id ORDER BY list_inner_product(q.v, c.v) DESC, c.vec_id)
+WINDOW w AS (PARTITION BY q.r ORDER BY list_inner_product(q.v, c.v) DESC, c.vec_id)
 QUALIFY row_number() OVER w <= 20
 """
 
@@ -160,9 +162,87 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, las
 """
 
 
+def _op6() -> str:
+    def tree(history: list[list[float]]) -> str:
+        return ", ".join(f"({n.level}, {n.place}, {n.parent}, {n.number}, '{n.name}', {n.weight})" for n in shards.nodes(history))
+
+    draw = f"-ln((CAST('0x' || substr(md5(name || '|' || key), 1, {shards.DIGITS}) AS BIGINT) + 0.5) / {16**shards.DIGITS}) / weight"
+
+    def descent(tree: str) -> str:
+        steps = [f"{tree}0 AS (SELECT r, key, arg_min(place, {draw}) AS found FROM d, {tree} WHERE level = 0 GROUP BY r, key)"]
+        steps += [f"{tree}{k} AS (SELECT r, key, arg_min(place, {draw}) AS found FROM (SELECT r, key, found AS above FROM {tree}{k - 1}) JOIN {tree} ON level = {k} AND parent = above GROUP BY r, key)" for k in (1, 2)]
+        return ",\n".join(steps)
+
+    number = lambda tree, k: f"(SELECT number FROM {tree} WHERE level = {k} AND place = {tree}{k}.found)"
+    columns = "(level, place, parent, number, name, weight)"
+    # the checksum, byte by byte, with a table of 256 remainders made by rule
+    return rf"""
+WITH a{columns} AS (VALUES {tree([SHARDS])}), b{columns} AS (VALUES {tree([SHARDS, GROWN])}),
+c AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS key, hex(encode(coalesce(text, ''))) AS bytes FROM documents),
+{descent("a")},
+{descent("b")},
+placed AS (
+  SELECT doc_id, len(bytes) // 2 + 1 AS size,
+    xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(len(bytes) // 2), lambda i: CAST('0x' || substr(bytes, 2 * i + 1, 2) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS text_crc32,
+    {number("a", 0)} AS region, {number("a", 1)} AS rack, {number("a", 2)} AS shard, {number("b", 2)} AS grown_shard
+  FROM d JOIN a0 USING (r) JOIN a1 USING (r) JOIN a2 USING (r) JOIN b2 USING (r), c
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, region, rack, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard FROM placed
+"""
+
+
+def _op8() -> str:
+    lit = lambda text: "'" + text.replace("'", "''") + "'"
+    rules = ", ".join(f"({lit(rule)}, {lit(verdict)})" for rule, verdict in linkgraph.RULES)
+    d, rounds = linkgraph.DAMPING, 150  # 0.85**150 is 3e-11
+    host = r"translate(regexp_extract({}, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"""
+WITH RECURSIVE rules(rule, verdict) AS (VALUES {rules}),
+u AS (SELECT row_number() OVER () AS r, page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT r, page_id, html, {host.format("rest")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+fits AS (
+  SELECT r, arg_max(rule, len(rule)) AS rule FROM p JOIN rules
+    ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substr(rule, instr(rule, '/'))) GROUP BY r
+),
+judged AS (SELECT p.*, f.rule, verdict FROM p LEFT JOIN fits f USING (r) LEFT JOIN rules x ON x.rule = f.rule),
+links AS (
+  SELECT source, target, count(*) AS n FROM (
+    SELECT host AS source, translate(unnest(regexp_extract_all(regexp_replace(html, {lit(linkgraph._COMMENT)}, '', 'g'), {lit(linkgraph._LINK)}, 1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS target FROM p
+  ) WHERE source <> '' AND target <> '' AND source <> target GROUP BY 1, 2
+),
+hosts AS (SELECT host FROM p WHERE host <> '' UNION SELECT source FROM links UNION SELECT target FROM links),
+steps AS (
+  SELECT 'trust' AS kind, source AS away, target AS host, n / sum(n) OVER (PARTITION BY source) AS share FROM links
+  UNION ALL SELECT 'distrust', target, source, n / sum(n) OVER (PARTITION BY target) FROM links
+),
+start AS (
+  SELECT kind, host, n / sum(n) OVER (PARTITION BY kind) AS seed FROM (
+    SELECT CASE verdict WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host, count(*) AS n FROM judged WHERE verdict IS NOT NULL AND host <> '' GROUP BY 1, 2
+  )
+),
+walk AS (
+  SELECT 0 AS k, kind, host, seed AS rank FROM start
+  UNION ALL
+  SELECT k + 1, kind, host, sum(rank) FROM (
+    SELECT k, s.kind, s.host, {d} * share * rank AS rank FROM walk w JOIN steps s ON s.kind = w.kind AND s.away = w.host
+    UNION ALL SELECT k, s.kind, s.host, (1 - {d}) * seed FROM (SELECT DISTINCT k FROM walk) CROSS JOIN start s
+  ) WHERE k < {rounds} GROUP BY k, kind, host
+),
+ranks AS (
+  SELECT host, coalesce(max(part) FILTER (kind = 'trust'), 0.0) AS trust, coalesce(max(part) FILTER (kind = 'distrust'), 0.0) AS distrust
+  FROM (SELECT kind, host, rank / sum(rank) OVER (PARTITION BY kind) * (SELECT count(*) FROM hosts) AS part FROM walk WHERE k = {rounds}) GROUP BY host
+)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN distrust > trust AND distrust >= {linkgraph.LEAST_DISTRUST} THEN 'block' ELSE 'allow' END) AS verdict, round(coalesce(trust, 0.0), 4) AS trust, round(coalesce(distrust, 0.0), 4) AS distrust
+FROM judged LEFT JOIN ranks USING (host)
+"""
+
+
 ORACLE_SQL = {
     "op3_exact_top_k_search": _OP3,
     "op4_quotation_linking": _OP4,
     "op7_hyperminhash_near_dedup": _OP7,
+    "op6_hash_tree_shards": _op6(),
+    "op8_link_graph_filter": _op8(),
     "op10_license_diagonals": _op10(),
 }

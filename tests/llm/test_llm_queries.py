@@ -25,7 +25,7 @@ def test_one_query_for_each_operator():
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_against_sql(spark, name):
-    tables = {t: spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "embeddings", "conversations")}
+    tables = {t: spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "embeddings", "pages", "conversations")}
     compare_rows(spark, queries.QUERIES[name](spark, DATA), queries.ORACLE_SQL[name], **tables)
 
 
