@@ -122,10 +122,12 @@ _FILLED = "_source string, _block int, source_size long, target double, rounds i
 
 def _cuts(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """_source, _block, cut (the greatest _cut within the block that is taken) and taken (its words) for the blocks to be cut:
-    edges, _source, _block and open, a row for each source at most."""
-    inside = rows.join(F.broadcast(edges), ["_source", "_block"]).groupBy("_source", "_block", "_cut", "open").agg(F.sum("size").alias("words"))
+    edges, _source, _block, open and target, a row for each source at most. What would end nearer to the target by going
+    beyond it is taken too, if it is SLACK of the target at most."""
+    inside = rows.join(F.broadcast(edges), ["_source", "_block"]).groupBy("_source", "_block", "_cut", "open", "target").agg(F.sum("size").alias("words"))
     upto = F.sum("words").over(Window.partitionBy("_source", "_block").orderBy("_cut").rowsBetween(Window.unboundedPreceding, 0))
-    fitting = inside.withColumn("upto", upto).where(F.col("upto") - F.col("words") / 2 <= F.col("open"))
+    nearer = (F.col("upto") - F.col("words") / 2 <= F.col("open")) & (F.col("words") <= 2 * SLACK * F.col("target"))
+    fitting = inside.withColumn("upto", upto).where((F.col("upto") <= F.col("open")) | nearer)
     return fitting.groupBy("_source", "_block").agg(F.max("_cut").alias("cut"), F.max("upto").alias("taken"))
 
 
@@ -145,16 +147,16 @@ def _plan(rows: DataFrame, weights: Sequence[float], shards: int) -> DataFrame:
         "_source string, source_size long, blocks long, target double, rounds int, rest double",
     )
     permuted = by_block.join(F.broadcast(goals), "_source").withColumn("place", F.xxhash64("_source", "_block", F.lit(SEED)))
-    permuted = permuted.select("_source", "_block", "place", "words", F.col("size").alias("source_size"), "target", "rounds", "blocks", "rest")
+    permuted = permuted.select("_source", "_block", "place", "words", "source_size", "target", "rounds", "blocks", "rest")
     permuted = written(permuted.groupBy("_source").applyInPandas(_prefix, _ROUND), "mix-prefixes")
 
-    edges = permuted.where("cut_here").select("_source", "_block", "open")
+    edges = permuted.where("cut_here").select("_source", "_block", "open", "target")
     first = written(_cuts(rows, edges), "mix-cuts")
     gaps = edges.join(first, ["_source", "_block"], "left").select("_source", (F.col("open") - F.coalesce("taken", F.lit(0))).alias("gap"))
     gap = F.when(F.col("gap") > SLACK * F.col("target"), F.col("gap")).otherwise(F.lit(0.0))
     filled = permuted.join(F.broadcast(gaps), "_source", "left").withColumn("gap", gap).groupBy("_source").applyInPandas(_filled, _FILLED)
     permuted = written(filled, "mix-permuted", permuted, by_block)
-    cuts = first.drop("taken").unionByName(_cuts(rows, permuted.where("again").select("_source", "_block", "open")).drop("taken"))
+    cuts = first.drop("taken").unionByName(_cuts(rows, permuted.where("again").select("_source", "_block", "open", "target")).drop("taken"))
 
     taken = permuted.withColumn("cut_here", F.col("cut_here") | F.col("again")).withColumn("copies", F.col("rounds") + (F.col("whole") | F.col("cut_here")).cast("int"))
     quota = {r["_source"]: r["n"] for r in taken.groupBy("_source").agg(F.sum("copies").alias("n")).collect()}

@@ -64,7 +64,7 @@ def rank(links, seeds, reverse):
         for a, b, n in links:
             then[b] = then.get(b, 0) + linkgraph.DAMPING * now.get(a, 0) * n / out[a]
         now = then
-    return now
+    return {h: r for h, r in now.items() if r > 0}
 
 
 @pytest.mark.parametrize("hot", [1000, 3])
