@@ -109,12 +109,12 @@ def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the least node that it reaches) for all nodes of edges (a, b), by alternating stars.
 
-    Each round is aggregations and joins over the edges, which end as one edge from every node to the
+    Each round is aggregations and joins over the edges, until they are one edge from every node to the
     least; no group of neighbours is gathered, and the edges of a node that has very many are dealt out.
     """
     edges = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    edges, before, number = written(edges, "edges"), None, F.count(F.lit(1)).alias("n")
-    while True:
+    edges, number = written(edges, "edges"), F.count(F.lit(1)).alias("n")
+    while not _is_stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), number), "least")
         joined = spread_join(both, least.select("a", "m"), "a", "b", counts=least)
@@ -122,10 +122,14 @@ def components(edges: DataFrame) -> DataFrame:
         centre = large.groupBy("b").agg(F.min("a").alias("m"), number)
         small = spread_join(large, centre.select("b", "m"), "b", "a", counts=centre).where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
         edges = written(small.unionByName(centre.select(F.col("m").alias("a"), "b")).distinct(), "edges", edges, least, large)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
-        before = now
+    return edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
+
+
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether each node of edges (a < b) is either a centre or has one centre: then centres are the least nodes."""
+    sides = edges.select(F.col("a").alias("node"), F.lit(0).alias("n")).unionByName(edges.select(F.col("b").alias("node"), F.lit(1).alias("n")))
+    other = sides.groupBy("node").agg(F.sum("n").alias("centres"), F.min("n").alias("least")).where("centres > 1 or (centres = 1 and least = 0)")
+    return not other.limit(1).count()
 
 
 def chance(n: np.ndarray, m: np.ndarray) -> np.ndarray:
