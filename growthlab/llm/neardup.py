@@ -8,7 +8,8 @@ all documents, so that each register of two documents agrees with the probabilit
 Documents with equal sets form a class; only the least id of a class goes on. The registers of a class
 are cut into bands, and classes that agree in a band share a bucket. A pair at the least similarity of 0.8
 misses all ``BANDS`` bands with a probability of 2e-9. Links within a bucket are found without all its
-pairs. Every member is held against a centre of the bucket, and those links give components. Members still in
+pairs. Every member is held against a centre of the bucket, the one that meets most others in all its buckets: of a text
+and its copies with few words changed that is the text itself, to which all are nearest. Those links give components. Members still in
 different components of a bucket are then looked up by their rarest shingles (prefix filtering), which
 loses no link and does not pair those that differ too much. All pairs pass an estimate of the
 similarity, corrected for registers that agree by chance, with a margin of 8 standard errors; of each class
@@ -24,7 +25,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -265,8 +266,9 @@ def groups(docs: DataFrame, size: int = SHINGLE, least_percent: int = LEAST_PERC
     key = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("registers", i * 2 * BAND_REGISTERS + 1, F.lit(2 * BAND_REGISTERS))))
     bands = classes.select("rep", "n", F.explode(key).alias("key"))
     shared = written(bands.groupBy("key").agg(number).where("n > 1"), "shared-bands")
-    members = written(spread_join(bands, shared.withColumnRenamed("n", "members"), "key", "rep", counts=shared), "members")
-    centres = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key").alias("place"), "rep", "n")).alias("centre"))
+    met = F.sum("members").over(Window.partitionBy("rep"))  # BANDS rows at most
+    members = written(spread_join(bands, shared.withColumnRenamed("n", "members"), "key", "rep", counts=shared).withColumn("met", met), "members")
+    centres = members.groupBy("key").agg(F.max(F.struct("met", F.xxhash64("rep").alias("place"), "rep", "n")).alias("centre"))
     stars = spread_join(members, centres, "key", "rep", counts=shared).where((F.col("rep") != F.col("centre.rep")) & _similar_size(F.col("n"), F.col("centre.n"), least_percent))
     pairs = written(stars.select(F.least("rep", "centre.rep").alias("a"), F.greatest("rep", "centre.rep").alias("b"), "members").groupBy("a", "b").agg(F.max("members").alias("most")), "pairs")
     sets = written(_sets(docs, members.select(F.col("rep").alias("doc_id")).distinct(), size), "sets")
