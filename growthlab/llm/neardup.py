@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from growthlab.llm.store import remove, slices, spread_join, written
+from growthlab.llm.store import give_back, remove, slices, spread_join, written
 
 BUCKETS = 256
 MANTISSA = 10
@@ -103,6 +103,8 @@ def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                 sets.append(xxhash.xxh3_128_digest(own.tobytes()))
                 sketch.append(registers(own))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(sketch, pa.binary())], [f.name for f in fields])
+        del hash_of
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(each, T.StructType(fields))
 
@@ -173,6 +175,8 @@ def _sets(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
             sets = [shingles(t or b"", size, hash_of).view(np.int64) for t in batch.column("text").cast(pa.binary()).to_pylist()]
             ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.empty(0, np.int64)])))], ["id", "set"])
+        del hash_of
+        give_back()
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").join(needed, "doc_id", "left_semi").mapInArrow(each, f"id {id_type}, set array<long>")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from growthlab.llm.bpe import encoder
-from growthlab.llm.store import slices, written
+from growthlab.llm.store import give_back, slices, written
 
 CAPACITY = 1024
 END_ID = 2
@@ -66,6 +66,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: in
                 out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(own), np.int32))))
             yield pa.RecordBatch.from_arrays(out, [f.name for f in fields])
         cached.clear()
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(pieces, schema)
 

@@ -3,6 +3,7 @@ numbering and batches that no common key and no long text makes larger than a ta
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -112,6 +113,13 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = SL
             low = end
 
 
+def give_back() -> None:
+    """Returns what a Python worker has freed to the system: workers outlive their tasks and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+        trim(0)
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, all other characters as they are."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
