@@ -16,14 +16,14 @@ more than a block or about ``GROUP_CODES``.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from growthlab.llm.store import written
+from growthlab.llm.store import give_back, written
 
 DEPTH = 4
 BLOCK_BYTES = 32_000_000
@@ -33,7 +33,8 @@ GROUP_SHARE, GROUP_CODES = 400, 100_000
 FOLDS, HELD_OUT = 5, 1
 #: Fixed value: a byte that UTF-8 never has; it pads the first contexts and ends each text.
 _EDGE = b"\xff"
-_CHUNK_BYTES = 4_000_000
+#: Bytes of text whose codes, eight bytes each, are made at once.
+_CHUNK_BYTES = 2_000_000
 _HALF = np.log(0.5)
 
 
@@ -50,6 +51,7 @@ def codes(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarra
     out = data[depth:].copy() if len(data) else data
     for back in range(1, depth + 1):
         out |= data[depth - back : len(data) - back] << (8 * (depth + 1 - back))
+    del data
     ends = np.cumsum(sizes + depth) - depth  # where, in out, the padding of the next text begins
     own = np.ones(len(out), bool)
     for k in range(depth):
@@ -74,11 +76,18 @@ def _lowered(table: pa.Table) -> list[bytes]:
 
 
 def _distinct_codes(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    parts = [np.unique(codes(texts[a:b], depth)[0], return_counts=True) for a, b in _chunks(texts)]
-    if not parts:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    found, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return found, np.bincount(inverse, np.concatenate([p[1] for p in parts])).astype(np.int64)
+    """The distinct codes of texts, sorted, and their numbers; no more than these and one chunk are held."""
+    found, n = np.empty(0, np.int64), np.empty(0, np.int64)
+    for a, b in _chunks(texts):
+        more, counts = np.unique(codes(texts[a:b], depth)[0], return_counts=True)
+        at = np.searchsorted(found, more)
+        known = at < len(found)
+        known[known] = found[at[known]] == more[known]
+        n[at[known]] += counts[known]
+        new = ~known
+        if new.any():
+            found, n = np.insert(found, at[new], more[new]), np.insert(n, at[new], counts[new])
+    return found, n
 
 
 _COUNTED = "block int, word binary, code long, n long"
@@ -87,6 +96,8 @@ _COUNTED = "block int, word binary, code long, n long"
 def _count_block(table: pa.Table, depth: int) -> pa.Table:
     """The block's words (the end of a text: an empty word) and codes, with their numbers in training texts."""
     texts, out = _lowered(table), table["held_out"].to_pylist()
+    block = table["block"][0].as_py()
+    del table  # its texts stand in the list
     words: Counter = Counter()
     for text, skip in zip(texts, out, strict=True):
         own = text.split()
@@ -97,7 +108,7 @@ def _count_block(table: pa.Table, depth: int) -> pa.Table:
     rows = len(words) + len(train) + len(other)
     return pa.table(
         {
-            "block": pa.array(np.full(rows, table["block"][0].as_py(), np.int32)),
+            "block": pa.array(np.full(rows, block, np.int32)),
             "word": pa.array([*words, *[None] * (len(train) + len(other))], pa.binary()),
             "code": pa.concat_arrays([pa.nulls(len(words), pa.int64()), pa.array(train), pa.array(other)]),
             "n": np.concatenate([np.fromiter(words.values(), np.int64, len(words)), n, np.zeros(len(other), np.int64)]),
@@ -258,6 +269,13 @@ def _score_block(docs: pa.Table, values: pa.Table, depth: int, tokens: int, dist
     )
 
 
+def _giving_back(block: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """block, after which the worker keeps no more memory than the result and its tables."""
+    if block.__code__.co_argcount == 1:
+        return lambda table: (block(table), give_back())[0]
+    return lambda left, right: (block(left, right), give_back())[0]
+
+
 def score(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of each row of docs.
 
@@ -271,7 +289,7 @@ def score(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -
     blocks = size // block_bytes + 1
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
     texts = docs.select("doc_id", "text", held_out().alias("held_out"), block.alias("block")).repartition(blocks, "block")
-    counted = written(texts.groupBy("block").applyInArrow(lambda t: _count_block(t, depth), _COUNTED), "block-counts")
+    counted = written(texts.groupBy("block").applyInArrow(_giving_back(lambda t: _count_block(t, depth)), _COUNTED), "block-counts")
     words = written(counted.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
     tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
     of_codes = counted.where("code is not null")
@@ -280,6 +298,6 @@ def score(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -
     word_values = counted.where("word is not null").select("block", "word").join(words, "word")
     code_values = of_codes.select("block", "code").join(model, "code")
     values = word_values.select("block", "word", F.lit(None).cast("long").alias("code"), F.col("n").cast("double").alias("value")).unionByName(code_values.select("block", F.lit(None).cast("binary").alias("word"), "code", "value")).repartition(blocks, "block")
-    scored = texts.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(lambda d, v: _score_block(d, v, depth, tokens, distinct), _SCORED.format(id=id_type))
+    scored = texts.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(_giving_back(lambda d, v: _score_block(d, v, depth, tokens, distinct)), _SCORED.format(id=id_type))
     bits = -F.col("score") / F.log10(F.lit(2.0)) / (F.col("n_bytes") + 1)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))
