@@ -27,7 +27,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 CACHE_ENTRIES = 50_000
 
 
-def _byte_of_char() -> dict[str, int]:
+def byte_of_char() -> dict[str, int]:
     """Byte-level BPE writes printable bytes as themselves and the others from U+0100 upwards."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     others = [b for b in range(256) if b not in set(printable)]
@@ -60,7 +60,7 @@ class Encoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.plain = is_plain(json.loads(Path(path).read_text()))
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        byte, vocabulary = _byte_of_char(), self.tokenizer.get_vocab(with_added_tokens=False)
+        byte, vocabulary = byte_of_char(), self.tokenizer.get_vocab(with_added_tokens=False)
         ranks = {bytes(map(byte.__getitem__, token)): i for token, i in vocabulary.items() if set(token) <= byte.keys()}
         ranks = {token: i for token, i in ranks.items() if token != b"<|endoftext|>"}
         encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})

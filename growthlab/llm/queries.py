@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from growthlab.llm import ctw, licenses, linkgraph, mixing, neardup, packing, quality, quotes, search, shards
+from growthlab.llm import align, ctw, fim, licenses, linkgraph, mixing, neardup, packing, quality, quotes, search, shards, tokens
 from growthlab.llm.store import written
 
-TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+TOKENIZER, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 SHARDS, GROWN = [1.0] * 16, [1.0] * 17
 
 
@@ -67,7 +68,24 @@ def op10_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.label(_table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_best_two_fit_packing, op2_robust_quality_rules, op3_exact_top_k_search, op4_quotation_linking, op5_context_tree_scores, op6_hash_tree_shards, op7_hyperminhash_near_dedup, op8_link_graph_filter, op9_splitting_tree_mix, op10_license_diagonals)
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of tokens of every document."""
+    return tokens.token_counts(_table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in its form, and the text that the form gives back, as digests."""
+    made = fim.transform(_table(spark, sf_dir, "documents"))
+    digests = (F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers' tokens of every document."""
+    return align.align(_table(spark, sf_dir, "documents"), TOKENIZER, PIECES)
+
+
+_ALL = (op1_best_two_fit_packing, op2_robust_quality_rules, op3_exact_top_k_search, op4_quotation_linking, op5_context_tree_scores, op6_hash_tree_shards, op7_hyperminhash_near_dedup, op8_link_graph_filter, op9_splitting_tree_mix, op10_license_diagonals, op11_token_counts, op12_fill_in_middle, op13_cross_tokenizer_alignment)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -192,6 +210,25 @@ SELECT doc_id, size, text_crc32, 'key' AS law, region, rack, shard, row_number()
 """
 
 
+_OP12 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS lines,
+    list_transform(range(4), lambda k: CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 8 * k + 1, 8) AS BIGINT)) AS h
+  FROM documents
+),
+c AS (SELECT *, len(lines) AS n, least(h[1] % (len(lines) + 1), h[2] % (len(lines) + 1)) AS low, greatest(h[1] % (len(lines) + 1), h[2] % (len(lines) + 1)) AS high FROM d),
+p AS (
+  SELECT *, array_to_string(lines[:low], '') AS prefix, array_to_string(lines[low + 1:high], '') AS middle, array_to_string(lines[high + 1:], '') AS suffix,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 100 THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""
+
+
 def _op8() -> str:
     lit = lambda text: "'" + text.replace("'", "''") + "'"
     rules = ", ".join(f"({lit(rule)}, {lit(verdict)})" for rule, verdict in linkgraph.RULES)
@@ -245,4 +282,5 @@ ORACLE_SQL = {
     "op6_hash_tree_shards": _op6(),
     "op8_link_graph_filter": _op8(),
     "op10_license_diagonals": _op10(),
+    "op12_fill_in_middle": _OP12,
 }
