@@ -28,6 +28,13 @@ def require_columns(df: DataFrame, names: Iterable[str]) -> None:
         raise MissingColumns(f"Missing required columns: {missing}")
 
 
+def by_place(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns named by their places, and the new name of each old one: names that differ by case only, or that
+    an operator uses itself, can't clash. Of columns of the very same name the first is meant."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), dict(reversed(list(zip(df.columns, names, strict=True))))
+
+
 def day_columns(headers: Sequence[object], names: Sequence[str] | None = None) -> list[tuple[int, str]]:
     """(day, column name) by day. Of two columns for a day the last counts; a column for day 0 is required.
 
@@ -40,16 +47,20 @@ def day_columns(headers: Sequence[object], names: Sequence[str] | None = None) -
 
 
 def clean_wide(df: DataFrame, days: Sequence[tuple[int, str]], excluded: Sequence[str | None] = ()) -> DataFrame:
-    """_row (if there), grp, mouse and one double for each day, named by it. Rows without group or id and excluded ids go.
+    """_path and _row (if there), grp, mouse and one double for each day, named by it. Rows without group or id and excluded
+    ids go. Names are case-sensitive: columns whose names differ by case only are columns of their own.
 
     excluded: normalised ids; nulls among them are ignored.
     """
-    require_columns(df, ["Group", "mouse"])
-    rows = df.dropna("any", subset=["Group", "mouse"])
-    group = F.trim(F.when(F.col("Group").cast("string").rlike(r"^-?[0-9]+[.]0$"), F.regexp_replace(F.col("Group").cast("string"), r"[.]0$", "")).otherwise(F.col("Group").cast("string")))
-    own = ["_row"] if "_row" in df.columns else []
-    values = [number(F.col(f"`{name}`")).alias(str(day)) for day, name in days]
-    clean = rows.select(*own, group.alias("grp"), normalized_id(F.col("mouse")).alias("mouse"), *values)
+    require_columns(df, ["Group", "mouse", *(name for _, name in days)])
+    placed, at = by_place(df)
+    cell = lambda name: F.col(at[name])
+    rows = placed.dropna("any", subset=[at["Group"], at["mouse"]])
+    text = cell("Group").cast("string")
+    group = F.trim(F.when(text.rlike(r"^-?[0-9]+[.]0$"), F.regexp_replace(text, r"[.]0$", "")).otherwise(text))
+    own = [cell(c).alias(c) for c in ("_path", "_row") if c in at]
+    values = [number(cell(name)).alias(str(day)) for day, name in days]
+    clean = rows.select(*own, group.alias("grp"), normalized_id(cell("mouse")).alias("mouse"), *values)
     return exclude(clean, excluded)
 
 
@@ -59,3 +70,8 @@ def exclude(df: DataFrame, excluded: Sequence[str | None]) -> DataFrame:
     if len(ids) <= LISTED_IDS:
         return df.where(~F.col("mouse").isin(ids)) if ids else df
     return df.join(df.sparkSession.createDataFrame([(x,) for x in ids], "mouse string"), "mouse", "left_anti")
+
+
+def exclude_by_book(wide: DataFrame, excluded: DataFrame) -> DataFrame:
+    """wide without the rows that excluded (_path, mouse: normalised) names for their own workbook."""
+    return wide.join(excluded.distinct(), ["_path", "mouse"], "left_anti").select(*wide.columns)

@@ -5,13 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from growthlab.functions import normalized_id
-from growthlab.operators import annotate_volume, any_error, clean_wide, day_columns, general_summary, growth_and_errors, outcome_counts, outcomes_from_wide, responder_tv_summary, response_summary, to_long
-from growthlab.plans.experiment import ExperimentConfig, experiment_of
-from growthlab.sources import Sheet, SheetNotFound, annotated_path, bar_chart, line_chart, read_rows, read_sheet, write_annotated, write_report
+from growthlab.operators import annotate_volume, clean_wide, day_columns, exclude_by_book, general_summary, growth_and_errors, outcomes_from_wide, responder_tv_summary_from_wide, response_summary, to_long
+from growthlab.plans.experiment import ExperimentConfig, excluded_by_book, experiment_of, settings_of_books, with_thresholds
+from growthlab.sources import SheetNotFound, annotated_path, bar_chart, line_chart, read_rows, read_sheet, within, write_annotated, write_report, write_text
 
 TV_SHEET, EXPERIMENT_SHEET = "TV", "experiment data"
 #: Most points of a chart: what may come to the driver to be drawn. More are an error.
@@ -20,11 +20,11 @@ MAX_POINTS = 100_000
 
 @dataclass(frozen=True)
 class Manifest:
-    """What an analysis made. A chart's path is given also where there was nothing to draw."""
+    """What an analysis made: paths, or URLs as text. A chart's path is given also where there was nothing to draw."""
 
-    output_excel: Path
-    mean_tv_graph: Path
-    responder_graph: Path
+    output_excel: Path | str
+    mean_tv_graph: Path | str
+    responder_graph: Path | str
     num_mice_analyzed: int
     num_errors: int
 
@@ -45,58 +45,76 @@ def read_experiment(spark: SparkSession, path: str) -> ExperimentConfig:
     return experiment_of(rows)
 
 
-def read_growth(spark: SparkSession, path: str) -> tuple[DataFrame, list[int], ExperimentConfig]:
-    """(clean wide rows, days, settings) of a workbook. The headers of sheet TV stand in its second row."""
-    return _growth_of(read_sheet(spark, path, TV_SHEET, header_row=2), read_experiment(spark, path))
+def read_experiments(spark: SparkSession, path: str) -> DataFrame:
+    """_path, control_group, threshold and excluded of each workbook at path that has a sheet for settings."""
+    return settings_of_books(read_rows(spark, path, EXPERIMENT_SHEET, optional=True))
 
 
-def _growth_of(sheet: Sheet, config: ExperimentConfig) -> tuple[DataFrame, list[int], ExperimentConfig]:
-    spark = sheet.df.sparkSession
+def read_growth(spark: SparkSession, path: str) -> tuple[DataFrame, list[int], ExperimentConfig]:
+    """(clean wide rows, days, settings) of a workbook. The headers of sheet TV stand in its second row."""
+    sheet, config = read_sheet(spark, path, TV_SHEET, header_row=2), read_experiment(spark, path)
     days = day_columns(sheet.headers, sheet.names)
     ids = [(x,) for x in config.excluded]
     excluded = [r["id"] for r in spark.createDataFrame(ids, "id string").select(normalized_id(F.col("id")).alias("id")).collect()] if ids else []
     return clean_wide(sheet.df, days, excluded), [d for d, _ in days], config
 
 
-def tables(wide: DataFrame, days: list[int], threshold: float, on_zero_baseline: str = "error") -> dict[str, DataFrame]:
-    """The five tables of the report."""
-    return _tables(to_long(wide, days), outcomes_from_wide(wide, days, threshold, on_zero_baseline))
+def read_growths(spark: SparkSession, path: str) -> tuple[DataFrame, list[int]]:
+    """(clean wide rows with the column threshold, days) of the workbooks at path, each of which has its own settings: its
+    exclusions have left its rows, and its threshold stands beside them. Of several workbooks _path tells rows apart."""
+    sheet = read_sheet(spark, path, TV_SHEET, header_row=2)
+    days = day_columns(sheet.headers, sheet.names)
+    wide = clean_wide(sheet.df, days)
+    if "_path" in wide.columns:
+        config = read_experiments(spark, path)
+        return with_thresholds(exclude_by_book(wide, excluded_by_book(config)), config), [d for d, _ in days]
+    wide, _, config = read_growth(spark, path)
+    return wide.withColumn("threshold", F.lit(float(config.threshold))), [d for d, _ in days]
 
 
-def _tables(long: DataFrame, outcomes: DataFrame) -> dict[str, DataFrame]:
-    growth, errors = growth_and_errors(outcomes)
+def tables(wide: DataFrame, days: list[int], threshold: float | Column, on_zero_baseline: str = "error") -> dict[str, DataFrame]:
+    """The five tables of the report."""
+    growth, errors = growth_and_errors(outcomes_from_wide(wide, days, threshold, on_zero_baseline))
     return {
-        "general_summary": general_summary(long),
+        "general_summary": general_summary(to_long(wide, days)),
         "growth": growth,
         "response_summary": response_summary(growth),
-        "responder_tv_summary": responder_tv_summary(long, growth),
+        "responder_tv_summary": responder_tv_summary_from_wide(wide, days, threshold, on_zero_baseline),
         "errors": errors,
     }
 
 
+def _labels(rows: list) -> list[str]:
+    """A group's name, or of several workbooks the workbook's and the group's."""
+    return [r["grp"] if "_path" not in r else f"{r['_path'].rpartition('/')[2]}: {r['grp']}" for r in rows]
+
+
 def analyze(spark: SparkSession, path: str, output_dir: str = "output", on_zero_baseline: str = "error") -> Manifest:
-    """Reads a workbook, writes the report and the charts, and says what there is."""
-    out = Path(output_dir)
-    out.mkdir(parents=True, exist_ok=True)
-    sheet = read_sheet(spark, path, TV_SHEET, header_row=2)
-    wide, days, config = _growth_of(sheet, read_experiment(spark, path))
-    outcomes = outcomes_from_wide(wide, days, config.threshold, on_zero_baseline)
-    found, counts = _tables(to_long(wide, days), outcomes), outcome_counts(outcomes).first()
-    manifest = Manifest(out / "tumor_growth_results.xlsx", out / "mean_tumor_volume_sem.svg", out / "responder_percentage_by_group.svg", *counts)
-    write_report(found, manifest.output_excel)
-    means = _points(found["general_summary"].orderBy("grp", "day"), "the chart of means")
-    line_chart([(r["grp"], r["day"], r["mean_tv"], r["sem"]) for r in means], manifest.mean_tv_graph)
-    shares = _points(found["response_summary"].orderBy("grp"), "the chart of responders")
-    bar_chart([(r["grp"], r["responder_percent"]) for r in shares], manifest.responder_graph)
-    sheet.release()
-    return manifest
-
-
-def annotate_workbook(spark: SparkSession, path: str, dialect: str = "day04") -> tuple[Path, bool]:
-    """(the annotated workbook beside the input, whether any row has an error)."""
+    """Reads the workbooks at path, writes one report and the charts, and says what there is. Each workbook is an experiment with its own
+    settings; of several the report has a column that names the workbook. Input and output may be on any file system of Spark's."""
+    wide, days = read_growths(spark, path)
+    wide = wide.persist()
+    try:
+        found = tables(wide, days, F.col("threshold"), on_zero_baseline)
+        excel, lines, bars = (within(output_dir, name) for name in ("tumor_growth_results.xlsx", "mean_tumor_volume_sem.svg", "responder_percentage_by_group.svg"))
+        counts = write_report(found, excel)
+        book = [c for c in ("_path",) if c in wide.columns]
+        means = _points(found["general_summary"].orderBy(*book, "grp", "day"), "the chart of means")
+        shares = _points(found["response_summary"].orderBy(*book, "grp"), "the chart of responders")
+    finally:
+        wide.unpersist()
+    if drawn := line_chart([(label, r["day"], r["mean_tv"], r["sem"]) for label, r in zip(_labels(means), means, strict=True)]):
+        write_text(spark, lines, drawn)
+    if drawn := bar_chart([(label, r["responder_percent"]) for label, r in zip(_labels(shares), shares, strict=True)]):
+        write_text(spark, bars, drawn)
+    return Manifest(excel, lines, bars, counts["growth"], counts["errors"])
+
+
+def annotate_workbook(spark: SparkSession, path: str, dialect: str = "day04") -> tuple[Path | str, bool]:
+    """(the annotated workbook beside the input, whether any row has an error). One workbook at a time: of several it could not be said
+    beside which the result belongs."""
     sheet = read_sheet(spark, path)
-    annotated, out = annotate_volume(sheet.df, dialect), annotated_path(path, dialect)
-    write_annotated(annotated, out)
-    errors = any_error(annotated).first()["errors_found"]
-    sheet.release()
-    return out, errors
+    if "_path" in sheet.df.columns:
+        raise ValueError(f"more than one workbook at {path}; annotate them one by one, or their table by annotate_volume")
+    out = annotated_path(path, dialect)
+    return out, write_annotated(annotate_volume(sheet.df, dialect), out) > 0

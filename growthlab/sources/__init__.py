@@ -1,7 +1,13 @@
 """Workbooks in and reports out."""
 
 from growthlab.sources.charts import bar_chart, line_chart
-from growthlab.sources.report import annotated_path, write_annotated, write_report, write_tables
+from growthlab.sources.datasource import XlsxDataSource, register
+from growthlab.sources.files import beside, within, write_text
+from growthlab.sources.report import annotated_path, report_tabs, write_annotated, write_report, write_tables
+from growthlab.sources.workbook import Tab, write_workbook
 from growthlab.sources.xlsx import Sheet, SheetNotFound, read_rows, read_sheet, sheet_names, write_xlsx
 
-__all__ = ["Sheet", "SheetNotFound", "annotated_path", "bar_chart", "line_chart", "read_rows", "read_sheet", "sheet_names", "write_annotated", "write_report", "write_tables", "write_xlsx"]
+__all__ = [
+    "Sheet", "SheetNotFound", "Tab", "XlsxDataSource", "annotated_path", "bar_chart", "beside", "line_chart", "read_rows", "read_sheet", "register", "report_tabs",
+    "sheet_names", "within", "write_annotated", "write_report", "write_tables", "write_text", "write_workbook", "write_xlsx",
+]

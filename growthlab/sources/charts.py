@@ -1,9 +1,9 @@
-"""Charts of small summaries as SVG, drawn on the driver. No file is written where there is nothing to draw."""
+"""Charts of small summaries as SVG, drawn on the driver as text."""
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Sequence
-from pathlib import Path
 from xml.sax.saxutils import escape
 
 _WIDTH, _HEIGHT, _LEFT, _TOP, _RIGHT, _BOTTOM = 800, 500, 80, 50, 150, 60
@@ -36,22 +36,25 @@ class _Plot:
     def text(self, x: float, y: float, text: str, anchor: str = "middle", size: int = 12) -> None:
         self.parts.append(f'<text x="{x}" y="{y}" text-anchor="{anchor}" font-size="{size}">{escape(text)}</text>')
 
-    def save(self, path: str | Path) -> None:
-        Path(path).write_text("".join([*self.parts, "</svg>"]), encoding="utf-8")
+    def drawn(self) -> str:
+        return "".join([*self.parts, "</svg>"])
 
 
-def line_chart(rows: Sequence[tuple[str, int, float, float]], path: str | Path) -> bool:
-    """Rows (group, day, mean, sem): a line with error bars for each group. Was a file written?"""
+def line_chart(rows: Sequence[tuple[str, int, float, float]]) -> str | None:
+    """Rows (group, day, mean, sem): a line with error bars for each group. None where there is nothing to draw."""
     if not rows:
-        return False
+        return None
     days = [r[1] for r in rows]
     high = max(r[2] + (r[3] or 0) for r in rows) or 1
     plot = _Plot("Mean Tumor Volume ± SEM", "Day", "Mean Tumor Volume (mm³)", (min(days), max(days)), (0, high * 1.05))
     for day in sorted(set(days)):
         plot.text(plot.px(day), _HEIGHT - _BOTTOM + 18, str(day))
-    for n, group in enumerate(sorted({r[0] for r in rows})):
+    of_group = defaultdict(list)
+    for group, day, mean, sem in rows:
+        of_group[group].append((day, mean, sem or 0))
+    for n, (group, own) in enumerate(sorted(of_group.items())):
         colour = _COLOURS[n % len(_COLOURS)]
-        own = sorted((r[1], r[2], r[3] or 0) for r in rows if r[0] == group)
+        own.sort()
         points = " ".join(f"{plot.px(d)},{plot.py(m)}" for d, m, _ in own)
         plot.parts.append(f'<polyline points="{points}" fill="none" stroke="{colour}"/>')
         for day, mean, sem in own:
@@ -59,18 +62,16 @@ def line_chart(rows: Sequence[tuple[str, int, float, float]], path: str | Path)
             plot.parts.append(f'<path d="M{x} {plot.py(mean - sem)}V{plot.py(mean + sem)}" stroke="{colour}"/><circle cx="{x}" cy="{plot.py(mean)}" r="3" fill="{colour}"/>')
         plot.parts.append(f'<rect x="{_WIDTH - _RIGHT + 15}" y="{_TOP + 20 * n}" width="10" height="10" fill="{colour}"/>')
         plot.text(_WIDTH - _RIGHT + 30, _TOP + 20 * n + 10, f"Group {group}", anchor="start")
-    plot.save(path)
-    return True
+    return plot.drawn()
 
 
-def bar_chart(rows: Sequence[tuple[str, float | None]], path: str | Path) -> bool:
-    """Rows (group, percentage): a bar for each group, on an axis from 0 to 120. Was a file written?"""
+def bar_chart(rows: Sequence[tuple[str, float | None]]) -> str | None:
+    """Rows (group, percentage): a bar for each group, on an axis from 0 to 120. None where there is nothing to draw."""
     if not rows:
-        return False
+        return None
     plot = _Plot("Responder Percentage by Group", "Group", "Responders (%)", (0, len(rows)), (0, 120))
     for n, (group, percent) in enumerate(rows):
         left, right, top = plot.px(n + 0.1), plot.px(n + 0.9), plot.py(percent or 0)
         plot.parts.append(f'<rect x="{left}" y="{top}" width="{right - left}" height="{plot.py(0) - top}" fill="{_COLOURS[0]}"/>')
         plot.text(plot.px(n + 0.5), _HEIGHT - _BOTTOM + 18, group)
-    plot.save(path)
-    return True
+    return plot.drawn()

@@ -1,0 +1,136 @@
+"""The data source for workbooks, and what all readers share."""
+
+from __future__ import annotations
+
+import resource
+import subprocess
+import sys
+import zipfile
+from io import BytesIO
+from pathlib import Path
+
+import pytest
+from pyspark.errors import PySparkException
+
+from growthlab.sources import read_rows, read_sheet, register, write_xlsx
+from growthlab.sources.xlsx import cells_of, headers_and_names, row_xml
+
+ROWS = [(1, 2.5, "a & <b>", True, "x"), (None, float("nan"), " x\n", False, 7), (3, 1e300, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def source(spark):
+    register(spark)
+    return spark
+
+
+@pytest.fixture
+def books(tmp_path):
+    for n in (1, 2):
+        write_xlsx(tmp_path / f"b{n}.xlsx", [("One", ["i", "f", "s", "b", "mixed"], [(n, *r[1:]) for r in ROWS]), ("TV", ["title"], [["Group", "mouse", 0, "Day 3"], ["A", n, 1.5, None], [], ["B", "x", 2, 3]])])
+    return tmp_path
+
+
+def same(left, right):
+    assert left.columns == right.columns and [f.dataType for f in left.schema] == [f.dataType for f in right.schema]
+    plain = lambda df: sorted(str([r[c] if c != "_path" else r[c].rpartition("/")[2] for c in df.columns]) for r in df.collect())
+    assert plain(left) == plain(right)
+
+
+@pytest.mark.parametrize("name", ["b1.xlsx", "b*.xlsx"])
+@pytest.mark.parametrize(("sheet", "header_row"), [(None, 1), ("One", 1), ("TV", 2)])
+def test_reads_what_read_sheet_reads(source, books, name, sheet, header_row):
+    reader = source.read.format("xlsx").option("header_row", header_row)
+    found = (reader.option("sheet", sheet) if sheet else reader).load(str(books / name))
+    same(found, read_sheet(source, str(books / name), sheet, header_row).df)
+    assert found.rdd.getNumPartitions() == (1 if name == "b1.xlsx" else 2)
+
+
+def test_folders_urls_and_errors(source, books):
+    read = lambda path, **options: source.read.format("xlsx").options(**options).load(path)
+    assert read(str(books)).count() == read(f"file://{books}").count() == read(f"file:{books}/b*.xlsx").count() == 6
+    for path, options, said in ((books / "none.xlsx", {}, "no workbook"), (books / "b1.xlsx", {"sheet": "Three"}, "no sheet 'Three'"), (books / "b1.xls", {}, "old binary format")):
+        with pytest.raises(PySparkException, match=said):
+            read(str(path), **options).collect()
+    write_xlsx(books / "b3.xlsx", [("One", ["other"], [])])
+    with pytest.raises(PySparkException, match="different headers"):
+        read(str(books)).collect()
+
+
+def test_a_given_schema(source, books):
+    found = source.read.format("xlsx").schema("mixed string, i long, _row int, f float, _kind_mixed string, b boolean, _path string").load(str(books / "b1.xlsx"))
+    assert [tuple(r)[:-1] for r in found.orderBy("_row").collect()] == [("x", 1, 2, 2.5, "s", True), ("7", 1, 3, None, "n", False), (None, 1, 4, float("inf"), None, None)]
+    assert source.read.format("xlsx").schema("mixed double").load(str(books / "b1.xlsx")).orderBy("mixed").collect()[-1][0] == 7.0
+    with pytest.raises(PySparkException, match="no columns"):
+        source.read.format("xlsx").schema("other string").load(str(books / "b1.xlsx")).collect()
+    with pytest.raises(PySparkException, match="can't have"):
+        source.read.format("xlsx").schema("i date").load(str(books / "b1.xlsx")).collect()
+
+
+def test_written_and_read_again(source, tmp_path):
+    path = str(tmp_path / "out.xlsx")
+    df = source.range(0, 5000, 1, 7).selectExpr("id AS _row", "id * 1.5D AS number", "concat('é<', id, '> \n') AS text", "id % 2 = 0 AS even", "if(id % 3 = 0, null, id) AS gap")
+    df.orderBy("_row").write.format("xlsx").option("sheet", "My sheet").mode("overwrite").save(path)
+    back = source.read.format("xlsx").load(path).orderBy("_row").collect()
+    assert [(r["number"], r["text"], r["even"], r["gap"]) for r in back] == [(n * 1.5, f"é<{n}> \n", n % 2 == 0, None if n % 3 == 0 else float(n)) for n in range(5000)]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["out.xlsx"]
+    with pytest.raises(PySparkException, match="mode overwrite"):
+        df.write.format("xlsx").mode("append").save(path)
+    df.limit(1).write.format("xlsx").mode("overwrite").save(f"file://{path}")
+    assert source.read.format("xlsx").load(path).count() == 1 and sorted(p.name for p in tmp_path.iterdir()) == ["out.xlsx"]
+
+
+def test_a_failed_job_leaves_nothing(source, tmp_path):
+    bad = source.range(0, 100, 1, 4).selectExpr("if(id = 90, raise_error('lost'), id) AS x")
+    with pytest.raises(PySparkException, match="lost"):
+        bad.write.format("xlsx").mode("overwrite").save(str(tmp_path / "out.xlsx"))
+    assert list(tmp_path.iterdir()) == []
+
+
+def test_names():
+    of = lambda *cells: headers_and_names([None if c is None else {"text": str(c), "kind": "n" if isinstance(c, (int, float)) else "s"} for c in cells])[1]
+    assert of("a", "a", "a.1") == ["a", "a.2", "a.1"] and of("a", "a", "a") == ["a", "a.1", "a.2"]
+    assert of("_row", "_path", None, 3, "3", "L", "l") == ["_row.1", "_path.1", "Unnamed: 2", "3", "3.1", "L", "l"]
+
+
+def test_headers_that_the_reader_uses_itself(source, tmp_path):
+    write_xlsx(tmp_path / "a.xlsx", [("S", ["_row", "L", "l"], [(5, 1, 2)])])
+    found = read_sheet(source, str(tmp_path / "a.xlsx")).df
+    assert found.columns == ["_row", "_row.1", "L", "l"] and tuple(found.first()) == (2, 5.0, 1.0, 2.0)
+
+
+def test_rows_without_numbers_and_gaps():
+    def book(rows):
+        file = BytesIO()
+        write_xlsx(file, [("S", [], [])])
+        out = BytesIO()
+        with zipfile.ZipFile(file) as old, zipfile.ZipFile(out, "w") as new:
+            for name in old.namelist():
+                new.writestr(name, old.read(name).replace(b"<row></row>", rows.encode()))
+        return out
+
+    text = lambda found: [(n, [c and c["text"] for c in cells]) for n, cells in found]
+    assert text(cells_of(book(row_xml(["a"]) + row_xml([None]) + row_xml([None, 2])), None)) == [(1, ["a"]), (2, []), (3, [None, "2"])]
+    assert text(cells_of(book('<row r="3"><c r="C3"><v>1</v></c></row><row><c><v>2</v></c></row>'), None)) == [(1, []), (2, []), (3, [None, None, "1"]), (4, ["2"])]
+
+
+def test_a_whole_sheet_in_little_memory(tmp_path):
+    """All rows that a sheet can hold, parsed within 500 MB."""
+    path = tmp_path / "large.xlsx"
+    write_xlsx(path, [("S", ["id", "L", "W", "text"], ((n, 10.5, 5.25, f"row {n}") for n in range(1_048_575)))])
+    code = f"""
+import resource, sys
+sys.path.insert(0, {str(Path(__file__).resolve().parents[1])!r})
+from growthlab.sources.xlsx import cells_of
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+with open({str(path)!r}, "rb") as file:
+    n = sum(1 for _ in cells_of(file, None))
+print(n, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    rows, used = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
+    assert rows == 1_048_576 and used < 300 and resource.getpagesize()
+
+
+def test_optional_sheets(source, books):
+    write_xlsx(books / "b3.xlsx", [("Else", ["i"], [(1,)])])
+    assert {r["path"].rpartition("/")[2] for r in read_rows(source, str(books / "b*.xlsx"), "One", optional=True).collect()} == {"b1.xlsx", "b2.xlsx"}
