@@ -7,16 +7,22 @@ Averages are rounded to six places on both sides, as sums depend on the order of
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from growthlab import functions as G
 from growthlab import operators as O
-from growthlab.plans.experiment import settings
+from growthlab.plans.analysis import read_growths, tables
+from growthlab.plans.experiment import excluded_by_book, settings, settings_of_books, with_thresholds
+from growthlab.sources import Tab, annotated_path, read_sheet, scratch, within, write_annotated, write_report, write_workbook
 
 DAYS = list(range(0, 28, 3))
 #: The ids that the query of the exclusion leaves out.
 EXCLUDED = ("28", "30")
+#: Ids of parts in a workbook: the sheets of all are well below what one can hold.
+PARTS_OF_BOOK = 500_000
+#: Experiments that the workbooks of measurements stand for: thresholds of the first and the second, and what they exclude.
+BOOKS = ((10, "28, 30"), (70, "4, 31.0"), (None, None))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,7 +69,9 @@ def _growth(df: DataFrame) -> DataFrame:
 
 
 def tumor_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sheet(spark, sf_dir).where("W <= L").select("id", F.round(G.tumor_volume_strict(F.col("L"), F.col("W")), 6).alias("tv"))
+    """Volumes by the strict rule, asked for only where it holds: of other rows they are missing."""
+    fits = F.col("W") <= F.col("L")
+    return _sheet(spark, sf_dir).select("id", F.round(F.when(fits, G.tumor_volume_strict(F.col("L"), F.col("W"))), 6).alias("tv"))
 
 
 def _annotated(dialect: str, volume: str):
@@ -117,10 +125,10 @@ def general_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sem_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of one value too: each mouse's own at day 0 beside its group's."""
-    obs = _obs(spark, sf_dir).where("day = 0")
-    both = obs.select(F.col("grp").alias("k"), "tv").unionByName(obs.select(F.concat("grp", F.lit("/"), "mouse").alias("k"), "tv"))
-    return both.groupBy("k").agg(F.count("tv").alias("n"), F.round(G.sem("tv"), 6).alias("sem"))
+    """Groups of one value too: each mouse's own at each day beside its group's."""
+    obs = _obs(spark, sf_dir)
+    both = obs.select(F.col("grp").alias("k"), "day", "tv").unionByName(obs.select(F.concat("grp", F.lit("/"), "mouse").alias("k"), "day", "tv"))
+    return both.groupBy("k", "day").agg(F.count("tv").alias("n"), F.round(G.sem("tv"), 6).alias("sem"))
 
 
 def mouse_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,10 +235,102 @@ def experiment_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settings(rows).select("control_group", "threshold", F.array_join("excluded", ";").alias("excluded"))
 
 
+def _clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All measurements as clean wide rows."""
+    return O.clean_wide(_wide(_obs(spark, sf_dir)), [(d, str(d)) for d in DAYS])
+
+
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The responders' sheet of the report in its order: the number of each line."""
-    line = F.row_number().over(Window.orderBy("grp", "response", "day"))  # a summary: its rows are few
-    return responder_tv_summary(spark, sf_dir).select(line.alias("line"), "grp", "response", "day", "n")
+    """The responders' sheet of the report as it was written: the number of each line."""
+    path = within(scratch(spark, "report"), "report.xlsx")
+    write_report(tables(_clean(spark, sf_dir), DAYS, 50.0), path)
+    found = read_sheet(spark, path, "Responder_TV_Summary").df
+    return found.select((F.col("_row") - 1).cast("int").alias("line"), F.col("Group").alias("grp"), F.col("Response").alias("response"), F.col("Day").cast("int").alias("day"), F.col("n").cast("long").alias("n"))
+
+
+def report_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sheet of growth as it was written, in the order of the sheet that was read: rows by mouse."""
+    rows = _clean(spark, sf_dir).select(F.col("mouse").cast("long").alias("_row"), "*")
+    path = within(scratch(spark, "report"), "report.xlsx")
+    write_report(tables(rows, DAYS, 50.0), path)
+    found = read_sheet(spark, path, "Mouse_Growth").df
+    line = (F.col("_row") - 1).cast("int").alias("line")
+    return found.select(line, F.col("Group").alias("grp"), F.col("Mouse").alias("mouse"), F.round("Percent Growth", 6).alias("percent_growth"), F.col("Response").alias("response"))
+
+
+def report_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sheet of errors as it was written; and the report of measurements without errors, whose sheet says so."""
+    rows = _clean(spark, sf_dir).select(F.col("mouse").cast("long").alias("_row"), "*")
+    out = []
+    for kind, wide in (("some", rows), ("none", rows.where("`0` is not null and coalesce(`3`, `6`, `9`, `12`, `15`, `18`, `21`, `24`, `27`) is not null"))):
+        path = within(scratch(spark, "report"), "report.xlsx")
+        write_report(tables(wide, DAYS, 50.0), path)
+        found = read_sheet(spark, path, "Errors").df
+        mouse = F.col("Mouse") if "Mouse" in found.columns else F.lit(None).cast("string")
+        out.append(found.select(F.lit(kind).alias("kind"), (F.col("_row") - 1).cast("int").alias("line"), mouse.alias("mouse"), F.col("Issue").alias("issue")))
+    return out[0].unionByName(out[1])
+
+
+def annotated_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as workbooks of lengths and widths, each annotated beside its own place: what is read from the results, all at once."""
+    folder, sheet = scratch(spark, "measurements"), _sheet(spark, sf_dir).withColumn("L", F.round("L", 6))
+    most = sheet.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    for n in range(most // PARTS_OF_BOOK + 1):
+        path = within(folder, f"m{n}.xlsx")
+        write_workbook(spark, path, [Tab("Sheet1", sheet.where(F.col("id").between(n * PARTS_OF_BOOK, (n + 1) * PARTS_OF_BOOK - 1)), {0: "Mouse ID", 1: "W", 2: "L"}, ["id"])])
+        write_annotated(O.annotate_volume(read_sheet(spark, path).df), annotated_path(path))
+    found = read_sheet(spark, within(folder, "*_TV.xlsx")).df
+    return found.select((F.col("_row") - 1).alias("line"), F.col("Mouse ID").cast("long").alias("id"), "W", "L", F.round("`T.V.`", 6).alias("tv"), F.col("Error").alias("error"))
+
+
+def _measured_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Growth of the mice of three workbooks, which are written first: a title, headers with days, and settings in two of them."""
+    folder, wide = scratch(spark, "experiments"), _wide(_obs(spark, sf_dir)).withColumn("id", F.col("mouse").cast("long"))
+    for n, (threshold, excluded) in enumerate(BOOKS):
+        own = wide.where(F.col("id") % len(BOOKS) == n)
+        headers = {own.columns.index(c): header for c, header in (("Group", "Group"), ("id", "mouse"), *((str(d), f"Day {d}" if d % 2 else d) for d in DAYS))}
+        tabs = [Tab("TV", own, headers, ["id"], above=[["Tumour volumes"]])]
+        if threshold:
+            lines = own.agg(F.lit("x").alias("x")).select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in (("Control group", "G0"), ("Responder threshold (%)", str(threshold)), ("Exclude mice", excluded))))).alias("s")).select("s.*")
+            tabs.append(Tab("experiment data", lines, {0: "a", 1: "b"}, [], with_headers=False))
+        write_workbook(spark, within(folder, f"e{n}.xlsx"), tabs)
+    rows, days = read_growths(spark, within(folder, "*.xlsx"))
+    return O.outcomes_from_wide(rows, days, F.col("threshold"))
+
+
+def growth_of_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Growth and errors of several workbooks, each with its own threshold and exclusions."""
+    found = _measured_books(spark, sf_dir).withColumn("book", F.regexp_extract("_path", r"e(\d+)[.]xlsx$", 1).cast("int"))
+    return found.select("book", (F.col("_row") - 2).cast("int").alias("line"), "grp", "mouse", F.round("percent_growth", 6).alias("percent_growth"), "response", "issue")
+
+
+def settings_by_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responders by workbook, where the settings of a hundred workbooks are rows made of orders, and each has all mice."""
+    key = F.col("o_orderkey")
+    kind = F.floor(key / 100) % 7
+    title = F.when(kind == 1, "Responder Threshold (%)").when(kind == 2, "exclude mice").otherwise("a note on the control")
+    cell = lambda text: F.struct(text.cast("string").alias("text"), F.lit("s").alias("kind"))
+    value = F.when(kind == 2, F.concat_ws(" , ", key % 150, (key + 1) % 150)).otherwise((key % 90).cast("string"))
+    book = F.concat(F.lit("book"), (key % 100).cast("string"))
+    config = settings_of_books(_table(spark, sf_dir, "orders").select(book.alias("path"), key.alias("_row"), F.array(cell(title), cell(value)).alias("cells")))
+    wide = _clean(spark, sf_dir).select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(101)), lambda n: F.concat(F.lit("book"), n.cast("string")))).alias("_path"), "*")
+    own = with_thresholds(O.exclude_by_book(wide, excluded_by_book(config)), config)
+    return O.response_summary(O.growth_from_wide(own, DAYS, F.col("threshold"))[0]).withColumnRenamed("_path", "book")
+
+
+def responder_tv_from_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The responders' summary of a wide sheet without a join; some mice stand in it twice, with other values."""
+    wide = _clean(spark, sf_dir)
+    again = wide.where(F.col("mouse").cast("long") % 4 == 1).withColumns({str(d): F.col(f"`{d}`") * (1 + d / 9) for d in DAYS})
+    return _summary(O.responder_tv_summary_from_wide(wide.unionByName(again), DAYS))
+
+
+def growth_of_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Growth from stored states: those of the first days, to which later ones are added twice."""
+    obs = _obs(spark, sf_dir)
+    first, second, third = (O.growth_states(obs.where(c)) for c in ("day < 9", "day between 9 and 20", "day > 20"))
+    found = O.outcomes_from_states(O.merged_states(O.merged_states(first, second), third))
+    return _rounded(found, "initial_tv", "final_tv", "change", "percent_growth")
 
 
 def bmi(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,7 +358,7 @@ _ALL = (
     general_summary, tumor_volume, annotate_error_flag, drop_missing_ids, exclude_mice, normalize_mouse_id, coerce_numeric, wide_to_long, sem_by_group,
     mouse_growth, mouse_growth_wide, growth_errors, response_summary, responder_tv_summary, duplicate_mouse_join, unclassified_group,
     threshold_override, manifest_counts, zero_baseline_issue, growth_by_row, day_headers, annotate_text_cells, annotate_stale_volumes, sql_functions,
-    experiment_settings, report_lines, bmi, bmi_category, dilution, mean_tv_chart_data, responder_chart_data,
+    experiment_settings, report_lines, report_growth, report_errors, annotated_workbooks, growth_of_workbooks, settings_by_book, responder_tv_from_wide, growth_of_months, bmi, bmi_category, dilution, mean_tv_chart_data, responder_chart_data,
 )
 QUERIES = {f.__name__: f for f in _ALL} | {"annotate_day04": _annotated("day04", "T.V."), "annotate_day02": _annotated("day02", "T.V")}
 
@@ -299,7 +399,7 @@ def _responses(source: str, responder: str = "response = 'Responder'", other: st
 
 
 _SQL = {
-    "tumor_volume": "SELECT id, round(w * w * l / 2, 6) AS tv FROM lw WHERE w <= l",
+    "tumor_volume": "SELECT id, CASE WHEN w <= l THEN round(w * w * l / 2, 6) END AS tv FROM lw",
     "annotate_day04": _annotation("Missing length or width value.", "Width cannot be greater than length."),
     "annotate_day02": _annotation("Missing value", "W > L"),
     "annotate_error_flag": "SELECT bool_or(w IS NULL OR l IS NULL OR w > l) AS errors_found FROM lw",
@@ -309,7 +409,7 @@ _SQL = {
     "coerce_numeric": "SELECT o_orderkey AS id, CAST(CASE o_orderkey % 8 WHEN 0 THEN CAST(o_orderkey AS DOUBLE) WHEN 1 THEN o_orderkey WHEN 2 THEN o_orderkey * 10 WHEN 6 THEN CAST('0.' || o_orderkey AS DOUBLE) END AS DOUBLE) AS value FROM orders",
     "wide_to_long": "SELECT grp, mouse, day, round(tv, 6) AS tv FROM tv_obs WHERE tv IS NOT NULL",
     "general_summary": f"SELECT grp, day, {_SUMMARY} FROM tv_obs GROUP BY 1, 2",
-    "sem_by_group": "SELECT k, count(tv) AS n, round(CASE WHEN count(tv) = 1 THEN 0 ELSE stddev_samp(tv) / sqrt(count(tv)) END, 6) AS sem FROM (SELECT grp AS k, tv FROM tv_obs WHERE day = 0 UNION ALL SELECT grp || '/' || mouse, tv FROM tv_obs WHERE day = 0) GROUP BY 1",
+    "sem_by_group": "SELECT k, day, count(tv) AS n, round(CASE WHEN count(tv) = 1 THEN 0 ELSE stddev_samp(tv) / sqrt(count(tv)) END, 6) AS sem FROM (SELECT grp AS k, day, tv FROM tv_obs UNION ALL SELECT grp || '/' || mouse, day, tv FROM tv_obs) GROUP BY 1, 2",
     "mouse_growth": _GROWTH,
     "mouse_growth_wide": _GROWTH,
     "growth_errors": "SELECT * FROM errors",
@@ -327,6 +427,18 @@ _SQL = {
     "sql_functions": "SELECT id, round(w * w * l / 2, 6) AS tv, CASE WHEN l - w IS NULL THEN 'Unclassified' WHEN l - w <= 0 THEN 'Responder' ELSE 'Non-responder' END AS response, round(CASE WHEN id = 1 THEN 0 ELSE l / sqrt(id) END, 6) AS sem, bmi, CASE WHEN bmi < 18.5 THEN 'Underweight' WHEN bmi < 25 THEN 'Normal weight' WHEN bmi < 30 THEN 'Overweight' WHEN bmi IS NOT NULL THEN 'Obese' END AS category FROM lw JOIN (SELECT id, CASE WHEN kg > 0 AND m > 0 THEN round_even(kg / (m * m), 2) END AS bmi FROM body) USING (id)",
     "experiment_settings": "SELECT CAST(max(o_orderkey) FILTER (o_orderkey % 11 = 0) AS VARCHAR) AS control_group, CAST(max(o_orderkey) FILTER (o_orderkey % 11 = 1) AS DOUBLE) AS threshold, max(o_orderkey) FILTER (o_orderkey % 11 = 2) || ';' || (max(o_orderkey) FILTER (o_orderkey % 11 = 2) + 1) || ';7' AS excluded FROM orders",
     "report_lines": "SELECT CAST(row_number() OVER (ORDER BY grp, response, day) AS INTEGER) AS line, * FROM (SELECT grp, response, day, count(tv) AS n FROM tv_obs JOIN growth USING (grp, mouse) GROUP BY 1, 2, 3)",
+    "report_growth": "SELECT CAST(row_number() OVER (ORDER BY CAST(mouse AS BIGINT)) AS INTEGER) AS line, grp, mouse, round(percent_growth, 6) AS percent_growth, response FROM growth",
+    "report_errors": "SELECT 'some' AS kind, CAST(row_number() OVER (ORDER BY CAST(mouse AS BIGINT)) AS INTEGER) AS line, mouse, issue FROM errors UNION ALL SELECT 'none', 1, NULL, 'No errors found.'",
+    "annotated_workbooks": "SELECT row_number() OVER (PARTITION BY id // 500000 ORDER BY id) AS line, id, W, L, tv, error FROM (SELECT id, w AS W, round(l, 6) AS L, CASE WHEN w <= round(l, 6) THEN round(w * w * round(l, 6) / 2, 6) END AS tv, CASE WHEN w IS NULL OR l IS NULL THEN 'Missing length or width value.' WHEN w > round(l, 6) THEN 'Width cannot be greater than length.' END AS error FROM lw)",
+    "growth_of_workbooks": f"SELECT CAST(book AS INTEGER) AS book, CAST(line AS INTEGER) AS line, grp, mouse, round(percent, 6) AS percent_growth, CASE WHEN issue IS NULL THEN CASE WHEN percent <= [10, 70, 50][book + 1] THEN 'Responder' ELSE 'Non-responder' END END AS response, issue FROM (SELECT m.grp, m.mouse, CAST(m.mouse AS BIGINT) % 3 AS book, row_number() OVER (PARTITION BY CAST(m.mouse AS BIGINT) % 3 ORDER BY CAST(m.mouse AS BIGINT)) AS line, percent_growth AS percent, issue FROM per_mouse m LEFT JOIN growth g ON g.grp = m.grp AND g.mouse = m.mouse LEFT JOIN errors e ON e.grp = m.grp AND e.mouse = m.mouse) WHERE NOT (book = 0 AND mouse IN ('28', '30') OR book = 1 AND mouse IN ('4', '31'))",
+    "settings_by_book": f"""SELECT book, grp, responders, non_responders, total, responder_percent FROM (WITH made AS (SELECT 'book' || (o_orderkey % 100) AS book, o_orderkey AS k, (o_orderkey // 100) % 7 AS kind FROM orders),
+      config AS (SELECT book, arg_max(k, k) FILTER (kind = 1) % 90 AS threshold, max(k) FILTER (kind = 2) AS ex FROM made GROUP BY 1),
+      own AS (SELECT b.book, grp, mouse, percent_growth, coalesce(threshold, 50) AS threshold FROM (SELECT 'book' || unnest(range(102)) AS book) b CROSS JOIN growth LEFT JOIN config c ON c.book = b.book WHERE ex IS NULL OR CAST(mouse AS BIGINT) NOT IN (ex % 150, (ex + 1) % 150))
+      SELECT book, {_responses('own', 'percent_growth <= threshold', 'percent_growth > threshold').removeprefix('SELECT ').replace('GROUP BY grp', 'GROUP BY book, grp')})""",
+    "responder_tv_from_wide": f"""SELECT grp, response, day, {_SUMMARY} FROM (WITH twice AS (SELECT 0 AS copy, * FROM tv_obs UNION ALL SELECT 1, grp, mouse, day, tv * (1 + day / 9.0::DOUBLE) FROM tv_obs WHERE CAST(mouse AS BIGINT) % 4 = 1),
+      own AS (SELECT copy, grp, mouse, max(tv) FILTER (day = 0) AS a, arg_max(tv, day) FILTER (tv IS NOT NULL) AS z, count(*) FILTER (day <> 0 AND tv IS NOT NULL) AS later FROM twice GROUP BY 1, 2, 3)
+      SELECT t.grp, t.day, t.tv, CASE WHEN (z - a) / a * 100 <= 50 THEN 'Responder' ELSE 'Non-responder' END AS response FROM twice t JOIN own o ON o.grp = t.grp AND o.mouse = t.mouse WHERE a IS NOT NULL AND later > 0 AND t.tv IS NOT NULL) GROUP BY 1, 2, 3""",
+    "growth_of_months": "SELECT m.grp, m.mouse, round(m.initial_tv, 6) AS initial_tv, round(m.final_tv, 6) AS final_tv, m.final_day, round(g.change, 6) AS change, round(g.percent_growth, 6) AS percent_growth, response, issue FROM per_mouse m LEFT JOIN growth g ON g.grp = m.grp AND g.mouse = m.mouse LEFT JOIN errors e ON e.grp = m.grp AND e.mouse = m.mouse",
     "bmi": "SELECT id, CASE WHEN kg > 0 AND m > 0 THEN round_even(kg / (m * m), 2) END AS bmi, CASE WHEN kg <= 0 OR m <= 0 THEN 'Error: Weight and height must be positive numbers!' END AS error FROM body",
     "bmi_category": "SELECT CASE WHEN b < 18.5 THEN 'Underweight' WHEN b < 25 THEN 'Normal weight' WHEN b < 30 THEN 'Overweight' WHEN b IS NOT NULL THEN 'Obese' END AS category, count(*) AS n FROM (SELECT CASE WHEN kg > 0 AND m > 0 THEN round_even(kg / (m * m), 2) END AS b FROM body) GROUP BY 1",
     "dilution": "SELECT l_orderkey, l_linenumber, round(CASE WHEN d <> 0 THEN CAST(a AS DOUBLE) * b / d END, 6) AS value, CASE WHEN d = 0 THEN 'Error: ' || name || ' cannot be zero, run again.' END AS error FROM (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN l_tax WHEN 1 THEN l_tax ELSE l_quantity END AS a, CASE l_linenumber % 4 WHEN 0 THEN l_quantity WHEN 1 THEN l_quantity ELSE l_discount END AS b, CASE l_linenumber % 4 WHEN 0 THEN l_discount WHEN 1 THEN l_quantity WHEN 2 THEN l_quantity ELSE l_tax END AS d, CASE l_linenumber % 4 WHEN 0 THEN 'V1' WHEN 1 THEN 'C1' WHEN 2 THEN 'V2' ELSE 'C2' END AS name FROM lineitem)",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -26,6 +27,17 @@ def beside(path: str | Path, rename: Callable[[str], str]) -> str | Path:
     return f"{folder}{slash}{rename(name)}" if has_scheme(path) else Path(path).with_name(rename(Path(path).name))
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the folder of ``spark.checkpoint.dir``, which all executors share. Unset, a local master gets a
+    temporary folder; on a cluster that is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='growthlab-')}"
+    return f"{folder.rstrip('/')}/growthlab/{name}-{uuid.uuid4().hex}"
+
+
 class Files:
     """The file system of a path. Its local one writes no checksums beside files: others that change them don't know of those."""
 

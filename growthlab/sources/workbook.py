@@ -27,7 +27,7 @@ _NO_XML = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x{FFFE}\x{FFFF}]"
 @dataclass(frozen=True)
 class Tab:
     """A sheet to be: its name, and the table whose columns it takes, by their places, under these headers. order: columns of the
-    table to sort by; instead: headers and a row for a table without rows; marked: a column whose texts that aren't empty are counted."""
+    table to sort by; instead: headers and a row for a table without rows; marked: a column whose texts that aren't empty are counted; above: rows over the headers, such as a title. No headers: rows alone."""
 
     name: str
     table: DataFrame
@@ -35,6 +35,8 @@ class Tab:
     order: Sequence[str]
     instead: tuple[list[str], list[object]] | None = None
     marked: str | None = None
+    above: Sequence[Sequence[object]] = ()
+    with_headers: bool = True
 
 
 class Counts(NamedTuple):
@@ -78,7 +80,7 @@ def write_workbook(spark: SparkSession, path: str | Path, tabs: Sequence[Tab]) -
             seen = Observation()
             _lines(tab, seen).write.text(f"{stage.folder}/{n}")
             counts.append(Counts(*(seen.get.get(c) or 0 for c in Counts._fields)))
-            if counts[-1].rows >= MAX_ROWS:
+            if counts[-1].rows + len(tab.above) + tab.with_headers > MAX_ROWS:
                 raise too_many_rows(tab.name)
         book = f"{stage.folder}/book"
         out = files.jvm.java.util.zip.ZipOutputStream(files.system.create(files.at(book)))
@@ -91,7 +93,8 @@ def write_workbook(spark: SparkSession, path: str | Path, tabs: Sequence[Tab]) -
                 part(name, text)
             for n, (tab, count) in enumerate(zip(tabs, counts, strict=True)):
                 headers, rows = (list(tab.headers.values()), []) if count.rows or not tab.instead else (tab.instead[0], [tab.instead[1]])
-                part(sheet_part(n + 1), SHEET_HEAD + "".join(map(row_xml, [headers, *rows])))
+                top = [*tab.above, *([headers] if tab.with_headers else []), *rows]
+                part(sheet_part(n + 1), SHEET_HEAD + "".join(map(row_xml, top)))
                 for file in files.parts(f"{stage.folder}/{n}"):
                     files.append(file, out)
                 out.write(bytearray(SHEET_TAIL.encode()))
