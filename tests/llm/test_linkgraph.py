@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import pytest
 
@@ -48,6 +49,36 @@ def test_links(spark):
     assert got == {("a.net", "b.net:8080", 1), ("a.net", "c.net", 1), ("a.net", "d.net", 1), ("a.net", "e.net", 1)}
 
 
+COMMENTS = ["a<!--b-->c", "<!-- a <!-- b --> c --> d", "<!-->abc-->d", "<!--->x-->y", "<!---->z", "-->a<!--", "<!--a", "a --> b <!-- c --> d <!-- e", "", "<!--\n-->\n<!--<!---->", "x<!-\ufdd0-->-->"]
+
+
+def test_comments(spark):
+    rows = spark.createDataFrame([(c,) for c in [*COMMENTS, None]], "html string")
+    got = [r[0] for r in rows.select(linkgraph.without_comments(rows.html)).collect()]
+    assert got == [*(re.sub(r"(?s)<!--.*?-->", "", c.replace("\ufdd0", "")) for c in COMMENTS), None]
+
+
+@pytest.mark.parametrize("piece", ["<!--", "<a ", "<a x", "<a href", "<a href=", "<a href=x", "-->", "<!-- -->", "<a \" href= ", "<", "<a href=a:"])
+@pytest.mark.parametrize("gap", ["", " " * 2_000_000])
+def test_long_html_takes_seconds(spark, piece, gap):
+    """5 MB of what is never closed, and runs of white space within."""
+    start = time.monotonic()
+    html = piece * (5_000_000 // len(piece)) + "<a href=" + gap + "x" * 2_000_000 + "><a href='http://found.net/'>"
+    table = spark.createDataFrame([("a.net", html)], "host string, html string")
+    assert [r["target"] for r in linkgraph.edges(table).collect() if r["target"] == "found.net"] == ["found.net"]
+    assert time.monotonic() - start < 20
+
+
+def test_repeated_rows_count_again(spark):
+    """As links and as seeds."""
+    rows = [(1, "http://x.com/de/1", None), (2, "http://a.net/", '<a href="http://x.com/de/1"><a href="http://ok.org/">'), (3, "http://ok.org/", "")]
+    assert {tuple(r) for r in linkgraph.edges(pages(spark, [(1, None, '<a href="http://b.net/">')] * 3).selectExpr("'a.net' AS host", "html")).collect()} == {("a.net", "b.net", 3)}
+    table = pages(spark, rows + rows[:1] * 20)
+    got = linkgraph.judge(table)
+    assert got.count() == 23
+    compare_rows(spark, got, queries.ORACLE_SQL["op8_link_graph_filter"], pages=table)
+
+
 def rank(links, seeds, reverse):
     """Personalised PageRank by plain iteration; what reaches a host without links goes back to the seeds."""
     if reverse:
