@@ -29,9 +29,7 @@ LEAST_DISTRUST = 0.1
 #: Absolute links of anchors: a relative link stays on its host, and a link within a comment is none. What is repeated never
 #: begins what may follow it, or is bounded by the next < or >, and gives nothing back (+): the time grows with the length.
 _LINK = r"""(?i)<a\s(?:[^<>]*?[\s"'])?href\s*+=\s*+["']?+\s*+(?:[a-z][a-z0-9+.-]*+:)?+//([^"'\s>/?#]++)"""
-_OPENS, _CLOSES = "<!--", "-->"
-#: Stands for the opening of a comment; Unicode keeps it from texts.
-_MARK = "\ufdd0"
+_COMMENT = r"(?s)<!--.*?-->"
 
 
 def host_and_path(url: str) -> tuple[Column, Column]:
@@ -54,15 +52,12 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Col
 def without_comments(html: Column) -> Column:
     """The html without what stands from an opening to the first close after it. What isn't closed stays.
 
-    Up to the last close, and split at the closes, each part ends with one: it is a comment from its first opening on, if it
-    has one. So the time grows with the length, however many openings and closes there are.
+    Up to the last close every opening finds its close, and the search goes on behind it; what follows has no close to look for. So the
+    time grows with the length, however many openings there are.
     """
-    marked = F.replace(F.translate(html, _MARK, ""), F.lit(_OPENS), F.lit(_MARK))
-    tail = F.substring_index(marked, _CLOSES, -1)
-    closed = F.split(F.left(marked, F.length(marked) - F.length(tail) - len(_CLOSES)), _CLOSES, -1)
-    kept = F.transform(closed, lambda part: F.when(F.contains(part, F.lit(_MARK)), F.substring_index(part, _MARK, 1)).otherwise(F.concat(part, F.lit(_CLOSES))))
-    out = F.when(F.contains(marked, F.lit(_CLOSES)), F.concat(F.array_join(kept, ""), tail)).otherwise(marked)
-    return F.replace(out, F.lit(_MARK), F.lit(_OPENS))
+    tail = F.substring_index(html, "-->", -1)
+    head = F.left(html, F.length(html) - F.length(tail))
+    return F.concat(F.regexp_replace(head, _COMMENT, ""), tail)
 
 
 def edges(pages: DataFrame) -> DataFrame:

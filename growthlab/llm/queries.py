@@ -249,7 +249,7 @@ fits AS (
 judged AS (SELECT p.*, f.rule, verdict FROM p LEFT JOIN fits f USING (r) LEFT JOIN rules x ON x.rule = f.rule),
 links AS (
   SELECT source, target, count(*) AS n FROM (
-    SELECT host AS source, translate(unnest(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), {lit(_LINK)}, 1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS target FROM p
+    SELECT host AS source, translate(unnest(regexp_extract_all(regexp_replace(html, {lit(linkgraph._COMMENT)}, '', 'g'), {lit(_LINK)}, 1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS target FROM p
   ) WHERE source <> '' AND target <> '' AND source <> target GROUP BY 1, 2
 ),
 hosts AS (SELECT host FROM p WHERE host <> '' UNION SELECT source FROM links UNION SELECT target FROM links),

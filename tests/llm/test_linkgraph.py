@@ -49,13 +49,13 @@ def test_links(spark):
     assert got == {("a.net", "b.net:8080", 1), ("a.net", "c.net", 1), ("a.net", "d.net", 1), ("a.net", "e.net", 1)}
 
 
-COMMENTS = ["a<!--b-->c", "<!-- a <!-- b --> c --> d", "<!-->abc-->d", "<!--->x-->y", "<!---->z", "-->a<!--", "<!--a", "a --> b <!-- c --> d <!-- e", "", "<!--\n-->\n<!--<!---->", "x<!-\ufdd0-->-->"]
+COMMENTS = ["a<!--b-->c", "<!-- a <!-- b --> c --> d", "<!-->abc-->d", "<!--->x-->y", "<!---->z", "-->a<!--", "<!--a", "a --> b <!-- c --> d <!-- e", "", "<!--\n-->\n<!--<!---->", "x<!--y<!-->", "<!-->"]
 
 
 def test_comments(spark):
     rows = spark.createDataFrame([(c,) for c in [*COMMENTS, None]], "html string")
     got = [r[0] for r in rows.select(linkgraph.without_comments(rows.html)).collect()]
-    assert got == [*(re.sub(r"(?s)<!--.*?-->", "", c.replace("\ufdd0", "")) for c in COMMENTS), None]
+    assert got == [*(re.sub(r"(?s)<!--.*?-->", "", c) for c in COMMENTS), None]
 
 
 @pytest.mark.parametrize("piece", ["<!--", "<a ", "<a x", "<a href", "<a href=", "<a href=x", "-->", "<!-- -->", "<a \" href= ", "<", "<a href=a:"])
