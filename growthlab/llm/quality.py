@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from growthlab.llm.store import spread_join, written
+from growthlab.llm.store import slices, spread_join, written
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 STATS = ("log_words", "log_word_length", "symbol_root", "dup_line_root", "repeat_root")
@@ -74,8 +74,10 @@ def _counts(data: bytes) -> tuple[int, int, int, int, int]:
 
 @F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))
 def text_counts(text: pa.Array) -> pa.Array:
-    """The five counts of each whole text (a null text: zeros)."""
-    rows = [_counts(t) if t else (0, 0, 0, 0, 0) for t in text.cast(pa.binary()).to_pylist()]
+    """The five counts of each whole text (a null text: zeros). Texts are taken from a batch a few megabytes at a time."""
+    rows: list[tuple] = []
+    for part in slices([pa.RecordBatch.from_arrays([text], ["text"])]):
+        rows += [_counts(t) if t else (0, 0, 0, 0, 0) for t in part.column("text").cast(pa.binary()).to_pylist()]
     return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [()] * 5)], list(COUNTS))
 
 
