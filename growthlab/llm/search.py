@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 K = 20
 SCALE = 64
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 8192
+#: Bytes of a block's vectors, as doubles.
+BLOCK_BYTES = 1 << 25
 #: Queries whose score arrays are filled together.
 TOGETHER = 32
 #: A term with postings for more than this share of the rows is held for all rows, with zeros.
@@ -83,6 +85,12 @@ def _best(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.
     return found
 
 
+def _blocks(vectors: DataFrame, most_rows: int) -> int:
+    """The number of blocks of so many rows at most, fewer where vectors are long: a block's matrix takes about BLOCK_BYTES at most."""
+    n, width = vectors.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    return max(1, -(-n // max(1, min(most_rows, BLOCK_BYTES // (8 * max(width or 0, 1))))))
+
+
 def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k rows with the highest inner products.
 
@@ -90,8 +98,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     have a list each; a row is not found for a query of its own id. Missing components of a shorter vector are
     zeros. Ties go to the smaller id. Products beyond a long's range are held at its ends.
     """
-    row_blocks = max(1, -(-rows.count() // BLOCK_ROWS))
-    query_blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
+    row_blocks, query_blocks = _blocks(rows, BLOCK_ROWS), _blocks(queries, BLOCK_QUERIES)
     block = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     rows, queries = (df.select(F.monotonically_increasing_id().alias("row"), "vec_id", "vector") for df in (rows, queries))

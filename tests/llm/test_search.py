@@ -66,3 +66,16 @@ def test_against_sql(spark):
     table = spark.createDataFrame(rows, SCHEMA)
     vectors = search.quantised(table)
     compare_rows(spark, search.top_k(vectors, vectors.where("vec_id % 20 = 0")), queries.ORACLE_SQL["op3_exact_top_k_search"], embeddings=table)
+
+
+def test_blocks_of_long_vectors(spark, monkeypatch):
+    """Blocks are cut by bytes, and columns with names of the operator's own are not in the way."""
+    rows = [(n, [((3 * n + k) % 7) / 64 for k in range(40)]) for n in range(90)]
+    monkeypatch.setattr(search, "BLOCK_BYTES", 8 * 40 * 10)
+    table = search.quantised(spark.createDataFrame([(i, v, 1, "s", "v") for i, v in rows], SCHEMA))
+    assert search._blocks(table, 8192) == 9 and search._blocks(table, 5) == 18 and search._blocks(table.limit(0), 5) == 1
+    assert found(spark, rows) == brute(rows, 20)
+    odd = spark.createDataFrame([(i, v, 1, 2, 3, "x") for i, v in rows], "vec_id long, embedding array<float>, row int, b int, q int, asks string")
+    vectors = search.quantised(odd)
+    got = sorted(tuple(r) for r in search.top_k(vectors, vectors.where("vec_id % 20 = 0")).select("query_id", "rank", "vec_id", "score").collect())
+    assert got == brute(rows, 20)
