@@ -67,15 +67,17 @@ def _written_first(parsed: DataFrame) -> DataFrame:
 
 def _replies(quotes: DataFrame, first: DataFrame) -> DataFrame:
     """conv_id, turn, to_conv, to_turn: the message that a quoting message answers."""
-    here = first.select("conv_id", "hash", F.col("turn").alias("here"))
+    place, number = F.struct("conv_id", "hash").alias("place"), F.count(F.lit(1)).alias("n")
+    here = first.select(place, F.col("turn").alias("here"))
     ever = first.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("ever"))
-    asked = spread_join(quotes.join(here, ["conv_id", "hash"], "left"), ever, "hash", "conv_id", "left", quotes.groupBy("hash").agg(F.count(F.lit(1)).alias("n")))
+    counts = written(quotes.groupBy("hash").agg(number), "quote-hashes")
+    asked = spread_join(spread_join(quotes.select("*", place), here, "place", "turn", "left").drop("place"), ever, "hash", "conv_id", "left", counts)
     same = F.coalesce(F.col("here") < F.col("turn"), F.lit(False))
     own = F.col("ever.conv_id") == F.col("conv_id")  # the first of all is in the quoting conversation, but not before
-    skipped = asked.where(~same & own).select("hash", F.col("conv_id").alias("skipped")).distinct()
-    others = first.join(skipped, "hash").where("conv_id <> skipped").groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("other"))
+    skipped = asked.where(~same & own).groupBy("hash").agg(F.first("conv_id").alias("skipped"))  # one: that of the first of all
+    others = spread_join(first, skipped, "hash", "conv_id").where("conv_id <> skipped").groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("other"))
     elsewhere = F.when(own, F.col("other")).otherwise(F.col("ever"))
-    found = asked.join(others, "hash", "left").withColumn("to", F.when(same, F.struct("conv_id", F.col("here").alias("turn"))).otherwise(elsewhere))
+    found = spread_join(asked, others, "hash", "conv_id", "left", counts).withColumn("to", F.when(same, F.struct("conv_id", F.col("here").alias("turn"))).otherwise(elsewhere))
     found = found.where("to is not null").groupBy("conv_id", "turn", "level", same.alias("same"), "whole", "to").agg(F.sum("words").alias("words"))
     best = F.min(F.struct("level", (~F.col("same")).alias("s"), (~F.col("whole")).alias("w"), (-F.col("words")).alias("n"), F.col("to.conv_id").alias("c"), F.col("to.turn").alias("t"))).alias("b")
     return found.groupBy("conv_id", "turn").agg(best).select("conv_id", "turn", F.col("b.c").alias("to_conv"), F.col("b.t").alias("to_turn"))
@@ -96,7 +98,7 @@ def _without_cycles(nodes: DataFrame) -> DataFrame:
             if not left or (left == before and reach >= left):
                 break
             up = at.select(F.col("node").alias("to"), F.col("to").alias("up_to"), F.col("least").alias("up_least"))
-            at = at.join(up, "to").select("node", F.col("up_to").alias("to"), F.least("least", "up_least").alias("least"))  # what ends in a root leaves
+            at = spread_join(at, up, "to", "node").select("node", F.col("up_to").alias("to"), F.least("least", "up_least").alias("least"))  # what ends in a root leaves
             reach, before = 2 * reach, left
         if not left:
             break
@@ -138,9 +140,9 @@ def link(messages: DataFrame) -> DataFrame:
     """
     parsed = written(_parsed(messages), "messages")
     placed = parsed.where("conv_id is not null and turn is not null")
-    replies = _replies(_quotes(placed), _written_first(placed))
+    replies = _replies(written(_quotes(placed), "quotes"), written(_written_first(placed), "written-first"))
     opening = placed.groupBy("conv_id").agg(F.min("turn").alias("opens"))
-    nodes = placed.select("conv_id", "turn").distinct().join(replies, ["conv_id", "turn"], "left").join(opening, "conv_id")
+    nodes = spread_join(placed.select("conv_id", "turn").distinct().join(replies, ["conv_id", "turn"], "left"), opening, "conv_id", "turn")
     linked, opens = F.col("to_conv").isNotNull(), F.col("turn") == F.col("opens")
     nodes = nodes.select(
         "conv_id", "turn", "opens", linked.alias("linked"),
@@ -150,7 +152,8 @@ def link(messages: DataFrame) -> DataFrame:
     nodes = _without_cycles(written(nodes, "replies"))
     threads = nodes.join(_roots(nodes), ["conv_id", "turn"])
     threads = threads.select("conv_id", "turn", "linked", F.col("to_conv").alias("reply_conv"), F.col("to_turn").alias("reply_turn"), F.col("root_conv").alias("thread_conv"), F.col("root_turn").alias("thread_turn"), F.col("steps").alias("reply_level"), "greatest")
-    found = parsed.drop("lines").join(threads, ["conv_id", "turn"], "left")
+    place = F.struct("conv_id", "turn").alias("place")
+    found = spread_join(parsed.drop("lines").select("*", place), threads.select(place, *threads.columns[2:]), "place", "row", "left").drop("place")
     inside = numbered(found.where("thread_conv is not null"), ["thread_conv", "thread_turn"], ["greatest", "reply_level", "conv_id", "turn", "row"], "position")
     out = inside.unionByName(found.where("thread_conv is null"), allowMissingColumns=True)
     columns = ("conv_id", "turn", "role", "own_text", "quoted_lines", "max_level", "linked", "reply_conv", "reply_turn", "thread_conv", "thread_turn", "reply_level", "position")
