@@ -137,11 +137,11 @@ replies AS (
   FROM nodes n LEFT JOIN best b ON b.conv_id = n.conv_id AND b.turn = n.turn
 ),
 tree AS (
-  SELECT conv_id, turn, conv_id AS thread_conv, turn AS thread_turn, CAST(0 AS BIGINT) AS reply_level FROM replies WHERE reply_conv IS NULL
-  UNION ALL SELECT c.conv_id, c.turn, thread_conv, thread_turn, reply_level + 1 FROM replies c JOIN tree t ON c.reply_conv = t.conv_id AND c.reply_turn = t.turn
+  SELECT conv_id, turn, conv_id AS thread_conv, turn AS thread_turn, CAST(0 AS BIGINT) AS reply_level, [{'conv_id': conv_id, 'turn': turn}] AS path FROM replies WHERE reply_conv IS NULL
+  UNION ALL SELECT c.conv_id, c.turn, thread_conv, thread_turn, reply_level + 1, list_append(path, {'conv_id': c.conv_id, 'turn': c.turn}) FROM replies c JOIN tree t ON c.reply_conv = t.conv_id AND c.reply_turn = t.turn
 )
 SELECT m.conv_id, m.turn, role, own_text, CAST(quoted_lines AS INTEGER) AS quoted_lines, CAST(max_level AS INTEGER) AS max_level, linked, reply_conv, reply_turn, thread_conv, thread_turn, reply_level,
-  CASE WHEN thread_conv IS NOT NULL THEN row_number() OVER (PARTITION BY thread_conv, thread_turn ORDER BY m.conv_id, m.turn, r) - 1 END AS position
+  CASE WHEN thread_conv IS NOT NULL THEN row_number() OVER (PARTITION BY thread_conv, thread_turn ORDER BY path, r) - 1 END AS position
 FROM m JOIN own USING (r) LEFT JOIN replies p ON p.conv_id = m.conv_id AND p.turn = m.turn LEFT JOIN tree t ON t.conv_id = m.conv_id AND t.turn = m.turn
 """
 

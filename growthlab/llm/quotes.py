@@ -6,8 +6,8 @@ that first wrote it: in the same conversation before the quoting message, or els
 conversations, whose ids say nothing of time. So a hash leads to one message, and however often a line was
 written or quoted, rows are never paired with each other. A message replies to the original of its shallowest quotes, or without one to the opening
 message of its conversation. Where replies form a cycle, the least message in it goes back to its
-opening. So replies form trees, whose roots pointer doubling finds; a tree is a
-conversation without quotes, in an order that puts every message after the one it replies to.
+opening. So replies form trees, whose roots and order pointer doubling finds; a tree is a
+conversation without quotes, depth first: each message, then each reply to it with all that follows from it, by conversation and turn.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from growthlab.llm.store import numbered, spread_join, written
+from growthlab.llm.store import numbered, running, spread_join, written
 
 _MARKS = r"^(?:\s*>)+"
 #: A line that introduces the quote below it.
@@ -113,21 +113,37 @@ def _without_cycles(nodes: DataFrame) -> DataFrame:
     return nodes
 
 
-def _roots(nodes: DataFrame) -> DataFrame:
-    """nodes (conv_id, turn, to_conv, to_turn) with root_conv, root_turn, level and the greatest message on
-    the way to the root, by pointer doubling. What points to a message that very many point to is dealt out."""
+def _threads(nodes: DataFrame) -> DataFrame:
+    """node, root, steps (to the root) and preorder (messages of the thread before it, depth first) of nodes (conv_id, turn, to_conv, to_turn).
+
+    By pointer doubling: in each round a message learns the root pointer of the message that it points to, and what is
+    exactly so far above it gains the messages below. A message then stands behind the one it replies to and the whole branches of
+    the earlier replies to that; these offsets are summed on the way to the root, again by doubling. What points to a
+    message that very many point to is dealt out.
+    """
     own, to = F.struct("conv_id", "turn"), F.struct(F.col("to_conv").alias("conv_id"), F.col("to_turn").alias("turn"))
-    at = nodes.select(own.alias("node"), F.when(F.col("to_conv").isNotNull(), to).otherwise(own).alias("root"), F.col("to_conv").isNotNull().cast("long").alias("steps"))
-    at = written(at.withColumn("greatest", F.greatest("node", "root")), "reply-roots")
-    while True:
-        up = at.select(F.col("node").alias("root"), F.col("root").alias("up_root"), F.col("steps").alias("up_steps"), F.col("greatest").alias("up_greatest"))
-        further = spread_join(at, up, "root", "node")
-        moved = further.select("node", F.col("up_root").alias("root"), (F.col("steps") + F.col("up_steps")).alias("steps"), F.greatest("greatest", "up_greatest").alias("greatest"), (F.col("up_steps") > 0).alias("moved"))
-        then = written(moved, "reply-roots", at)
-        if not then.where("moved").limit(1).count():
-            return then.select("node.conv_id", "node.turn", F.col("root.conv_id").alias("root_conv"), F.col("root.turn").alias("root_turn"), "steps", "greatest")
-        at = then.drop("moved")
-        at.written_to = then.written_to
+    answers = F.col("to_conv").isNotNull()
+    at = written(nodes.select(own.alias("node"), F.when(answers, to).otherwise(own).alias("root"), answers.cast("long").alias("steps"), F.lit(1).cast("long").alias("below")), "threads")
+    replies, reach, moved = at.where("steps > 0").select("node", F.col("root").alias("to")), 1, True
+    first = at
+    while moved:
+        gains = at.where(F.col("steps") == reach).groupBy(F.col("root").alias("node")).agg(F.sum("below").alias("gain"))
+        up = at.select(F.col("node").alias("root"), F.col("root").alias("up_root"), F.col("steps").alias("up_steps"))
+        further = spread_join(at.join(gains, "node", "left"), up, "root", "node")
+        then = further.select("node", F.col("up_root").alias("root"), (F.col("steps") + F.col("up_steps")).alias("steps"), (F.col("below") + F.coalesce("gain", F.lit(0))).alias("below"), (F.col("up_steps") > 0).alias("moved"))
+        at = written(then, "threads", *([] if at is first else [at]))
+        moved, reach = bool(at.where("moved").limit(1).count()), 2 * reach
+    deepest = at.agg(F.max("steps")).first()[0] or 0
+    sized = replies.join(at.select("node", "below"), "node")
+    offsets = running(sized, ["to"], ["node"], "below", "before").select("node", F.col("to").alias("up"), (F.col("before") + 1).alias("preorder"))
+    place = written(offsets.unionByName(at.where("steps = 0").select("node", F.col("node").alias("up"), F.lit(0).cast("long").alias("preorder"))), "thread-places", first)
+    reach = 1
+    while reach < deepest:
+        above = place.select(F.col("node").alias("up"), F.col("up").alias("up_up"), F.col("preorder").alias("more"))
+        further = spread_join(place, above, "up", "node")
+        place = written(further.select("node", F.col("up_up").alias("up"), (F.col("preorder") + F.col("more")).alias("preorder")), "thread-places", place)
+        reach *= 2
+    return at.select("node", "root", "steps").join(place.select("node", "preorder"), "node")
 
 
 def link(messages: DataFrame) -> DataFrame:
@@ -150,11 +166,11 @@ def link(messages: DataFrame) -> DataFrame:
         F.when(linked, F.col("to_turn")).when(~opens, F.col("opens")).alias("to_turn"),
     )
     nodes = _without_cycles(written(nodes, "replies"))
-    threads = nodes.join(_roots(nodes), ["conv_id", "turn"])
-    threads = threads.select("conv_id", "turn", "linked", F.col("to_conv").alias("reply_conv"), F.col("to_turn").alias("reply_turn"), F.col("root_conv").alias("thread_conv"), F.col("root_turn").alias("thread_turn"), F.col("steps").alias("reply_level"), "greatest")
     place = F.struct("conv_id", "turn").alias("place")
-    found = spread_join(parsed.drop("lines").select("*", place), threads.select(place, *threads.columns[2:]), "place", "row", "left").drop("place")
-    inside = numbered(found.where("thread_conv is not null"), ["thread_conv", "thread_turn"], ["greatest", "reply_level", "conv_id", "turn", "row"], "position")
+    threads = nodes.select(place, "linked", F.col("to_conv").alias("reply_conv"), F.col("to_turn").alias("reply_turn")).join(_threads(nodes).withColumnRenamed("node", "place"), "place")
+    threads = threads.select("place", "linked", "reply_conv", "reply_turn", F.col("root.conv_id").alias("thread_conv"), F.col("root.turn").alias("thread_turn"), F.col("steps").alias("reply_level"), "preorder")
+    found = spread_join(parsed.drop("lines").select("*", place), threads, "place", "row", "left").drop("place")
+    inside = numbered(found.where("thread_conv is not null"), ["thread_conv", "thread_turn"], ["preorder", "row"], "position")
     out = inside.unionByName(found.where("thread_conv is null"), allowMissingColumns=True)
     columns = ("conv_id", "turn", "role", "own_text", "quoted_lines", "max_level", "linked", "reply_conv", "reply_turn", "thread_conv", "thread_turn", "reply_level", "position")
     return out.select(*columns)

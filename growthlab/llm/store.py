@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: A key with more rows than this, and than a HOT_SHARE-th of all, is dealt out over several tasks in a join.
 HOT_ROWS, HOT_SHARE = 1000, 10_000
+#: Bits of the bitmap of keys that all executors get, and of a page of it.
+BITMAP_BITS, PAGE_BITS = 1 << 26, 1 << 15
 #: Bytes of text that a Python worker takes from a batch at once.
 SLICE_BYTES = 4_000_000
 
@@ -82,6 +84,23 @@ def spread_join(many: DataFrame, one: DataFrame, key: str, deal_by: str, how: st
     return dealt_join(many, one, key, deal_by, hot_parts(counts, key), how)
 
 
+def possibly(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the rows whose key may be one of keys, the others): a row whose key is one of them is never among the others, as is a null key always.
+
+    keys has a column of that name. They are hashed into a bitmap of BITMAP_BITS, 8 MB whatever there is, which all executors get. So rows
+    that a join would drop, or leave as they are, needn't be shuffled for it. The more keys, the fuller the bitmap: far beyond its
+    bits all rows may be among them, and the join that follows decides alone.
+    """
+    place = lambda c: F.pmod(F.xxhash64(F.lit(17), F.col(c)), F.lit(BITMAP_BITS))
+    bits = keys.where(F.col(key).isNotNull()).select(place(key).alias("p")).groupBy(F.floor(F.col("p") / PAGE_BITS).alias("_page"))
+    pages = written(bits.agg(F.expr(f"bitmap_construct_agg(p % {PAGE_BITS})").alias("_bits")), "key-bitmap")  # 4 KB a page
+    at = F.col("_p") % PAGE_BITS
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = rows.withColumn("_p", place(key)).withColumn("_page", F.floor(F.col("_p") / PAGE_BITS)).join(F.broadcast(pages), "_page", "left")
+    maybe = F.coalesce(F.col(key).isNotNull() & (F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(1) == 1), F.lit(False))
+    return tuple(found.where(c).select(*rows.columns) for c in (maybe, ~maybe))
+
+
 def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
     """rows with ``name``: the place from 0 within equal keys, in the order given; rows that tie have any order.
 
@@ -100,6 +119,20 @@ def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str) -> D
     return spread_join(whole, first, "_whole", "_at").withColumn(name, F.col("_at") - F.col("_first")).select(*rows.columns, name)
 
 
+def running(rows: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """rows with ``name``: the sum of a value (none below 0) of the rows before it within equal keys, in the order given, in which
+    no rows tie. As in ``numbered``, a sort by range deals any key out over tasks."""
+    sorted_ = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_id", F.monotonically_increasing_id())
+    sorted_ = written(sorted_, "in-order").withColumn("_task", F.shiftright("_id", 33))
+    so_far = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sorted_.groupBy("_task").agg(F.sum(value).alias("_n"))  # a row for each task of the sort
+    starts = sums.select("_task", so_far(Window.orderBy("_task")).alias("_before"))
+    placed = sorted_.withColumn("_n", F.col(value)).withColumn("_in", so_far(Window.partitionBy("_task").orderBy("_id"))).join(F.broadcast(starts), "_task")
+    whole = placed.select(*rows.columns, (F.col("_before") + F.col("_in")).alias("_at"), F.struct(*keys).alias("_whole"))
+    first = whole.groupBy("_whole").agg(F.min("_at").alias("_first"))
+    return spread_join(whole, first, "_whole", "_at").withColumn(name, F.col("_at") - F.col("_first")).select(*rows.columns, name)
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of batches in turn, in parts of about so many bytes of text: one row at least."""
     for batch in batches:

@@ -127,3 +127,28 @@ def test_many_messages_against_sql(spark):
     got = quotes.link(table(spark, rows))
     assert got.where("linked").count() > 2000 and got.agg({"max_level": "max"}).first()[0] >= 3
     compare_rows(spark, got, queries.ORACLE_SQL["op4_quotation_linking"], conversations=table(spark, rows))
+
+
+def test_depth_first(spark, monkeypatch):
+    """A message, then each reply with its whole branch; in a deep chain, with one message that many answer, and repeated rows."""
+    monkeypatch.setattr(store, "HOT_ROWS", 20)
+    rows = [(0, 0, "user", "opening words"), *((1, t, "user", f"> {'opening words' if t == 0 else f'link {t - 1}'}\nlink {t}") for t in range(100)), *((2 + n, 0, "user", f"> opening words\nanswer {n}") for n in range(150)), *((200 + n, 0, "user", f"> answer {n}\nsecond {n}") for n in range(0, 150, 3)), (1, 50, "user", "again")]
+    got = quotes.link(table(spark, rows)).collect()
+    children = {}
+    for r in got:
+        if r["reply_conv"] is not None:
+            children.setdefault((r["reply_conv"], r["reply_turn"]), set()).add((r["conv_id"], r["turn"]))
+    order, stack = [], [(0, 0)]
+    while stack:
+        order.append(stack.pop())
+        stack += sorted(children.get(order[-1], ()), reverse=True)
+    placed = [p for p in order for _ in range(2 if p == (1, 50) else 1)]
+    assert [(r["conv_id"], r["turn"]) for r in sorted(got, key=lambda r: r["position"])] == placed and len(placed) == len(rows)
+    assert max(r["reply_level"] for r in got) == 100
+
+
+def test_running(spark):
+    rng = random.Random(3)
+    rows = [(rng.randrange(4), n, rng.randrange(5)) for n in range(500)]
+    got = store.running(spark.createDataFrame(rows, "k int, o int, v long").repartition(5), ["k"], ["o"], "v", "before").collect()
+    assert {(r["k"], r["o"]): r["before"] for r in got} == {(k, o): sum(v for x, y, v in rows if x == k and y < o) for k, o, _ in rows}
