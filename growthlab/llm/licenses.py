@@ -7,8 +7,8 @@ one diagonal; one with a few words added or lost has them on neighbouring diagon
 A span is verified by its share of the template's windows and by its length. Notices of related licenses
 differ in a word or two, so of verified notices that overlap the one with the largest share stays.
 
-Templates are a small fixed table, so they are broadcast whatever the corpus; the texts are never
-shuffled, only one row for each text and one for each hit.
+The templates here are a small fixed table, so they are broadcast whatever the corpus; the texts are never
+shuffled, only one row for each text and one for each hit. Templates of more than BROADCAST_WORDS are joined by a shuffle.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ K = 3
 MAX_SHIFT = 2
 #: Least share of a template's windows in a verified span, and its greatest length in template lengths.
 LEAST_SHARE, MAX_STRETCH = 0.8, 1.5
-#: Most words in the templates together: what is sent to every executor.
-MAX_TEMPLATE_WORDS = 100_000
+#: Templates of so many words together are sent to every executor; more are joined by a shuffle of the windows.
+BROADCAST_WORDS = 100_000
 #: Overlapping spans meet in stretches of so many words.
 STRETCH = 64
 
@@ -77,8 +77,6 @@ def windows(words: str) -> Column:
 
 def template_windows(spark: SparkSession, phrases=PHRASES, notices=NOTICES) -> DataFrame:
     """hash, window, template, label, base, grams (windows of the template), t (the window's place)."""
-    if sum(len(p.split()) for _, p in (*phrases, *notices)) > MAX_TEMPLATE_WORDS:
-        raise ValueError(f"templates of more than {MAX_TEMPLATE_WORDS} words")
     rows = []
     for n, (label, phrase) in enumerate((*phrases, *notices)):
         own = phrase.split()
@@ -111,7 +109,9 @@ def scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES) -> tuple[DataFrame,
     split = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words("text").alias("words"))
     rolled = split.select("row", "doc_id", F.size("words").alias("n_words"), F.posexplode_outer(windows("words")).alias("p", "window"))
     hashed = rolled.withColumn("hash", F.xxhash64("window"))
-    template = F.broadcast(template_windows(docs.sparkSession, phrases, notices))
+    template = template_windows(docs.sparkSession, phrases, notices)
+    if sum(len(p.split()) for _, p in (*phrases, *notices)) <= BROADCAST_WORDS:
+        template = F.broadcast(template)
     joined = hashed.join(template, ["hash", "window"], "left")
     found = written(joined.where("t is not null or p = 0 or p is null").drop("hash", "window"), "license-hits")
 

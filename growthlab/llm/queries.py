@@ -169,8 +169,13 @@ h AS (SELECT doc_id, template, label, base, grams, t, p, p - t AS diagonal FROM
 diagonals AS (SELECT DISTINCT doc_id, template, base, diagonal FROM h),
 starts AS (SELECT *, CASE WHEN base OR coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > {licenses.MAX_SHIFT}, true) THEN 1 ELSE 0 END AS starts FROM diagonals),
 spans AS (SELECT doc_id, template, diagonal, sum(starts) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM starts),
-judged AS (SELECT doc_id, label, base, min(p) AS first, max(p) + {k} - min(p) AS length, count(DISTINCT t) / grams AS share, grams FROM h JOIN spans USING (doc_id, template, diagonal) GROUP BY doc_id, template, label, base, grams, span),
-good AS (SELECT * FROM judged WHERE CASE WHEN base THEN share = 1 ELSE share >= {licenses.LEAST_SHARE} AND length <= {licenses.MAX_STRETCH} * (grams + {k - 1}) END),
+judged AS (SELECT doc_id, template, span, label, base, min(p) AS first, max(p) + {k} - min(p) AS length, count(DISTINCT t) AS hits, count(DISTINCT t) / grams AS share, grams FROM h JOIN spans USING (doc_id, template, diagonal) GROUP BY doc_id, template, label, base, grams, span),
+verified AS (SELECT * FROM judged WHERE CASE WHEN base THEN share = 1 ELSE share >= {licenses.LEAST_SHARE} AND length <= {licenses.MAX_STRETCH} * (grams + {k - 1}) END),
+good AS (
+  SELECT * FROM verified n WHERE base OR NOT EXISTS (
+    SELECT 1 FROM verified r WHERE NOT r.base AND r.doc_id = n.doc_id AND r.label <> n.label AND n.first < r.first + r.length AND r.first < n.first + n.length AND (r.share > n.share OR r.share = n.share AND r.hits > n.hits)
+  )
+),
 own AS (
   SELECT doc_id, count(*) FILTER (base) AS n_base, min(first) FILTER (base) AS first_word, max(first) FILTER (base) AS last_word, max(share) AS score,
     array_to_string(list_sort(list_distinct(coalesce(list(label) FILTER (base), []))), ',') AS base_labels, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels

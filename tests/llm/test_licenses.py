@@ -76,6 +76,16 @@ def test_against_sql(spark, table):
     compare_rows(spark, licenses.label(table), queries.ORACLE_SQL["op10_license_diagonals"], documents=table.select("doc_id", "text"))
 
 
+def test_related_licenses_against_sql(spark, monkeypatch):
+    """The SQL chooses among overlapping notices as the operator does; templates too large to be sent are joined by a shuffle."""
+    texts = [HEADER.format(w, n, v) for w, n, v in (("program", "General Public License", "2"), ("program", "Affero General Public License", "3"), ("library", "Lesser General Public License", "2.1"))]
+    texts += ["Licensed under the GNU General Public License, version 2 and the GNU Lesser General Public License version 3. Apache License, Version 2.0, under the MIT license"]
+    small = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "doc_id long, text string")
+    compare_rows(spark, licenses.label(small), queries.ORACLE_SQL["op10_license_diagonals"], documents=small)
+    monkeypatch.setattr(licenses, "BROADCAST_WORDS", 10)
+    compare_rows(spark, licenses.label(small), queries.ORACLE_SQL["op10_license_diagonals"], documents=small)
+
+
 def test_repeated_rows(table):
     twice = table.unionByName(table)
     assert licenses.label(twice).count() == 2 * len(TEXTS)
