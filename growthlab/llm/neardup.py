@@ -20,6 +20,7 @@ out over several tasks in every join (``spread_join``).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from growthlab.llm.store import give_back, remove, slices, spread_join, written
+from growthlab.llm.store import give_back, possibly, remove, slices, spread_join, written
 
 BUCKETS = 256
 MANTISSA = 10
@@ -179,7 +180,8 @@ def _sets(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
         give_back()
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").join(needed, "doc_id", "left_semi").mapInArrow(each, f"id {id_type}, set array<long>")
+    maybe, _ = possibly(docs.select("doc_id", "text"), "doc_id", needed)
+    return maybe.join(needed, "doc_id", "left_semi").mapInArrow(each, f"id {id_type}, set array<long>")
 
 
 def _with_sides(pairs: DataFrame, sides: DataFrame, how: str = "inner") -> DataFrame:
@@ -224,10 +226,16 @@ def _edges(found: DataFrame) -> DataFrame:
     return found.select(F.col("component").alias("a"), F.col("node").alias("b"))
 
 
+def _size_class(n: Column) -> Column:
+    """Sizes within a tenth of each other, or in the next class."""
+    return F.floor(F.log(n) / math.log(1.1)).cast("int")
+
+
 def _rest(others: DataFrame, sets: DataFrame, least_percent: int) -> DataFrame:
     """Pairs (a, b) that may be links between different components of a bucket. others: key, rep, n, component.
 
-    A link needs a common shingle among the rarest of both sets, at places that leave room for the overlap.
+    A link needs a common shingle among the rarest of both sets, at places that leave room for the overlap: such a place bounds the
+    other set's size, so members are looked up by shingle and class of sizes, and where no size is possible not at all.
     Members outside the largest component of a bucket are looked up with such shingles among all its
     members: the many that differ too much have no rare shingle in common, and are never paired.
     """
@@ -242,10 +250,13 @@ def _rest(others: DataFrame, sets: DataFrame, least_percent: int) -> DataFrame:
     own = placed.join(apart, F.col("id") == F.col("rep")).withColumn("place", F.col("n") - F.col("size") + F.col("i"))  # a token of its own comes first
     own = own.where(100 * (F.col("n") - F.col("place")) >= least_percent * F.col("n"))
     own = written(own.select("token", "rep", "n", "component", "odd", "place"), "apart-prefixes", tokens, number)
-    side = lambda df, c: df.select("token", *(F.col(x).alias(f"{x}_{c}") for x in ("rep", "n", "component", "place")))
+    least, most = F.ceil(least_percent * F.col("n") / 100), F.floor((100 + least_percent) * (F.col("n") - F.col("place")) / least_percent) - F.col("n")
+    side = lambda df, c: df.select("token", "class", *(F.col(x).alias(f"{x}_{c}") for x in ("rep", "n", "component", "place")))
     overlap = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
     room = (100 + least_percent) * overlap >= least_percent * (F.col("n_x") + F.col("n_y"))
-    pairs = side(own.where("odd"), "x").join(side(own, "y"), "token").where((F.col("component_x") != F.col("component_y")) & room)
+    odd = own.where(F.col("odd") & (least <= most)).withColumn("class", F.explode(F.sequence(_size_class(least), _size_class(most))))
+    all_ = own.where(least <= most).withColumn("class", _size_class(F.col("n")))
+    pairs = side(odd, "x").join(side(all_, "y"), ["token", "class"]).where((F.col("component_x") != F.col("component_y")) & room)
     return written(pairs.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct(), "apart-pairs", own, apart)
 
 
@@ -271,12 +282,15 @@ def groups(docs: DataFrame, size: int = SHINGLE, least_percent: int = LEAST_PERC
     bands = classes.select("rep", "n", F.explode(key).alias("key"))
     shared = written(bands.groupBy("key").agg(number).where("n > 1"), "shared-bands")
     met = F.sum("members").over(Window.partitionBy("rep"))  # BANDS rows at most
-    members = written(spread_join(bands, shared.withColumnRenamed("n", "members"), "key", "rep", counts=shared).withColumn("met", met), "members")
+    maybe, _ = possibly(bands, "key", shared)
+    members = written(spread_join(maybe, shared.withColumnRenamed("n", "members"), "key", "rep", counts=shared).withColumn("met", met), "members")
+    met_reps = written(members.select(F.col("rep").alias("doc_id")).distinct(), "met")
+    sketched = written(possibly(classes.select("rep", "n", "registers"), "rep", members)[0], "met-classes", classes)
     centres = members.groupBy("key").agg(F.max(F.struct("met", F.xxhash64("rep").alias("place"), "rep", "n")).alias("centre"))
     stars = spread_join(members, centres, "key", "rep", counts=shared).where((F.col("rep") != F.col("centre.rep")) & _similar_size(F.col("n"), F.col("centre.n"), least_percent))
     pairs = written(stars.select(F.least("rep", "centre.rep").alias("a"), F.greatest("rep", "centre.rep").alias("b"), "members").groupBy("a", "b").agg(F.max("members").alias("most")), "pairs")
-    sets = written(_sets(docs, members.select(F.col("rep").alias("doc_id")).distinct(), size), "sets")
-    likely = written(_likely(pairs, classes, least_percent), "likely-pairs", pairs, shared)
+    sets = written(_sets(docs, met_reps, size), "sets")
+    likely = written(_likely(pairs, sketched, least_percent), "likely-pairs", pairs, shared, met_reps)
     split = at.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")  # ids with several texts
     best = written(_best(likely), "best-pairs")
     found = components(written(_verified(best, sets, least_percent), "links", best).unionByName(split))
@@ -286,8 +300,8 @@ def groups(docs: DataFrame, size: int = SHINGLE, least_percent: int = LEAST_PERC
     others = members.where("members > 2").join(found, F.col("rep") == F.col("node"), "left")
     others = written(others.select("key", "rep", "n", F.coalesce("component", "rep").alias("component")), "others", members)
     rest = _rest(others, sets, least_percent)
-    rest = written(_likely(rest.withColumn("most", F.lit(0)), classes, least_percent), "likely-rest", rest, others)
-    final = _joined(found, written(_verified(rest, sets, least_percent), "links", classes, rest))
+    rest = written(_likely(rest.withColumn("most", F.lit(0)), sketched, least_percent), "likely-rest", rest, others)
+    final = _joined(found, written(_verified(rest, sets, least_percent), "links", sketched, rest))
     remove(sets)
 
     out = spread_join(at, final.withColumnRenamed("node", "rep"), "rep", "doc_id", "left")
@@ -303,12 +317,13 @@ def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame, size: int = SHINGLE, least_percent: int = LEAST_PERCENT) -> DataFrame:
     """The rows of docs, with their columns as they are, of which one for each group of near-duplicates stays:
     that of the least id. Of rows with that id one stays; rows without an id stay."""
-    judged = groups(docs, size, least_percent).where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows"))
-    stay = written(judged.where("_kept").drop("_kept"), "stay")
+    judged = groups(docs, size, least_percent).where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("n"))
+    touched = written(judged.where("not _kept or n > 1"), "touched")  # all other rows stay as they are, and where they are
     row = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"))  # no name can clash
-    found = spread_join(row, stay, "_id", "_row", counts=stay.withColumnRenamed("_rows", "n"))
-    once = found.where("_rows = 1").select("_row")
-    if stay.where("_rows > 1").limit(1).count():  # the text of a repeated id is only read where there is one
-        first = found.where("_rows > 1").groupBy("_id").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    maybe, stay = possibly(row, "_id", touched)
+    found = spread_join(maybe, touched.withColumnRenamed("n", "_rows"), "_id", "_row", "left", touched)
+    once = stay.unionByName(found.where("_rows is null").select("_row", "_id")).select("_row")
+    if touched.where("_kept").limit(1).count():  # the text of a repeated id is only read where there is one
+        first = found.where("_kept").groupBy("_id").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
         once = once.unionByName(first.select("_row"))
-    return once.select("_row.*").unionByName(docs.where("doc_id is null"))
+    return once.select("_row.*")

@@ -132,3 +132,44 @@ def test_chance_of_disjoint_sets(n, m):
         agree += int((r == s).sum())
     expected = float(neardup.chance(np.array([n]), np.array([m]))[0]) * trials * neardup.BUCKETS
     assert abs(agree - expected) < 5 * expected**0.5
+
+
+def test_families_of_a_template(spark, monkeypatch):
+    """Short texts of one template, no two of them links: few pairs are estimated, however many there are."""
+    seen = {}
+    real = neardup._likely
+
+    def counted(pairs, *more):
+        seen["pairs"] = seen.get("pairs", 0) + pairs.count()
+        return real(pairs, *more)
+
+    monkeypatch.setattr(neardup, "_likely", counted)
+    rng = random.Random(11)
+    words = [f"w{n}" for n in range(60)]
+    for n in (500, 2000):
+        rows = []
+        for k in range(n):
+            own = list(words)
+            for place in rng.sample(range(60), 8):
+                own[place] = f"own{k}-{place}"
+            rows.append((k, " ".join(own)))
+        seen.clear()
+        got = neardup.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+        assert {r["component_id"] for r in got} == set(range(n))
+        assert seen["pairs"] < 60 * n, (n, seen)
+
+
+def test_possibly(spark):
+    rows = spark.range(20_000).selectExpr("if(id = 7, null, id) AS k", "id AS v", "'x' AS _page")
+    keys = spark.range(0, 20_000, 100).selectExpr("id AS k")
+    maybe, others = store.possibly(rows.select("k", "v"), "k", keys)
+    found, left = {r["k"] for r in maybe.collect()}, {r["k"] for r in others.collect()}
+    assert found >= set(range(0, 20_000, 100)) and len(found) < 230 and found | left == {None, *range(20_000)} - {7} and not found & left
+    assert [x.count() for x in store.possibly(rows.select("k", "v"), "k", keys.limit(0))] == [0, 20_000]
+    monkey = store.BITMAP_BITS
+    try:
+        store.BITMAP_BITS = store.PAGE_BITS  # full
+        maybe, others = store.possibly(rows.select("k", "v"), "k", spark.range(1_000_000).selectExpr("id AS k"))
+        assert (maybe.count(), others.count()) == (19_999, 1)
+    finally:
+        store.BITMAP_BITS = monkey
