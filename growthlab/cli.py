@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import argparse
 from collections.abc import Sequence
+from glob import glob
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from growthlab import functions as G
+from growthlab.sources.files import has_scheme
 
 
 def _workbook(text: str) -> str:
@@ -18,7 +20,7 @@ def _workbook(text: str) -> str:
         raise argparse.ArgumentTypeError("a path is needed")
     if Path(path).suffix.lower() != ".xlsx":
         raise argparse.ArgumentTypeError("an .xlsx workbook is needed; save one in the old format .xls as .xlsx")
-    if "://" not in path and not Path(path).exists():
+    if not has_scheme(path) and not glob(path):
         raise argparse.ArgumentTypeError(f"no file {path}")
     return path
 
@@ -32,7 +34,7 @@ def _parser() -> argparse.ArgumentParser:
     one = commands.add_parser("annotate", help="volumes beside the rows of a workbook")
     one.add_argument("path", type=_workbook)
     one.add_argument("--dialect", choices=("day04", "day02"), default="day04")
-    one = commands.add_parser("growth", help="longitudinal analysis of a workbook")
+    one = commands.add_parser("growth", help="longitudinal analysis of a workbook, or of all that a quoted pattern names")
     one.add_argument("path", type=_workbook)
     one.add_argument("--output-dir", default="output")
     one.add_argument("--on-zero-baseline", choices=("error", "issue"), default="error")

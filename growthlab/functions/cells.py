@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Text that counts as a number. Spark's own cast also takes a type suffix, as in 12d.
 NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+#: Of those, whole numbers that are exact beyond a double's 53 bits.
+WHOLE = r"^[+-]?[0-9]{1,18}$"
 INFINITE = r"(?i)^[+-]?inf(inity)?$"
 
 
@@ -28,15 +30,14 @@ def number(text: Column) -> Column:
 def normalized_id(value: Column) -> Column:
     """28, 28.0, "28" and "028" are one id, 28; other numbers are written as doubles, other text is trimmed."""
     text = F.trim(value.cast("string"))
-    x = F.when(text.rlike(NUMBER), text.try_cast("double"))
+    x = text.try_cast("double")
     whole = (F.floor(x) == x) & (F.abs(x) < 2.0**63)
-    digits = F.regexp_extract(text, r"^\+?(-?[0-9]{1,18})$", 1)  # exact beyond a double's 53 bits
-    return (
+    return (  # in this order most ids cost one search
         F.when(value.cast("string").isNull() | (text == "NaN"), F.lit(None))
-        .when(digits != "", digits.try_cast("bigint").cast("string"))
+        .when(text.rlike(WHOLE), text.try_cast("bigint").cast("string"))
+        .when(~text.rlike(NUMBER), text)
         .when(whole, x.try_cast("bigint").cast("string"))
-        .when(x.isNotNull(), x.cast("string"))
-        .otherwise(text)
+        .otherwise(x.cast("string"))
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from growthlab.functions import normalized_id
-from growthlab.operators import annotate_volume, clean_wide, day_columns, exclude_by_book, general_summary, growth_and_errors, outcomes_from_wide, responder_tv_summary_from_wide, response_summary, to_long
+from growthlab.operators import annotate_volume, clean_wide, day_columns, exclude, exclude_by_book, general_summary, growth_and_errors, outcomes_from_wide, responder_tv_summary_from_wide, response_summary, to_long
 from growthlab.plans.experiment import ExperimentConfig, excluded_by_book, experiment_of, settings_of_books, with_thresholds
 from growthlab.sources import SheetNotFound, annotated_path, bar_chart, line_chart, read_rows, read_sheet, within, write_annotated, write_report, write_text
 
@@ -50,26 +50,33 @@ def read_experiments(spark: SparkSession, path: str) -> DataFrame:
     return settings_of_books(read_rows(spark, path, EXPERIMENT_SHEET, optional=True))
 
 
-def read_growth(spark: SparkSession, path: str) -> tuple[DataFrame, list[int], ExperimentConfig]:
-    """(clean wide rows, days, settings) of a workbook. The headers of sheet TV stand in its second row."""
-    sheet, config = read_sheet(spark, path, TV_SHEET, header_row=2), read_experiment(spark, path)
+def _wide(spark: SparkSession, path: str) -> tuple[DataFrame, list[int]]:
+    """(clean wide rows, days); the headers of sheet TV stand in its second row."""
+    sheet = read_sheet(spark, path, TV_SHEET, header_row=2)
     days = day_columns(sheet.headers, sheet.names)
-    ids = [(x,) for x in config.excluded]
-    excluded = [r["id"] for r in spark.createDataFrame(ids, "id string").select(normalized_id(F.col("id")).alias("id")).collect()] if ids else []
-    return clean_wide(sheet.df, days, excluded), [d for d, _ in days], config
+    return clean_wide(sheet.df, days), [d for d, _ in days]
+
+
+def _without_excluded(wide: DataFrame, config: ExperimentConfig) -> DataFrame:
+    ids = wide.sparkSession.createDataFrame([(x,) for x in config.excluded], "id string")
+    return exclude(wide, [r["id"] for r in ids.select(normalized_id(F.col("id")).alias("id")).collect()]) if config.excluded else wide
+
+
+def read_growth(spark: SparkSession, path: str) -> tuple[DataFrame, list[int], ExperimentConfig]:
+    """(clean wide rows, days, settings) of a workbook."""
+    (wide, days), config = _wide(spark, path), read_experiment(spark, path)
+    return _without_excluded(wide, config), days, config
 
 
 def read_growths(spark: SparkSession, path: str) -> tuple[DataFrame, list[int]]:
     """(clean wide rows with the column threshold, days) of the workbooks at path, each of which has its own settings: its
     exclusions have left its rows, and its threshold stands beside them. Of several workbooks _path tells rows apart."""
-    sheet = read_sheet(spark, path, TV_SHEET, header_row=2)
-    days = day_columns(sheet.headers, sheet.names)
-    wide = clean_wide(sheet.df, days)
+    wide, days = _wide(spark, path)
     if "_path" in wide.columns:
         config = read_experiments(spark, path)
-        return with_thresholds(exclude_by_book(wide, excluded_by_book(config)), config), [d for d, _ in days]
-    wide, _, config = read_growth(spark, path)
-    return wide.withColumn("threshold", F.lit(float(config.threshold))), [d for d, _ in days]
+        return with_thresholds(exclude_by_book(wide, excluded_by_book(config)), config), days
+    config = read_experiment(spark, path)
+    return _without_excluded(wide, config).withColumn("threshold", F.lit(float(config.threshold))), days
 
 
 def tables(wide: DataFrame, days: list[int], threshold: float | Column, on_zero_baseline: str = "error") -> dict[str, DataFrame]:

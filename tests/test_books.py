@@ -9,6 +9,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from growthlab import operators as O
+from growthlab.cli import main
 from growthlab.plans import analyze, annotate_workbook, read_experiments, read_growths, tables
 from growthlab.sources import Tab, annotated_path, read_sheet, sheet_names, within, write_text, write_workbook, write_xlsx
 
@@ -193,3 +194,12 @@ def test_caches_are_released(spark, tmp_path, monkeypatch):
 def test_tables_of_a_wide_sheet(spark):
     wide = spark.createDataFrame([(0, "A", "1", 100.0, 120.0)], "_row long, grp string, mouse string, `0` double, `3` double")
     assert {name: df.count() for name, df in tables(wide, [0, 3], 50.0).items()} == {"general_summary": 2, "growth": 1, "response_summary": 1, "responder_tv_summary": 2, "errors": 0}
+
+
+def test_command_line_takes_a_pattern(spark, tmp_path, capsys):
+    for name in "ab":
+        book(tmp_path, name)
+    assert main(["growth", str(tmp_path / "*.xlsx"), "--output-dir", str(tmp_path / "out")]) == 0
+    assert "num_mice_analyzed: 4" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        main(["growth", str(tmp_path / "none*.xlsx")])
