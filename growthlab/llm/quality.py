@@ -180,6 +180,13 @@ def _distance2(prefix: str, estimate: str) -> Column:
     return F.expr("greatest(" + " + ".join(f"{1 if i == j else 2} * {away[i]} * {away[j]} * {estimate}inverse[{5 * i + j}]" for i, j in _PAIRS) + ", 0D)")
 
 
+def _main(prefix: str, estimate: str) -> Column:
+    """The name of the statistic with the largest part in the squared distance: its deviation times that of its row of the inverse."""
+    away = [f"({prefix}{s} - {estimate}centre[{i}])" for i, s in enumerate(STATS)]
+    parts = [f"named_struct('part', {away[i]} * ({' + '.join(f'{estimate}inverse[{5 * i + j}] * {away[j]}' for j in range(5))}), 'name', '{s}')" for i, s in enumerate(STATS)]
+    return F.expr(f"array_max(array({', '.join(parts)})).name")
+
+
 _ESTIMATE = "_level int, _key string, rows bigint, centre array<double>, scatter array<double>, logdet double"
 
 
@@ -221,7 +228,7 @@ def judges(estimates: DataFrame) -> DataFrame:
 
 
 def verdicts(rows: DataFrame, estimates: DataFrame, max_distance2: float = MAX_DISTANCE2) -> DataFrame:
-    """rows (lang, source, base_failed and STATS with prefix ``_``) with _distance2 and _kept.
+    """rows (lang, source, base_failed and STATS with prefix ``_``) with _distance2, _main (what it is due to most) and _kept.
 
     A row that failed the base rules is not kept; where nothing could be estimated, no other row is rejected.
     """
@@ -229,7 +236,7 @@ def verdicts(rows: DataFrame, estimates: DataFrame, max_distance2: float = MAX_D
     by_key = found.select(F.col("_key").alias("_own_key"), F.struct("centre", "inverse").alias("_e"))
     counts = found.select(F.col("_key").alias("_own_key"), F.col("rows").alias("n"))
     out = joined_groups(rows.withColumn("_own_key", _keys()[0]), by_key, "_own_key", counts, "left")
-    out = out.withColumn("_distance2", _distance2("_", "_e.")).drop("_e", "_own_key")
+    out = out.withColumns({"_distance2": _distance2("_", "_e."), "_main": _main("_", "_e.")}).drop("_e", "_own_key")
     return out.withColumn("_kept", ~F.col("_base_failed") & (F.coalesce("_distance2", F.lit(0.0)) <= max_distance2))
 
 
@@ -238,14 +245,17 @@ def _fitted(stats: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame, max_distance2: float = MAX_DISTANCE2) -> DataFrame:
-    """doc_id, the five counts, base_failed, distance2 and kept, one row for each row of docs.
+    """doc_id, the five counts, base_failed, distance2, reason and kept, one row for each row of docs.
+
+    reason: "base" for the base rules, or the statistic that a rejection by distance is due to most; empty for what is kept.
 
     Null texts count as empty and fail the base rules. A null lang or source is a group of its own.
     Repeated rows are judged alike. Columns other than doc_id, text, lang and source are not read.
     """
     stats = written(with_statistics(docs.select("doc_id", "lang", "source", "text")).drop("text"), "quality-stats")
     out = verdicts(stats, _fitted(stats), max_distance2)
-    return out.select("doc_id", *(F.col(f"_{c}").alias(c) for c in COUNTS), F.col("_base_failed").alias("base_failed"), F.col("_distance2").alias("distance2"), F.col("_kept").alias("kept"))
+    reason = F.when(F.col("_base_failed"), "base").when(~F.col("_kept"), F.col("_main")).otherwise("")
+    return out.select("doc_id", *(F.col(f"_{c}").alias(c) for c in COUNTS), F.col("_base_failed").alias("base_failed"), F.col("_distance2").alias("distance2"), reason.alias("reason"), F.col("_kept").alias("kept"))
 
 
 def keep(docs: DataFrame, max_distance2: float = MAX_DISTANCE2) -> DataFrame:

@@ -128,6 +128,24 @@ def test_many_junk_copies_in_one_source(spark):
         assert {r["doc_id"] for r in got if r["kept"]} == set(range(300))
 
 
+def test_reasons(spark):
+    """Each rejection names the base rules, or the statistic with the largest part in the distance."""
+    rng = np.random.default_rng(12)
+    rows = [(i, " ".join("".join(rng.choice(list("abcdefgh"), int(rng.integers(3, 8)))) for _ in range(int(rng.integers(80, 400))))) for i in range(300)]
+    rows += [(400, "few words"), (401, " ".join(f"{'z' * 40}{n}" for n in range(100))), (402, " ".join(f"ab{n}$$$" for n in range(100))), (403, " ".join(f"a{n}b" for n in range(60_000)))]
+    table = spark.createDataFrame([(*r, "en", "s") for r in rows], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in quality.judge(table).collect()}
+    assert [got[i]["reason"] for i in (400, 401, 402, 403)] == ["base", "log_word_length", "symbol_root", "log_words"]
+    assert all((r["reason"] == "") == r["kept"] for r in got.values()) and all(got[i]["kept"] for i in range(300))
+    # the parts by numpy
+    stats = {r["doc_id"]: r for r in quality.with_statistics(table).collect()}
+    estimate = quality.judges(quality._fitted(quality.with_statistics(table))).first()
+    inverse = np.array(estimate["inverse"]).reshape(5, 5)
+    for i in (401, 402, 403):
+        away = np.array([stats[i][f"_{s}"] for s in quality.STATS]) - estimate["centre"]
+        assert quality.STATS[int((away * (inverse @ away)).argmax())] == got[i]["reason"] and abs(away @ inverse @ away - got[i]["distance2"]) < 1e-6 * got[i]["distance2"]
+
+
 def test_nothing(nothing):
     assert quality.judge(nothing).collect() == [] and quality.keep(nothing).collect() == []
 
