@@ -87,6 +87,7 @@ def test_long_text_and_pairs(spark):
     whole = {(r["doc_id"], r["n_links"]): r for r in align.align(docs, A, B).collect()}
     text = rows[0][1]
     a, b = _A.encode(" " + text, add_special_tokens=False).ids, _B.encode(text)
+    assert [align.side(path).ids([text])[0].tolist() for path in (A, B)] == [a, b]  # in parts, and by repeated chunks
     long_ = next(r for (i, _), r in whole.items() if i == 1)
     assert (long_["n_a"], long_["n_b"]) == (len(a), len(b)) and long_["n_links"] == len(a) + len(b) - long_["n_groups"]
     pairs = {(r["a"], r["b"]): r["n"] for r in align.linked_pairs(docs, A, B).collect()}
