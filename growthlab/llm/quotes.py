@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from growthlab.llm.store import numbered, running, spread_join, written
+from growthlab.llm.store import numbered, possibly, running, spread_join, written
 
 _MARKS = r"^(?:\s*>)+"
 #: A line that introduces the quote below it.
@@ -58,11 +58,12 @@ def _quotes(parsed: DataFrame) -> DataFrame:
     return both.select("conv_id", "turn", "level", "whole", F.md5("text").alias("hash"), F.size(F.split("text", " ")).alias("words"))
 
 
-def _written_first(parsed: DataFrame) -> DataFrame:
-    """conv_id, hash, turn: the first message of each conversation with a text or line of its own."""
+def _written_first(parsed: DataFrame, quotes: DataFrame) -> DataFrame:
+    """conv_id, hash, turn: the first message of each conversation with a text or line of its own, for those that may be quoted: only
+    they are shuffled."""
     texts = F.array_distinct(F.concat(F.array(normalised(F.regexp_replace("own_text", "\n", " "))), F.transform(F.split("own_text", "\n"), normalised)))
-    hashes = parsed.select("conv_id", "turn", F.explode(F.filter(texts, lambda t: t != "")).alias("text"))
-    return hashes.groupBy("conv_id", F.md5("text").alias("hash")).agg(F.min("turn").alias("turn"))
+    hashes = parsed.select("conv_id", "turn", F.explode(F.filter(texts, lambda t: t != "")).alias("text")).select("conv_id", "turn", F.md5("text").alias("hash"))
+    return possibly(hashes, "hash", quotes)[0].groupBy("conv_id", "hash").agg(F.min("turn").alias("turn"))
 
 
 def _replies(quotes: DataFrame, first: DataFrame) -> DataFrame:
@@ -156,7 +157,8 @@ def link(messages: DataFrame) -> DataFrame:
     """
     parsed = written(_parsed(messages), "messages")
     placed = parsed.where("conv_id is not null and turn is not null")
-    replies = _replies(written(_quotes(placed), "quotes"), written(_written_first(placed), "written-first"))
+    quotes = written(_quotes(placed), "quotes")
+    replies = _replies(quotes, written(_written_first(placed, quotes), "written-first"))
     opening = placed.groupBy("conv_id").agg(F.min("turn").alias("opens"))
     nodes = spread_join(placed.select("conv_id", "turn").distinct().join(replies, ["conv_id", "turn"], "left"), opening, "conv_id", "turn")
     linked, opens = F.col("to_conv").isNotNull(), F.col("turn") == F.col("opens")
