@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from growthlab.llm.store import give_back, written
 
 DEPTH = 4
-BLOCK_BYTES = 32_000_000
+BLOCK_BYTES = 20_000_000
 #: A group is dealt out if it has more codes than a GROUP_SHARE-th of all, with 1000 at least and GROUP_CODES at most.
 GROUP_SHARE, GROUP_CODES = 400, 100_000
 #: The share of texts that is held out: remainder 1 of the id's checksum by 5.
@@ -252,6 +252,7 @@ def _score_block(docs: pa.Table, values: pa.Table, depth: int, tokens: int, dist
     code = values["code"].filter(pa.array(~is_word)).to_numpy()
     order = np.argsort(code)
     code, logp = code[order], count[~is_word][order]
+    del order, count, is_word, words
     n_tokens, n_known, base, score = [], [], [], []
     for a, b in _chunks(texts):
         for text in texts[a:b]:
