@@ -5,7 +5,8 @@ place among the eight, a Krichevsky-Trofimov estimate has its counts; the tree's
 depths. With the counts of the training texts fixed, the probability of a byte after its context is the
 product of eight such mixtures, and a text's score is the sum over its bytes and its end.
 
-Texts are dealt by hash into blocks of about ``BLOCK_BYTES``. A block counts its own words and
+Texts are dealt by hash into blocks of about ``BLOCK_BYTES``; a row that stands in the table again and again, id and
+all, is one row there, with the number of its copies. A block counts its own words and
 (context, byte) codes; the counts are summed over blocks. The deeper levels of the tree are built in groups of codes
 that share the last two bytes of their contexts; a group of very many codes is dealt out by the last three. Nodes for two
 bytes are then summed over groups, and the 65,791 nodes above them on the driver. Then each block gets back the values
@@ -23,10 +24,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from growthlab.llm.store import give_back, written
+from growthlab.llm.store import give_back, possibly, remove, written
 
 DEPTH = 4
 BLOCK_BYTES = 20_000_000
+#: Bytes that a row stands for beside its text, so that empty texts are dealt out too.
+ROW_BYTES = 16
+#: Copies of a row that together are larger than this part of a block are one row of it.
+COPIES_SHARE = 20
+#: Copies of a row that are made anew by one step of a task.
+COPIES_AT_ONCE = 10_000
 #: A group is dealt out if it has more codes than a GROUP_SHARE-th of all, with 1000 at least and GROUP_CODES at most.
 GROUP_SHARE, GROUP_CODES = 400, 100_000
 #: The share of texts that is held out: remainder 1 of the id's checksum by 5.
@@ -90,21 +97,33 @@ def _distinct_codes(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndar
     return found, n
 
 
+def _summed(found: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes of several (codes, numbers, times), and the sums of numbers by times."""
+    if len(found) == 1:
+        own, n, times = found[0]
+        return own, n * times
+    own, inverse = np.unique(np.concatenate([c for c, _, _ in found]), return_inverse=True)
+    n = np.zeros(len(own), np.int64)
+    np.add.at(n, inverse, np.concatenate([k * times for _, k, times in found]))
+    return own, n
+
+
 _COUNTED = "block int, word binary, code long, n long"
 
 
 def _count_block(table: pa.Table, depth: int) -> pa.Table:
     """The block's words (the end of a text: an empty word) and codes, with their numbers in training texts."""
-    texts, out = _lowered(table), table["held_out"].to_pylist()
-    block = table["block"][0].as_py()
+    times = np.where(table["held_out"].to_numpy(), 0, table["copies"].to_numpy()).tolist()
+    texts, block = _lowered(table), table["block"][0].as_py()
     del table  # its texts stand in the list
     words: Counter = Counter()
-    for text, skip in zip(texts, out, strict=True):
+    for text, n in zip(texts, times, strict=True):
         own = text.split()
-        words.update(dict.fromkeys(own, 0) if skip else own)
-        words[b""] += not skip
-    train, n = _distinct_codes([t for t, skip in zip(texts, out, strict=True) if not skip], depth)
-    other = np.setdiff1d(_distinct_codes([t for t, skip in zip(texts, out, strict=True) if skip], depth)[0], train)
+        words.update(own if n == 1 else {w: c * n for w, c in Counter(own).items()})
+        words[b""] += n
+    of = lambda n: [t for t, own in zip(texts, times, strict=True) if own == n]
+    train, n = _summed([(*_distinct_codes(of(n), depth), n) for n in sorted({1, *times} - {0})])
+    other = np.setdiff1d(_distinct_codes(of(0), depth)[0], train)
     rows = len(words) + len(train) + len(other)
     return pa.table(
         {
@@ -239,7 +258,7 @@ def tree(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     return grouped.groupBy("last", "part").cogroup(above.groupBy("last", "part")).applyInArrow(down, "code long, value double")
 
 
-_SCORED = "doc_id {id}, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long"
+_SCORED = "doc_id {id}, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long, copies long"
 
 
 def _score_block(docs: pa.Table, values: pa.Table, depth: int, tokens: int, distinct: int) -> pa.Table:
@@ -265,8 +284,8 @@ def _score_block(docs: pa.Table, values: pa.Table, depth: int, tokens: int, dist
         found, sizes = codes(texts[a:b], depth)
         score.extend(np.add.reduceat(logp[np.searchsorted(code, found)], np.cumsum(sizes) - sizes).tolist())
     return pa.table(
-        [docs["doc_id"], docs["held_out"], pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array([len(t) for t in texts], pa.int64())],
-        ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bytes"],
+        [docs["doc_id"], docs["held_out"], pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array([len(t) for t in texts], pa.int64()), docs["copies"]],
+        ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bytes", "copies"],
     )
 
 
@@ -277,19 +296,41 @@ def _giving_back(block: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
     return lambda left, right: (block(left, right), give_back())[0]
 
 
+def _with_copies(docs: DataFrame, counts: DataFrame, most: int) -> tuple[DataFrame, bool]:
+    """(doc_id, text and copies, whether any may be more than 1). Rows whose copies have more than ``most`` bytes together are one row
+    with their number; any other row may stand as it is. counts: row (the hash of doc_id and text), n and bytes."""
+    hot = counts.where((F.col("n") > 1) & (F.col("bytes") > most)).select("row")
+    if hot.first() is None:
+        return docs.select("doc_id", "text", F.lit(1).cast("long").alias("copies")), False
+    maybe, rest = possibly(docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row")), "row", hot)
+    once = maybe.groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("copies"))  # copies are counted before the shuffle
+    return rest.select("doc_id", "text", F.lit(1).cast("long").alias("copies")).unionByName(once), True
+
+
+def _copied(scored: DataFrame) -> DataFrame:
+    """scored (written), each row as often as its copies say; very many copies of one row are made by several tasks."""
+    many = scored.where("copies > 1").withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(COPIES_AT_ONCE).cast("long"))))
+    dealt = many.repartition("doc_id", "from")
+    upto = F.least(F.col("copies") - F.col("from"), F.lit(COPIES_AT_ONCE)).cast("int")
+    return scored.where("copies = 1").unionByName(dealt.withColumn("from", F.explode(F.array_repeat(F.lit(0), upto))).drop("from"))
+
+
 def score(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of each row of docs.
 
     Both models learn from the rows that aren't held out, with A-Z lower-cased, and score all rows whole. score
     is log10 of the probability of the lower-cased text's bytes and of its end; bits_per_byte the code length
     of those, divided by the bytes and the end. A null text is empty: one token, its end. Repeated rows
-    are learnt from and scored each. Columns other than doc_id and text are not read.
+    are learnt from and scored each, also where one row is any share of the table. Columns other than doc_id and text are not read.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = size // block_bytes + 1
+    of_rows = docs.groupBy(F.xxhash64("doc_id", "text").alias("row")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES).alias("bytes"))
+    counts = written(of_rows, "row-counts")
+    blocks = (counts.select(F.sum("bytes")).first()[0] or 0) // block_bytes + 1
+    rows, copies = _with_copies(docs, counts, block_bytes // COPIES_SHARE)
+    remove(counts)
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
-    texts = docs.select("doc_id", "text", held_out().alias("held_out"), block.alias("block")).repartition(blocks, "block")
+    texts = rows.select("doc_id", "text", "copies", held_out().alias("held_out"), block.alias("block")).repartition(blocks, "block")
     counted = written(texts.groupBy("block").applyInArrow(_giving_back(lambda t: _count_block(t, depth)), _COUNTED), "block-counts")
     words = written(counted.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
     tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
@@ -300,5 +341,7 @@ def score(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -
     code_values = of_codes.select("block", "code").join(model, "code")
     values = word_values.select("block", "word", F.lit(None).cast("long").alias("code"), F.col("n").cast("double").alias("value")).unionByName(code_values.select("block", F.lit(None).cast("binary").alias("word"), "code", "value")).repartition(blocks, "block")
     scored = texts.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(_giving_back(lambda d, v: _score_block(d, v, depth, tokens, distinct)), _SCORED.format(id=id_type))
+    if copies:
+        scored = _copied(written(scored, "scores"))
     bits = -F.col("score") / F.log10(F.lit(2.0)) / (F.col("n_bytes") + 1)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))

@@ -104,6 +104,26 @@ def test_probabilities_sum_to_one():
         assert (10 ** ctw._score_codes(every, levels, [])).sum() == pytest.approx(1)
 
 
+@pytest.mark.parametrize("at_once", [7, 10_000])
+def test_one_row_again_and_again(spark, monkeypatch, at_once):
+    """A row that is a third of the table, learnt from or held out, is one row of a block and scored as often as it stands there."""
+    monkeypatch.setattr(ctw, "COPIES_AT_ONCE", at_once)
+    learnt, kept_out = (next(i for i in range(100, 200) if (zlib.crc32(str(i).encode()) % 5 == 1) == held) for held in (False, True))
+    rows = [(i, f"text {i} abra") for i in range(40)] + [(learnt, "again And again")] * 30 + [(kept_out, "held out")] * 25 + [(None, None)] * 60 + [(7, "same id"), (7, "same id")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    seen = []
+    monkeypatch.setattr(ctw, "_with_copies", lambda d, c, m, own=ctw._with_copies: seen.append(own(d, c, m)) or seen[-1])
+    key = lambda r: (str(r["doc_id"]), r["n_tokens"])
+    got = sorted(ctw.score(table, 3, block_bytes=1000).collect(), key=key)
+    one = seen[0][0].groupBy("doc_id", "text").count().where("text is null or text in ('again And again', 'held out')")
+    assert seen[0][1] and [r["count"] for r in one.collect()] == [1, 1, 1]
+    whole = sorted(ctw.score(table, 3).collect(), key=key)  # no row is large enough there
+    assert not seen[1][1] and len(got) == len(whole) == len(rows)
+    for a, b in zip(got, whole, strict=True):
+        assert a["score"] == pytest.approx(b["score"], rel=1e-9) and a["base_score"] == pytest.approx(b["base_score"], rel=1e-9)
+        assert all(a[c] == b[c] for c in ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens"))
+
+
 def test_lgamma():
     x = np.array([0.5, 1, 1.5, 7.25, 1e3, 1e9])
     assert ctw._lgamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-12, abs=1e-10)
