@@ -1,4 +1,4 @@
-"""Command line: volume, annotate, growth, bmi, dilution."""
+"""Command line: volume, annotate, check, growth, bmi, dilution."""
 
 from __future__ import annotations
 
@@ -34,6 +34,8 @@ def _parser() -> argparse.ArgumentParser:
     one = commands.add_parser("annotate", help="volumes beside the rows of a workbook")
     one.add_argument("path", type=_workbook)
     one.add_argument("--dialect", choices=("day04", "day02"), default="day04")
+    one = commands.add_parser("check", help="which of the workbooks that a quoted pattern names can't be analysed, and why")
+    one.add_argument("path", type=_workbook)
     one = commands.add_parser("growth", help="longitudinal analysis of a workbook, or of all that a quoted pattern names")
     one.add_argument("path", type=_workbook)
     one.add_argument("--output-dir", default="output")
@@ -48,7 +50,7 @@ def _parser() -> argparse.ArgumentParser:
 
 
 def main(argv: Sequence[str] | None = None) -> int:
-    from growthlab.plans import analyze, annotate_workbook
+    from growthlab.plans import analyze, annotate_workbook, sheet_issues
 
     args = _parser().parse_args(argv)
     spark = SparkSession.builder.appName("growthlab").getOrCreate()
@@ -62,6 +64,13 @@ def main(argv: Sequence[str] | None = None) -> int:
     elif args.command == "annotate":
         path, errors = annotate_workbook(spark, args.path, args.dialect)
         print(f"{path}: " + ("one or more errors were found, see the Error column" if errors else "no errors"))
+    elif args.command == "check":
+        wrong = 0
+        for row in sheet_issues(spark, args.path).where("issue is not null").orderBy("_path").toLocalIterator():
+            wrong += 1
+            print(f"{row['_path']}: {row['issue']}")
+        print(f"{wrong} workbooks can't be analysed" if wrong else "all workbooks can be analysed")
+        return int(wrong > 0)
     elif args.command == "growth":
         made = analyze(spark, args.path, args.output_dir, args.on_zero_baseline)
         print("Analysis completed.", *(f"{name}: {value}" for name, value in vars(made).items()), sep="\n")

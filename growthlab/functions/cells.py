@@ -41,6 +41,13 @@ def normalized_id(value: Column) -> Column:
     )
 
 
+def header_day(text: Column, kind: Column) -> Column:
+    """``day_of_column`` of a header's cell, as a column; kind: n for a number. Days beyond 18 digits are none."""
+    x = text.try_cast("double")
+    spelt = F.regexp_extract(F.replace(F.lower(text), F.lit("day"), F.lit("")), r"(?U)^\s*(-?[0-9]{1,18})\s*$", 1)
+    return F.when(kind == "n", F.when(F.abs(x) < 1e18, x.cast("bigint"))).otherwise(spelt.try_cast("bigint"))
+
+
 def day_of_column(name: object) -> int | None:
     """The day that a header names: a number (its whole part), or text such as "3", "Day 3" or "-1"; else None."""
     if isinstance(name, (int, float)) and not isinstance(name, bool):

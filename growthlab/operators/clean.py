@@ -7,9 +7,12 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from growthlab.functions import day_of_column, normalized_id, number
+from growthlab.functions import day_of_column, header_day, normalized_id, number
 
 BASELINE_DAY = 0
+#: The columns that a sheet has beside its days.
+REQUIRED = ("Group", "mouse")
+_NO_BASELINE = "Missing required Day 0 column."
 #: Excluded ids beyond so many are joined and not listed in the filter.
 LISTED_IDS = 1000
 
@@ -28,6 +31,22 @@ def require_columns(df: DataFrame, names: Iterable[str]) -> None:
         raise MissingColumns(f"Missing required columns: {missing}")
 
 
+def header_issues(headers: DataFrame, required: Iterable[str] = REQUIRED) -> DataFrame:
+    """headers with issue in place of cells: why a sheet with such headers can't be analysed, as the analysis itself would say; null if
+    it can. cells: an array of text and kind (n: a number), null where there is no sheet. Any number of sheets is looked at in one
+    pass, and none stops the others."""
+    cells, own = F.col("cells"), [c for c in headers.columns if c != "cells"]
+    there = lambda name: F.coalesce(F.exists(cells, lambda c: c["text"] == name), F.lit(False))
+    missing = F.concat_ws(", ", *(F.when(~there(name), F.lit(repr(name))) for name in sorted(set(required))))
+    baseline = F.coalesce(F.exists(cells, lambda c: header_day(c["text"], c["kind"]) == BASELINE_DAY), F.lit(False))
+    issue = (
+        F.when(cells.isNull(), F.lit("Missing sheet."))
+        .when(missing != "", F.concat(F.lit("Missing required columns: ["), missing, F.lit("]")))
+        .when(~baseline, F.lit(_NO_BASELINE))
+    )
+    return headers.select(*own, issue.alias("issue"))
+
+
 def by_place(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """df with its columns named by their places, and the new name of each old one: names that differ by case only, or that
     an operator uses itself, can't clash. Of columns of the very same name the first is meant."""
@@ -42,7 +61,7 @@ def day_columns(headers: Sequence[object], names: Sequence[str] | None = None) -
     """
     found = {day: name for header, name in zip(headers, names or headers, strict=True) if (day := day_of_column(header)) is not None}
     if BASELINE_DAY not in found:
-        raise GrowthError("Missing required Day 0 column.")
+        raise GrowthError(_NO_BASELINE)
     return sorted(found.items())
 
 
@@ -52,7 +71,7 @@ def clean_wide(df: DataFrame, days: Sequence[tuple[int, str]], excluded: Sequenc
 
     excluded: normalised ids; nulls among them are ignored.
     """
-    require_columns(df, ["Group", "mouse", *(name for _, name in days)])
+    require_columns(df, [*REQUIRED, *(name for _, name in days)])
     placed, at = by_place(df)
     cell = lambda name: F.col(at[name])
     rows = placed.dropna("any", subset=[at["Group"], at["mouse"]])

@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from growthlab.functions import normalized_id
-from growthlab.operators import annotate_volume, clean_wide, day_columns, exclude, exclude_by_book, general_summary, growth_and_errors, outcomes_from_wide, responder_tv_summary_from_wide, response_summary, to_long
+from growthlab.operators import REQUIRED, annotate_volume, clean_wide, day_columns, exclude, exclude_by_book, general_summary, growth_and_errors, header_issues, outcomes_from_wide, require_columns, responder_tv_summary_from_wide, response_summary, to_long
 from growthlab.plans.experiment import ExperimentConfig, excluded_by_book, experiment_of, settings_of_books, with_thresholds
-from growthlab.sources import SheetNotFound, annotated_path, bar_chart, line_chart, read_rows, read_sheet, within, write_annotated, write_report, write_text
+from growthlab.sources import SheetNotFound, annotated_path, bar_chart, line_chart, read_headers, read_rows, read_sheet, within, write_annotated, write_report, write_text
 
 TV_SHEET, EXPERIMENT_SHEET = "TV", "experiment data"
+TV_HEADER_ROW = 2
 #: Most points of a chart: what may come to the driver to be drawn. More are an error.
 MAX_POINTS = 100_000
 
@@ -50,9 +51,15 @@ def read_experiments(spark: SparkSession, path: str) -> DataFrame:
     return settings_of_books(read_rows(spark, path, EXPERIMENT_SHEET, optional=True))
 
 
+def sheet_issues(spark: SparkSession, path: str) -> DataFrame:
+    """_path and issue of each workbook at path: why its sheet of volumes can't be analysed, or null. Only headers are parsed."""
+    return header_issues(read_headers(spark, path, TV_SHEET, TV_HEADER_ROW).withColumnRenamed("path", "_path"))
+
+
 def _wide(spark: SparkSession, path: str) -> tuple[DataFrame, list[int]]:
     """(clean wide rows, days); the headers of sheet TV stand in its second row."""
-    sheet = read_sheet(spark, path, TV_SHEET, header_row=2)
+    sheet = read_sheet(spark, path, TV_SHEET, TV_HEADER_ROW)
+    require_columns(sheet.df, REQUIRED)
     days = day_columns(sheet.headers, sheet.names)
     return clean_wide(sheet.df, days), [d for d, _ in days]
 

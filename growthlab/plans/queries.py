@@ -198,6 +198,17 @@ def day_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(O.to_long(O.clean_wide(sheet, days), [d for d, _ in days]), "tv")
 
 
+def header_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with the headers of as many sheets as there are orders: columns and days missing, in another case, or spelt in their ways."""
+    key = F.col("o_orderkey")
+    cell = lambda text, kind="s": F.struct(text.alias("text"), F.lit(kind).alias("kind"))
+    day = F.when(key % 4 == 0, cell(F.lit("Day 0"))).when(key % 4 == 1, cell(F.lit(" 0 "))).when(key % 4 == 2, cell(F.lit("0.9"), "n")).otherwise(cell(F.concat(F.lit("day "), (key % 9 + 1).cast("string"))))
+    group = F.when(key % 5 != 0, cell(F.lit("Group")))  # else null: an empty cell
+    mouse = cell(F.when(key % 7 == 0, F.lit("Mouse")).otherwise(F.lit("mouse")))
+    cells = F.when(key % 13 != 0, F.array(cell(F.lit("0 days")), group, day, mouse))
+    return O.header_issues(_table(spark, sf_dir, "orders").select(key.alias("id"), cells.alias("cells")))
+
+
 def annotate_text_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A column of lengths with text among its numbers: text is no number even where it looks like one."""
     sheet = _sheet(spark, sf_dir)
@@ -357,7 +368,7 @@ def responder_chart_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = (
     general_summary, tumor_volume, annotate_error_flag, drop_missing_ids, exclude_mice, normalize_mouse_id, coerce_numeric, wide_to_long, sem_by_group,
     mouse_growth, mouse_growth_wide, growth_errors, response_summary, responder_tv_summary, duplicate_mouse_join, unclassified_group,
-    threshold_override, manifest_counts, zero_baseline_issue, growth_by_row, day_headers, annotate_text_cells, annotate_stale_volumes, sql_functions,
+    threshold_override, manifest_counts, zero_baseline_issue, growth_by_row, day_headers, header_issues, annotate_text_cells, annotate_stale_volumes, sql_functions,
     experiment_settings, report_lines, report_growth, report_errors, annotated_workbooks, growth_of_workbooks, settings_by_book, responder_tv_from_wide, growth_of_months, bmi, bmi_category, dilution, mean_tv_chart_data, responder_chart_data,
 )
 QUERIES = {f.__name__: f for f in _ALL} | {"annotate_day04": _annotated("day04", "T.V."), "annotate_day02": _annotated("day02", "T.V")}
@@ -422,6 +433,9 @@ _SQL = {
     "zero_baseline_issue": f"SELECT grp, mouse, CASE WHEN issue IS NULL THEN CASE WHEN percent <= 50 THEN 'Responder' ELSE 'Non-responder' END END AS response, issue FROM (SELECT *, CASE WHEN first_tv IS NULL THEN 'Missing Day 0 value. Mouse cannot be classified.' WHEN follow_ups = 0 THEN 'No post-baseline measurements. Mouse cannot be classified.' WHEN first_tv = 0 THEN 'Day 0 value is zero. Mouse cannot be classified.' END AS issue, CASE WHEN first_tv <> 0 THEN (final_tv - first_tv) / first_tv * 100 END AS percent FROM (SELECT *, CASE WHEN {_LAST} = 1 AND EXISTS (SELECT 1 FROM tv_long t WHERE t.grp = m.grp AND t.mouse = m.mouse AND t.day = 0) THEN 0 ELSE initial_tv END AS first_tv FROM per_mouse m))",
     "growth_by_row": f"SELECT sheet_row, grp, mouse, round(CASE WHEN issue IS NULL OR initial_tv IS NOT NULL THEN initial_tv END, 6) AS initial_tv, round(final_tv, 6) AS final_tv, final_day, round(CASE WHEN issue IS NULL THEN final_tv - initial_tv END, 6) AS change, round(CASE WHEN issue IS NULL THEN (final_tv - initial_tv) / initial_tv * 100 END, 6) AS percent_growth, CASE WHEN issue IS NULL THEN CASE WHEN (final_tv - initial_tv) / initial_tv * 100 <= 50 THEN 'Responder' ELSE 'Non-responder' END END AS response, issue FROM (SELECT *, CASE WHEN initial_tv IS NULL THEN 'Missing Day 0 value. Mouse cannot be classified.' WHEN follow_ups = 0 THEN 'No post-baseline measurements. Mouse cannot be classified.' END AS issue FROM (SELECT sheet_row, grp, mouse, max(tv) FILTER (day = 0) AS initial_tv, arg_max(tv, day) FILTER (tv IS NOT NULL) AS final_tv, max(day) FILTER (tv IS NOT NULL) AS final_day, count(*) FILTER (day <> 0 AND tv IS NOT NULL) AS follow_ups FROM (SELECT 2 * CAST(mouse AS BIGINT) + extra AS sheet_row, grp, mouse, day, CASE WHEN {_LAST} <> 9 THEN tv + extra * day END AS tv FROM tv_obs, (SELECT unnest([0, 1]) AS extra)) GROUP BY 1, 2, 3))",
     "day_headers": "SELECT grp, mouse, day, round(tv, 6) AS tv FROM tv_obs WHERE tv IS NOT NULL",
+    "header_issues": """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 13 = 0 THEN 'Missing sheet.'
+      WHEN o_orderkey % 35 = 0 THEN 'Missing required columns: [''Group'', ''mouse'']' WHEN o_orderkey % 5 = 0 THEN 'Missing required columns: [''Group'']' WHEN o_orderkey % 7 = 0 THEN 'Missing required columns: [''mouse'']'
+      WHEN o_orderkey % 4 = 3 THEN 'Missing required Day 0 column.' END AS issue FROM orders""",
     "annotate_text_cells": "SELECT id, CAST(round(l, 6) AS VARCHAR) AS L, CASE WHEN id % 7 <> 0 AND w <= round(l, 6) THEN round(w * w * round(l, 6) / 2, 6) END AS tv, CASE WHEN w IS NULL OR l IS NULL THEN 'Missing length or width value.' WHEN id % 7 = 0 THEN 'Length and width must be numbers.' WHEN w > round(l, 6) THEN 'Width cannot be greater than length.' ELSE '' END AS error FROM lw",
     "annotate_stale_volumes": "SELECT 'day04' AS kind, id, round(CASE WHEN w <= l THEN w * w * l / 2 ELSE CAST(id * 1.5 AS DOUBLE) END, 6) AS tv, CASE WHEN w IS NULL OR l IS NULL THEN 'Missing length or width value.' WHEN w > l THEN 'Width cannot be greater than length.' ELSE '' END AS error FROM lw UNION ALL SELECT 'day02', id, round(CASE WHEN w <= l THEN w * w * l / 2 END, 6), CASE WHEN w IS NULL OR l IS NULL THEN 'Missing value' WHEN w > l THEN 'W > L' ELSE '' END FROM lw",
     "sql_functions": "SELECT id, round(w * w * l / 2, 6) AS tv, CASE WHEN l - w IS NULL THEN 'Unclassified' WHEN l - w <= 0 THEN 'Responder' ELSE 'Non-responder' END AS response, round(CASE WHEN id = 1 THEN 0 ELSE l / sqrt(id) END, 6) AS sem, bmi, CASE WHEN bmi < 18.5 THEN 'Underweight' WHEN bmi < 25 THEN 'Normal weight' WHEN bmi < 30 THEN 'Overweight' WHEN bmi IS NOT NULL THEN 'Obese' END AS category FROM lw JOIN (SELECT id, CASE WHEN kg > 0 AND m > 0 THEN round_even(kg / (m * m), 2) END AS bmi FROM body) USING (id)",

@@ -186,6 +186,19 @@ def read_rows(spark: SparkSession, path: str, sheet: str | None = None, optional
     return _parsed(spark, path, lambda file: ({"_row": row, "cells": cells} for row, cells in cells_of(file, sheet)), _row=pa.int64(), cells=pa.list_(CELL))
 
 
+def read_headers(spark: SparkSession, path: str, sheet: str | None = None, header_row: int = 1) -> DataFrame:
+    """path and cells (array of text and kind) of the header row of every workbook at path: a row for each, whose cells are null where
+    there is no such sheet. No row below the headers is parsed."""
+
+    def head(file: BinaryIO) -> list[dict]:
+        with zipfile.ZipFile(file) as book:
+            if _part(book, sheet) is None:
+                return [{"cells": None}]
+        return [{"cells": next((cells for row, cells in cells_of(file, sheet) if row == header_row), [])}]
+
+    return _parsed(spark, path, head, cells=pa.list_(CELL))
+
+
 def headers_and_names(cells: Sequence) -> tuple[list[object], list[str]]:
     """The headers as the sheet has them, and a name for each column: no two alike, nor like a column that the reader adds.
     A header that stands again gets the next number behind it that makes no other header."""

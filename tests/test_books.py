@@ -8,9 +8,10 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from growthlab import functions as G
 from growthlab import operators as O
 from growthlab.cli import main
-from growthlab.plans import analyze, annotate_workbook, read_experiments, read_growths, tables
+from growthlab.plans import analyze, annotate_workbook, read_experiments, read_growth, read_growths, sheet_issues, tables
 from growthlab.sources import Tab, annotated_path, read_sheet, sheet_names, within, write_text, write_workbook, write_xlsx
 
 TV = {
@@ -53,6 +54,40 @@ def test_settings_of_each_workbook(spark, tmp_path):
         del SETTINGS["c"]
 
 
+WRONG = {
+    "ok": ("TV", ("Group", "mouse", "Day 0", "3")), "no_group": ("TV", ("group", "mouse", 0)), "neither": ("TV", ("Mouse", "Day 0")), "no_day": ("TV", ("mouse", "Group", "Day 3", "days 0 1")),
+    "both": ("TV", ("Group", "Day 3")), "no_sheet": ("tv", ("Group", "mouse", 0)), "empty": ("TV", ()), "number": ("TV", ("Group", None, "mouse", 0.5)),
+}
+
+
+def test_what_keeps_sheets_from_analysis(spark, tmp_path, capsys):
+    """Each workbook's issue is what its own analysis says; of several at once none stops the others."""
+    for name, (sheet, headers) in WRONG.items():
+        write_xlsx(tmp_path / f"{name}.xlsx", [(sheet, ("Title",), [headers, tuple(range(len(headers)))])])
+    path = str(tmp_path / "*.xlsx")
+    found = {Path(r["_path"]).stem: r["issue"] for r in sheet_issues(spark, path).collect()}
+    assert found.keys() == WRONG.keys() and {n for n, issue in found.items() if issue is None} == {"ok", "number"}
+    assert found["no_sheet"] == "Missing sheet." and found["both"] == "Missing required columns: ['mouse']" and found["no_day"] == "Missing required Day 0 column."
+    for name in WRONG.keys() - {"no_sheet", "ok", "number"}:
+        with pytest.raises(O.GrowthError) as error:
+            read_growth(spark, str(tmp_path / f"{name}.xlsx"))
+        assert str(error.value) == found[name]
+    assert main(["check", path]) == 1
+    said = capsys.readouterr().out
+    assert f"no_group.xlsx: {found['no_group']}" in said and "6 workbooks" in said
+    assert main(["check", str(tmp_path / "ok.xlsx")]) == 0
+    assert sheet_issues(spark, path).where("_path like 'none'").collect() == []
+
+
+def test_days_of_headers(spark):
+    """Days of headers as columns are those found one by one."""
+    headers = ["Day 3", "day-1", " 7 ", "DAY", "3 days", "", "--3", "1.5", "Tag 1", "\u00a05\n", "dayday 4", "4day", "+3", "Day 0", "-0", "\u0663", None]
+    numbers = [0.0, 2.9, -0.5, -3.0, 1e17, float("inf"), float("nan")]
+    rows = [(t, "s", G.day_of_column("x" if t is None else t)) for t in headers] + [(repr(x), "n", G.day_of_column(x)) for x in numbers]
+    table = spark.createDataFrame(rows, "text string, kind string, day long")
+    assert table.where(~G.header_day(F.col("text"), F.col("kind")).eqNullSafe(F.col("day"))).collect() == []
+
+
 def test_several_workbooks_give_what_single_runs_give(spark, tmp_path):
     single, counts = {}, [0, 0]
     for name in TV:
