@@ -4,10 +4,10 @@ from growthlab.functions.calculators import bmi, bmi_category, bmi_error, diluti
 from growthlab.functions.cells import day_of_column, header_day, missing_to_null, normalized_id, number
 from growthlab.functions.growth import change, classify_response, percent_growth, responder_percent
 from growthlab.functions.register import register_functions
-from growthlab.functions.stats import sd, sem
+from growthlab.functions.stats import mean, sd, sem
 from growthlab.functions.volume import tumor_volume, tumor_volume_strict
 
 __all__ = [
-    "bmi", "bmi_category", "bmi_error", "change", "classify_response", "day_of_column", "dilution", "dilution_error", "header_day", "missing_to_null",
+    "bmi", "bmi_category", "bmi_error", "change", "classify_response", "day_of_column", "dilution", "dilution_error", "header_day", "mean", "missing_to_null",
     "normalized_id", "number", "percent_growth", "register_functions", "responder_percent", "sd", "sem", "tumor_volume", "tumor_volume_strict",
 ]

@@ -31,6 +31,21 @@ def test_sem_and_sd(spark, values, sem, sd):
     assert tuple(row) == (pytest.approx(sem), pytest.approx(sd))
 
 
+@pytest.mark.parametrize(
+    ("values", "mean"),
+    [
+        ([0.1, 0.2, 0.3], 0.6 / 3), ([0.3, 0.2, 0.1], 0.6 / 3), ([0.1, 0.7, None], 0.8 / 2), ([-1e17, 0.01, 1e17], 0.01 / 3), ([None], None), ([], None),
+        ([1e-20, 3e-20], (1e-20 + 3e-20) / 2), ([1e300, 3e300], 2e300), ([1.0, math.inf], math.inf),
+    ],
+)
+def test_mean(spark, values, mean):
+    assert spark.createDataFrame([(v,) for v in values], "v double").coalesce(1).agg(G.mean("v")).first()[0] == mean
+
+
+def test_mean_of_nan(spark):
+    assert math.isnan(spark.createDataFrame([(1.0,), (math.nan,)], "v double").agg(G.mean("v")).first()[0])
+
+
 @pytest.mark.parametrize(("percent", "response"), [(50.0, "Responder"), (51.0, "Non-responder"), (float("nan"), "Unclassified"), (None, "Unclassified"), (float("inf"), "Non-responder")])
 def test_classify(spark, percent, response):
     assert one(spark, G.classify_response(F.col("p").cast("double")), p=percent) == response

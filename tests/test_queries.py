@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+from datetime import datetime
 
 import duckdb
 import pytest
@@ -37,6 +38,32 @@ def test_against_sql(spark, name):
     compare(spark, name, own.QUERIES[name], own.ORACLE_SQL[name])
 
 
+#: A mouse that grows by exactly 50 %: added in this order the means say so, added backwards as doubles they say a little more.
+BASELINE, LAST = (11.77, 190.06, 78.27), (158.93, 117.09, 129.68, 154.5)
+
+
+def at_the_threshold(spark, folder, name, backwards):
+    """The query and the SQL's rows over events of one mouse; only the query gets them backwards."""
+    events = [(n, datetime(2024, 1, 1 if n < len(BASELINE) else 29, n), 2, value) for n, value in enumerate((*BASELINE, *LAST))]
+    con = duckdb.connect()
+    for table in TABLES:
+        if table != "events":
+            (folder / f"{table}.parquet").symlink_to(f"{DATA}/{table}.parquet")
+            con.execute(f"create view {table} as select * from '{DATA}/{table}.parquet'")
+    con.execute("create table events (event_id bigint, ts timestamp, user_id bigint, value double)")
+    con.executemany("insert into events values (?, ?, ?, ?)", events)
+    con.execute(f"copy (select * from events order by event_id {'desc' if backwards else ''}) to '{folder}/events.parquet'")
+    df, expected = own.QUERIES[name](spark, str(folder)), con.execute(own.ORACLE_SQL[name])
+    return rows(df.columns, [tuple(r) for r in df.collect()]), rows([d[0] for d in expected.description], expected.fetchall())
+
+
+@pytest.mark.parametrize("backwards", [False, True])
+def test_a_mouse_at_the_threshold_in_any_order_of_events(spark, tmp_path, backwards):
+    found, expected = at_the_threshold(spark, tmp_path, "responder_tv_from_wide", backwards)
+    assert found == expected
+    assert {r[found[0].index("response")] for r in found[1]} == {"Responder"}
+
+
 def test_every_own_query_has_sql():
     assert own.QUERIES.keys() == own.ORACLE_SQL.keys()
 
