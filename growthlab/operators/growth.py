@@ -30,6 +30,16 @@ def to_long(wide: DataFrame, days: Sequence[int]) -> DataFrame:
     return long.where("tv is not null and not isnan(tv)").withColumn("day", F.col("day").cast("int"))
 
 
+def means_in_order(rows: DataFrame, keys: Sequence[str], value: str, order: str) -> DataFrame:
+    """keys and the mean of value, under its name: the sum of its doubles one by one in the order of the column order (equal ones
+    by value), whatever the files, partitions and tasks are. One exchange and sort of the rows by keys, where a large group
+    spills."""
+    by = Window.partitionBy(*keys).orderBy(order, value)
+    added = F.sum(F.col(value).cast("double")).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = rows.select(*keys, value, added.alias("_added"), F.row_number().over(by).alias("_place"))
+    return placed.groupBy(*keys).agg(F.try_divide(F.max_by("_added", "_place"), F.count(value)).alias(value))
+
+
 def summary(long: DataFrame, *keys: str) -> DataFrame:
     """Mean, SD, n and SEM of tv for each key."""
     return long.groupBy(*keys).agg(F.avg("tv").alias("mean_tv"), sd("tv").alias("sd"), F.count("tv").alias("n"), sem("tv").alias("sem"))

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import add
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -35,6 +37,20 @@ def test_long_skips_missing(spark):
     assert rows(long, "grp", "mouse", "day", "tv") == [("A", "1", 0, 100.0), ("A", "1", 3, 120.0)]
 
 
+@pytest.mark.parametrize("values", [(0.1, 0.2, 0.3), (0.3, 0.2, 0.1), (1e17, 0.01, -1e17), (0.1, None, 0.2, 0.3, None), (None, None), (5,)])
+def test_means_in_order(spark, values):
+    there = [v for v in values if v is not None]
+    expected = reduce(add, there, 0.0) / len(there) if there else None  # sum would compensate
+    events = [(k, n, float(v) if v is not None else None) for k in ("a", None) for n, v in enumerate(values)]
+    df = spark.createDataFrame(events[::-1], "k string, n long, v double").repartition(7)
+    assert {(r["k"], r["v"]) for r in O.means_in_order(df, ["k"], "v", "n").collect()} == {("a", expected), (None, expected)}
+
+
+def test_means_of_rows_without_an_order(spark):
+    df = spark.createDataFrame([("a", None, 0.3), ("a", None, 0.1), ("a", 1, 0.2)], "k string, n long, v double")
+    assert O.means_in_order(df, ["k"], "v", "n").collect() == [("a", (0.1 + 0.3 + 0.2) / 3)]
+
+
 def test_growth(spark):
     found = wide(spark, ("A", "1", None, 100.0, 120.0, 140.0), ("A", "2", None, 100.0, 160.0, 180.0), ("A", "3", None, 100.0, 150.0, None))
     growth, errors = O.growth_from_wide(found, DAYS)

@@ -81,6 +81,27 @@ def test_settings_of_books_with_long_keys(spark, tmp_path):
     assert {r[found[0].index("responders")] for r in found[1] if "book99" in r} == {0}
 
 
+#: Mice that grow by exactly 50 %, their values of the first and the last day in the order of events. As doubles in this order mouse 2 is a
+#: Non-responder and mouse 4 a Responder; by exact sums, or added backwards, each is the other.
+EXACTLY_HALF_MORE = {2: ((141.72, 39.73, 110.27), (104.89, 147.08, 75.8, 255.67)), 4: ((26.12, 136.34, 61.76), (74.61, 21.54, 187.75, 164.54))}
+
+
+@pytest.mark.parametrize("name", ["duplicate_mouse_join"])
+def test_values_are_added_in_the_order_of_events(spark, tmp_path, name):
+    """The SQL adds the events in their order; the query gets them backwards."""
+    times = [(user, datetime(2024, 1, day, n), value) for user, ends in EXACTLY_HALF_MORE.items() for day, values in zip((1, 29), ends, strict=True) for n, value in enumerate(values)]
+    con = duckdb.connect()
+    for table in TABLES:
+        if table != "events":
+            (tmp_path / f"{table}.parquet").symlink_to(f"{DATA}/{table}.parquet")
+            con.execute(f"create view {table} as select * from '{DATA}/{table}.parquet'")
+    con.execute("create table events (event_id bigint, ts timestamp, user_id bigint, value double)")
+    con.executemany("insert into events values (?, ?, ?, ?)", [(n, ts, user, value) for n, (user, ts, value) in enumerate(times)])
+    con.execute(f"copy (select * from events order by event_id desc) to '{tmp_path}/events.parquet'")
+    df, expected = own.QUERIES[name](spark, str(tmp_path)), con.execute(own.ORACLE_SQL[name])
+    assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows([d[0] for d in expected.description], expected.fetchall())
+
+
 def test_every_own_query_has_sql():
     assert own.QUERIES.keys() == own.ORACLE_SQL.keys()
 
