@@ -86,7 +86,7 @@ def test_settings_of_books_with_long_keys(spark, tmp_path):
 EXACTLY_HALF_MORE = {2: ((141.72, 39.73, 110.27), (104.89, 147.08, 75.8, 255.67)), 4: ((26.12, 136.34, 61.76), (74.61, 21.54, 187.75, 164.54))}
 
 
-@pytest.mark.parametrize("name", ["duplicate_mouse_join", "growth_by_row", "mouse_growth", "mouse_growth_wide", "report_growth", "report_lines", "responder_tv_from_wide", "responder_tv_summary", "response_summary", "settings_by_book", "unclassified_group"])
+@pytest.mark.parametrize("name", ["duplicate_mouse_join", "growth_by_row", "mouse_growth", "mouse_growth_wide", "report_growth", "report_lines", "responder_tv_from_wide", "responder_tv_summary", "response_summary", "settings_by_book", "unclassified_group", "zero_baseline_issue"])
 def test_values_are_added_in_the_order_of_events(spark, tmp_path, name):
     """The SQL adds the events in their order; the query gets them backwards."""
     times = [(user, datetime(2024, 1, day, n), value) for user, ends in EXACTLY_HALF_MORE.items() for day, values in zip((1, 29), ends, strict=True) for n, value in enumerate(values)]
